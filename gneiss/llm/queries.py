@@ -10,6 +10,7 @@ from gneiss.llm.handwritten import not_handwritten
 from gneiss.llm.lookalike import canonical_column, look_classes, same_look
 from gneiss.llm.mixture import Mix, mix
 from gneiss.llm.secrets import find_secrets, redacted_column
+from gneiss.llm.syntax import checked, invalid_rates
 from gneiss.llm.top_n import top_n
 from gneiss.operators.versions import holding
 from gneiss.sources.tables import table
@@ -56,6 +57,15 @@ SQL_P5_FOUND = f"WITH {_TOP} SELECT snapshot_key, category, target_key FROM r WH
 SQL_P5_RANKED = f"WITH {_TOP} SELECT snapshot_key, category, target_key, score, rank FROM r WHERE rank <= 5"
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return checked(_files(spark, folder), "file_id", "absolutePath", "sourceText").filter(~F.col("valid")).select("file_id")
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The rates of files that do not parse."""
+    return invalid_rates(_files(spark, folder), "file_id", "absolutePath", "sourceText", "repositoryStableKey")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(_files(spark, folder), "file_id", "absolutePath", "sourceText").select("file_id", "line_no")
 
@@ -104,7 +114,7 @@ def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_reasons": p1_reasons, "p5_found": p5_found, "p5_ranked": p5_ranked, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids,
+    "p1_found": p1_found, "p1_reasons": p1_reasons, "p5_found": p5_found, "p5_ranked": p5_ranked, "p6_found": p6_found, "p6_rates": p6_rates, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts, "p10_classes": p10_classes,
 }
 SQL = {"p5_found": SQL_P5_FOUND, "p5_ranked": SQL_P5_RANKED}
