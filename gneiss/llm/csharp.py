@@ -20,16 +20,22 @@ CONTEXTUAL = (
 PREDEFINED = "bool byte char decimal double float int long object sbyte short string uint ulong ushort void".split()
 
 _ESCAPE = r"\\(?:['\"\\0abefnrtv]|x[0-9A-Fa-f]{1,4}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"
+# white space goes with the token after it; the groups are numbered in the order of the names below
 _TOKEN = re.compile(
-    rf"""(?P<skip>[ \t\f\v\r\n\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff\u0085\u2028\u2029\x1a]+|//[^\r\n]*|/\*[\s\S]*?\*/)
-|(?P<word>@?[^\W\d]\w*)
-|(?P<number>0[xX][0-9A-Fa-f_]+[uUlL]{{0,2}}|0[bB][01_]+[uUlL]{{0,2}}|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][-+]?\d[\d_]*)?[fFdDmM]?|\d[\d_]*(?:[eE][-+]?\d[\d_]*)?(?:[fFdDmM]|[uUlL]{{1,2}})?)
-|(?P<special>[$@]*"|[$@]*(?="))
-|(?P<char>'(?:[^'\\\r\n\u0085\u2028\u2029]|{_ESCAPE})')
-|(?P<directive>\#[^\r\n]*)
-|(?P<op>\?\?=|<<=|\.\.|\?\?|=>|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|->|::|<<|[-+*/%&|^!~=<>?:;,.(){{}}\[\]])""",
+    rf"""[ \t\f\v\r\n\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff\u0085\u2028\u2029\x1a]*(?:
+([^\W\d]\w*)
+|(\.(?!\.|\d)|[;(){{}},\[\]]|\?\?=|<<=|\.\.|\?\?|=>|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|->|::|<<|/(?![/*])|[-+*%&|^!~=<>?:])
+|("(?!"")(?:[^"\\\r\n\u0085\u2028\u2029]|{_ESCAPE})*"(?:u8\b)?)
+|(0[xX][0-9A-Fa-f_]+[uUlL]{{0,2}}|0[bB][01_]+[uUlL]{{0,2}}|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][-+]?\d[\d_]*)?[fFdDmM]?|\d[\d_]*(?:[eE][-+]?\d[\d_]*)?(?:[fFdDmM]|[uUlL]{{1,2}})?)
+|(//[^\r\n]*|/\*[\s\S]*?\*/)
+|('(?:[^'\\\r\n\u0085\u2028\u2029]|{_ESCAPE})')
+|([$@]*")
+|(@[^\W\d]\w*)
+|(\#[^\r\n]*)
+|\Z)""",
     re.X,
 )
+_WORD, _OP, _TEXT, _NUMBER, _COMMENT, _CHAR, _SPECIAL, _QUOTED, _DIRECTIVE = range(1, 10)
 _PLAIN = re.compile(rf'(?:[^"\\\r\n\u0085\u2028\u2029]|{_ESCAPE})*"')
 _VERBATIM = re.compile(r'(?:[^"]|"")*"')
 _MARKER = re.compile(r"^(?:<{7}|>{7}|\|{7}|={7})(?: |\r?$)", re.M)
@@ -270,62 +276,68 @@ class Directives:
         raise Invalid("a conditional part is open")
 
 
+def _starts_line(text: str, at: int) -> bool:
+    """Whether only white space comes before a place on its line."""
+    while at and text[at - 1] in " \t\f\v\ufeff":
+        at -= 1
+    return not at or text[at - 1] in "\r\n\u0085\u2028\u2029"
+
+
 def _lex(text: str, at: int, out: list[str], directives: Directives | None, stop: str | None) -> int:
     """Append token kinds from ``at`` on; in a hole of an interpolated string up to its end, which is returned."""
-    match, words, n = _TOKEN.match, _WORDS, len(text)
+    match, words, put = _TOKEN.match, _WORDS, out.append
     depth = 0
-    line_start = True
-    while at < n:
+    while True:
         m = match(text, at)
         if m is None:
             raise Invalid(f"character at {at}")
-        kind = m.lastgroup
-        if kind == "skip":
-            piece = m[0]
-            if "\n" in piece or "\r" in piece:
-                line_start = True
-            at = m.end()
-            continue
-        if kind == "word":
-            word = m[0]
-            out.append(words.get(word, "id"))
-        elif kind == "op":
-            op = m[0]
+        kind = m.lastindex
+        at = m.end()
+        if kind == _WORD:
+            word = m[1]
+            put(words[word] if word in words else "id")
+        elif kind == _OP:
+            op = m[2]
             if stop is not None:
                 if op in "([{":
                     depth += 1
                 elif op in ")]}":
                     if depth == 0:
-                        return at
+                        return at - 1
                     depth -= 1
                 elif depth == 0 and op == ":":
-                    return at
-            if line_start and (op == "<<" or op == "==" or op == "||" or op == ">") and _MARKER.match(text, at):
-                raise Invalid("conflict marker")
-            if op == "?" and text.startswith(".", m.end()) and not text[m.end() + 1 : m.end() + 2].isdigit() and not text.startswith("..", m.end()):
-                out.append("?.")
-                at = m.end() + 1
-                line_start = False
-                continue
-            out.append(op)
-        elif kind == "number":
-            out.append("number")
-        elif kind == "special":
-            at = _string(text, at, out)
-            line_start = False
+                    return at - 1
+            if op == ",":
+                # of numbers in a list, whatever list it is, one stands for all that follow each other
+                if out[-4:] == _NUMBERS:
+                    del out[-2:]
+            elif op in _MARKS:
+                if op == "?":
+                    if text.startswith(".", at) and not text[at + 1 : at + 2].isdigit() and not text.startswith("..", at):
+                        op = "?."
+                        at += 1
+                elif _MARKER.match(text, at - len(op)):
+                    raise Invalid("conflict marker")
+            put(op)
+        elif kind == _TEXT:
+            put("string")
+        elif kind == _NUMBER:
+            put("number")
+        elif kind == _COMMENT:
             continue
-        elif kind == "char":
-            out.append("char")
-        else:  # a directive
-            if directives is None or not line_start:
+        elif kind == _CHAR:
+            put("char")
+        elif kind == _SPECIAL:
+            at = _string(text, m.start(7), out)
+        elif kind == _QUOTED:
+            put("id")
+        elif kind == _DIRECTIVE:
+            if directives is None or not _starts_line(text, m.start(9)):
                 raise Invalid("directive")
-            at = m.end()
-            if not directives.line(m[0], bool(out)):
-                here = _LINE.match(text, at).end()
-                at = directives.skip(text, here)
-            continue
-        line_start = False
-        at = m.end()
+            if not directives.line(m[9], bool(out)):
+                at = directives.skip(text, _LINE.match(text, at).end())
+        else:
+            break
     if stop is not None:
         raise Invalid("an interpolation is open")
     if directives is not None and directives.stack:
@@ -333,6 +345,10 @@ def _lex(text: str, at: int, out: list[str], directives: Directives | None, stop
     return at
 
 
+_NUMBERS = [",", "number", ",", "number"]
+_MARKS = frozenset(["?", "<<", ">", "==", "||"])
+
+
 def _string(text: str, at: int, out: list[str]) -> int:
     """A string of any kind that begins at ``at``; its end."""
     start = at

@@ -122,6 +122,63 @@ class _Rules:
         return frozenset(seen)
 
 
+class _Second:
+    """Which tokens can come second, as bit masks; within the rules that are open the context is exact."""
+
+    def __init__(self, shift, call, final, owner, entry, nullable, begins, can_end, follow, number) -> None:
+        mask = lambda tokens: sum(1 << number[t] for t in tokens)
+        self.begins = [mask(b) for b in begins]
+        self.can_end = can_end
+        self.follow = {n: mask(f) for n, f in follow.items()}
+        self.owner, self.entry, self.nullable = owner, entry, nullable
+        self.anything = (1 << len(number)) - 1
+        # inside[s][t]: tokens that can follow t within the rule of s; ends[s]: tokens after which the rule can end at once
+        self.inside: list[dict[str, int]] = [{} for _ in shift]
+        self.ends: list[set[str]] = [set() for _ in shift]
+        changed = True
+        while changed:
+            changed = False
+            for s in range(len(shift)):
+                inside, ends = self.inside[s], self.ends[s]
+
+                def put(t: str, more: int, end: bool, inside=inside, ends=ends) -> bool:
+                    grew = False
+                    if inside.get(t, 0) | more != inside.get(t, 0):
+                        inside[t] = inside.get(t, 0) | more
+                        grew = True
+                    if end and t not in ends:
+                        ends.add(t)
+                        grew = True
+                    return grew
+
+                for t, to in shift[s].items():
+                    changed |= put(t, self.begins[to], can_end[to])
+                for rule, to in call[s].items():
+                    e = entry[rule]
+                    for t in list(self.inside[e]) + [t for t in self.ends[e] if t not in self.inside[e]]:
+                        over = t in self.ends[e]
+                        changed |= put(t, self.inside[e].get(t, 0) | (self.begins[to] if over else 0), over and can_end[to])
+                    if rule in nullable:
+                        for t in list(self.inside[to]) + [t for t in self.ends[to] if t not in self.inside[to]]:
+                            changed |= put(t, self.inside[to].get(t, 0), t in self.ends[to])
+
+    def after(self, to: int, s: int) -> int:
+        """Second tokens once a token has led to a state."""
+        return self.begins[to] | (self.follow[self.owner[s]] if self.can_end[to] else 0)
+
+    def through(self, rule: str, to: int, token: str, s: int) -> int:
+        """Second tokens where a rule is called on a token."""
+        e, out = self.entry[rule], 0
+        out |= self.inside[e].get(token, 0)
+        if token in self.ends[e]:
+            out |= self.after(to, s)
+        if rule in self.nullable:
+            out |= self.inside[to].get(token, 0) | (self.follow[self.owner[s]] if token in self.ends[to] or self.can_end[to] else 0)
+            if self.can_end[to]:
+                out = self.anything
+        return out
+
+
 class Grammar:
     """A compiled grammar: for every state and token what may be done."""
 
@@ -206,22 +263,31 @@ class Grammar:
         self.number = {t: i for i, t in enumerate(self.tokens)}
         rule_number = {n: i for i, n in enumerate(names)}
         self.rules = len(names)
-        #: per state and token: None, a state to shift to, -1 to end the rule, (entry, return state, rule) to call, or a list of these
+        second = _Second(shift, call, final, owner, entry, nullable, begins, can_end, follow, self.number)
+        #: per state and token: None, a state to shift to, -1 to end the rule, (entry, return state, rule) to call, or, where the next
+        #: token decides further, what to do for each of these; a list of alternatives where two tokens leave several
         self.table: list[list] = []
         for s in range(len(shift)):
             row: list = [None] * len(self.tokens)
             for t, i in self.number.items():
-                todo: list = []
+                todo: list[tuple[object, int]] = []
                 if t in shift[s]:
-                    todo.append(shift[s][t])
+                    todo.append((shift[s][t], second.after(shift[s][t], s)))
                 for rule, to in call[s].items():
                     if t in first_of[rule] or rule in nullable and t in follow[rule]:
                         # a call at the very end of a rule needs no return
                         alone = final[to] and not shift[to] and not call[to]
-                        todo.append((entry[rule], -1 if alone else to, rule_number[rule]))
+                        todo.append(((entry[rule], -1 if alone else to, rule_number[rule]), second.through(rule, to, t, s)))
                 if final[s] and t in follow[owner[s]]:
-                    todo.append(-1)
-                row[i] = None if not todo else todo[0] if len(todo) == 1 else todo
+                    todo.append((-1, second.anything))
+                if len(todo) < 2:
+                    row[i] = todo[0][0] if todo else None
+                    continue
+                row[i] = {}
+                for j in range(len(self.tokens)):
+                    left = [act for act, mask in todo if mask >> j & 1]
+                    if left:
+                        row[i][j] = left[0] if len(left) == 1 else left
             self.table.append(row)
         self.entries = {s: entry[s] for s in starts}
         #: Of the last sentence that was rejected, the token that no alternative could take.
@@ -237,7 +303,7 @@ class Grammar:
         if -1 in tokens:
             return False
         table, rules = self.table, self.rules
-        end = len(tokens) - 1
+        end, end_token = len(tokens) - 1, self.number[END]
         root: list = [[], set(), 0]
         nodes: dict[int, list] = {}
         seen: set[tuple[int, int, int]] = set()
@@ -252,6 +318,13 @@ class Grammar:
                         far = at
                     break
                 kind = act.__class__
+                if kind is dict:
+                    act = act.get(tokens[at + 1] if at < end else end_token)
+                    if act is None:
+                        if at > far:
+                            far = at
+                        break
+                    kind = act.__class__
                 if kind is list:
                     key = (state, node[2], at)
                     if key in seen:
