@@ -52,11 +52,11 @@ using: 'global'? 'using' ('static'? 'unsafe'? type | ID '=' 'unsafe'? type) ';'
 globalattrs: '[' ID ':' attr (',' attr)* ','? ']'
 filens: 'namespace' dotted ';' extern* using* typelike*
 nsdecl: 'namespace' dotted '{' extern* using* typelike* '}' ';'?
-typelike: nsdecl | attrs* modifier* typedecl
+typelike: nsdecl | attrs* _modifier* typedecl
 dotted: ID ('.' ID)*
 attrs: '[' ((ID | 'return' | 'event') ':')? attr (',' attr)* ','? ']'
 attr: name ('(' args? ')')?
-modifier: 'abstract' | 'async' | 'const' | 'extern' | 'file' | 'fixed' | 'internal' | 'new' | 'override' | 'partial' | 'private' | 'protected' | 'public' | 'readonly' | 'ref' | 'required' | 'sealed' | 'static' | 'unsafe' | 'virtual' | 'volatile' | 'scoped'
+_modifier: 'abstract' | 'async' | 'const' | 'extern' | 'file' | 'fixed' | 'internal' | 'new' | 'override' | 'partial' | 'private' | 'protected' | 'public' | 'readonly' | 'ref' | 'required' | 'sealed' | 'static' | 'unsafe' | 'virtual' | 'volatile' | 'scoped'
 typedecl: ('class' | 'struct' | 'interface' | 'record' ('class' | 'struct')?) ID typeparams? params? bases? where* (classbody | ';') | enumdecl | delegatedecl
 classbody: '{' member* '}' ';'?
 enumdecl: 'enum' ID (':' type)? '{' (enumitem (',' enumitem)* ','?)? '}' ';'?
@@ -69,67 +69,67 @@ where: 'where' ID ':' constraint (',' constraint)*
 constraint: type | 'class' '?'? | 'struct' | 'new' '(' ')' | 'default' | 'allows' 'ref' 'struct'
 params: '(' (param (',' param)*)? ')'
 param: attrs* ('this' | 'ref' | 'out' | 'in' | 'params' | 'scoped' | 'readonly')* type ID ('=' expr)? | '__arglist'
-member: attrs* modifier* (typedecl | 'event' type eventrest | type memberrest | ID params ctorinit? body | '~' ID '(' ')' body | ('implicit' | 'explicit') (name '.')? 'operator' 'checked'? type params body | 'extension' typeparams? params where* classbody)
-eventrest: declarators ';' | membername '{' accessor+ '}'
-memberrest: declarators ';' | membername typeparams? params where* body | membername proprest | (name '.')? 'this' '[' param (',' param)* ']' proprest | (name '.')? 'operator' 'checked'? opsign params body | ID '[' expr ']' (',' ID '[' expr ']')* ';'
-membername: ID | name '.' ID
-proprest: '{' accessor+ '}' ('=' varinit ';')? | '=>' expr ';'
-accessor: attrs* modifier* ('get' | 'set' | 'init' | 'add' | 'remove') body
-ctorinit: ':' ('this' | 'base') '(' args? ')'
+member: attrs* _modifier* (typedecl | 'event' type _eventrest | type _memberrest | ID params _ctorinit? body | '~' ID '(' ')' body | ('implicit' | 'explicit') (name '.')? 'operator' 'checked'? type params body | 'extension' typeparams? params where* classbody)
+_eventrest: _declarators ';' | _membername '{' accessor+ '}'
+_memberrest: _declarators ';' | _membername typeparams? params where* body | _membername _proprest | (name '.')? 'this' '[' param (',' param)* ']' _proprest | (name '.')? 'operator' 'checked'? _opsign params body | ID '[' expr ']' (',' ID '[' expr ']')* ';'
+_membername: ID | name '.' ID
+_proprest: '{' accessor+ '}' ('=' varinit ';')? | '=>' expr ';'
+accessor: attrs* _modifier* ('get' | 'set' | 'init' | 'add' | 'remove') body
+_ctorinit: ':' ('this' | 'base') '(' args? ')'
 body: block ';'? | '=>' expr ';' | ';'
-opsign: '+' | '-' | '!' | '~' | '++' | '--' | 'true' | 'false' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>' '>' | '>' '>' '>' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>='
-declarators: declarator (',' declarator)*
+_opsign: '+' | '-' | '!' | '~' | '++' | '--' | 'true' | 'false' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>' '>' | '>' '>' '>' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>='
+_declarators: declarator (',' declarator)*
 declarator: ID ('=' varinit)?
 varinit: expr | init
-type: typecore typesuffix*
-typesuffix: '?' | '*' | '[' ','* ']'
-typecore: predefined | name | '(' tupleitem (',' tupleitem)+ ')' | 'delegate' '*' (ID ('[' ID (',' ID)* ']')?)? '<' fparam (',' fparam)* '>' | 'ref' 'readonly'? type | 'scoped' type
-fparam: ('ref' | 'in' | 'out' | 'readonly')* type
+type: _typecore _typesuffix*
+_typesuffix: '?' | '*' | '[' ','* ']'
+_typecore: _predefined | name | '(' tupleitem (',' tupleitem)+ ')' | 'delegate' '*' (ID ('[' ID (',' ID)* ']')?)? '<' _fparam (',' _fparam)* '>' | 'ref' 'readonly'? type | 'scoped' type
+_fparam: ('ref' | 'in' | 'out' | 'readonly')* type
 tupleitem: type ID?
-predefined: 'bool' | 'byte' | 'char' | 'decimal' | 'double' | 'float' | 'int' | 'long' | 'object' | 'sbyte' | 'short' | 'string' | 'uint' | 'ulong' | 'ushort' | 'void'
+_predefined: 'bool' | 'byte' | 'char' | 'decimal' | 'double' | 'float' | 'int' | 'long' | 'object' | 'sbyte' | 'short' | 'string' | 'uint' | 'ulong' | 'ushort' | 'void'
 name: (ID '::')? ID typeargs? ('.' ID typeargs?)*
 typeargs: '<' (attrs* type (',' attrs* type)* | ','*) '>'
 block: '{' stmt* '}'
-stmt: block | ';' | ID ':' stmt | attrs* localdecl | expr ';' | 'if' '(' expr ')' stmt ('else' stmt)? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';' | forstmt | 'await'? 'foreach' '(' foreachvar 'in' expr ')' stmt | 'switch' switchhead '{' section* '}' | 'break' ';' | 'continue' ';' | 'goto' (ID | 'case' expr | 'default') ';' | 'return' expr? ';' | 'throw' expr? ';' | 'try' block (catch+ finally? | finally) | usingstmt | 'lock' '(' expr ')' stmt | 'fixed' '(' type declarators ')' stmt | ('checked' | 'unchecked' | 'unsafe') block | 'yield' ('return' expr | 'break') ';'
-switchhead: '(' expr (',' expr)* ')'
-foreachvar: ('ref' 'readonly'? | 'scoped')? type ID | 'var' designation | '(' tupleelem (',' tupleelem)+ ')'
-forstmt: 'for' '(' (type declarators | expr (',' expr)*)? ';' expr? ';' (expr (',' expr)*)? ')' stmt
+stmt: block | ';' | ID ':' stmt | attrs* _localdecl | expr ';' | 'if' '(' expr ')' stmt ('else' stmt)? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';' | _forstmt | 'await'? 'foreach' '(' _foreachvar 'in' expr ')' stmt | 'switch' _switchhead '{' section* '}' | 'break' ';' | 'continue' ';' | 'goto' (ID | 'case' expr | 'default') ';' | 'return' expr? ';' | 'throw' expr? ';' | 'try' block (catch+ finally? | finally) | _usingstmt | 'lock' '(' expr ')' stmt | 'fixed' '(' type _declarators ')' stmt | ('checked' | 'unchecked' | 'unsafe') block | 'yield' ('return' expr | 'break') ';'
+_switchhead: '(' expr (',' expr)* ')'
+_foreachvar: ('ref' 'readonly'? | 'scoped')? type ID | 'var' designation | '(' tupleelem (',' tupleelem)+ ')'
+_forstmt: 'for' '(' (type _declarators | expr (',' expr)*)? ';' expr? ';' (expr (',' expr)*)? ')' stmt
 section: ('case' pattern ('when' expr)? ':' | 'default' ':')+ stmt+
 catch: 'catch' ('(' type ID? ')')? ('when' '(' expr ')')? block
 finally: 'finally' block
-usingstmt: 'await'? 'using' ('(' (type declarators | expr) ')' stmt | type declarators ';')
-localdecl: localmod* type (declarators ';' | ID typeparams? params where* (block | '=>' expr ';' | ';'))
-localmod: 'const' | 'static' | 'async' | 'unsafe' | 'extern' | 'ref' | 'readonly' | 'scoped'
+_usingstmt: 'await'? 'using' ('(' (type _declarators | expr) ')' stmt | type _declarators ';')
+_localdecl: _localmod* type (_declarators ';' | ID typeparams? params where* (block | '=>' expr ';' | ';'))
+_localmod: 'const' | 'static' | 'async' | 'unsafe' | 'extern' | 'ref' | 'readonly' | 'scoped'
 args: arg (',' arg)*
 arg: (ID ':')? (('ref' | 'in' | 'out')? expr | 'out' type designation)
 designation: ID | '(' designation (',' designation)+ ')'
-expr: (operand | '..' operand?) (binop operand | '..' operand? | '=' init | 'is' pattern | 'as' type | '?' expr ':' expr | 'switch' '{' (arm (',' arm)* ','?)? '}' | 'with' init)*
-binop: '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '??' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '??=' | '<<=' | '>' '>=' | '>' '>' '>='
-operand: prefix* primary postfix*
-prefix: '+' | '-' | '!' | '~' | '++' | '--' | '&' | '*' | '^' | 'await' | 'throw' | 'ref' | '(' type ')'
-primary: 'number' | 'string' | 'char' | 'true' | 'false' | 'null' | 'this' | 'base' | interpolated | ID typeargs? | ID '::' ID typeargs? | predefined | '(' tupleelem (',' tupleelem)* ')' | collection | newexpr | 'typeof' '(' type ')' | 'sizeof' '(' type ')' | 'default' ('(' type ')')? | ('checked' | 'unchecked') '(' expr ')' | 'stackalloc' (type ('[' expr? ']')? init? | '[' expr? ']' init) | attrs* lambdamod* 'delegate' params? block | lambda | query | '__arglist' ('(' args? ')')?
+expr: (operand | '..' operand?) (_binop operand | '..' operand? | '=' init | 'is' pattern | 'as' type | '?' expr ':' expr | 'switch' '{' (arm (',' arm)* ','?)? '}' | 'with' init)*
+_binop: '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '??' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '??=' | '<<=' | '>' '>=' | '>' '>' '>='
+operand: _prefix* _primary _postfix*
+_prefix: '+' | '-' | '!' | '~' | '++' | '--' | '&' | '*' | '^' | 'await' | 'throw' | 'ref' | '(' type ')'
+_primary: 'number' | 'string' | 'char' | 'true' | 'false' | 'null' | 'this' | 'base' | interpolated | ID typeargs? | ID '::' ID typeargs? | _predefined | '(' tupleelem (',' tupleelem)* ')' | collection | newexpr | 'typeof' '(' type ')' | 'sizeof' '(' type ')' | 'default' ('(' type ')')? | ('checked' | 'unchecked') '(' expr ')' | 'stackalloc' (type ('[' expr? ']')? init? | '[' expr? ']' init) | attrs* _lambdamod* 'delegate' params? block | lambda | query | '__arglist' ('(' args? ')')?
 tupleelem: (ID ':')? (expr | type designation)
 interpolated: 'open$' ('hole$' expr (',' expr)? 'format$'?)* 'close$'
-collection: '[' (element (',' element)* ','?)? ']'
-element: expr | '..' expr
-postfix: ('.' | '?.' | '->') ID typeargs? | '?'? '[' args ']' | '(' args? ')' | '++' | '--' | '!'
-newexpr: 'new' (newtype ('(' args? ')' init? | init | newrank+ init?) | '(' args? ')' init? | '[' ','* ']' init | '{' (anonymous (',' anonymous)* ','?)? '}')
-newtype: (predefined | name | '(' tupleitem (',' tupleitem)+ ')') ('?' | '*')*
-newrank: '[' (expr (',' expr)* | ','*) ']' '?'?
-anonymous: (ID '=')? expr
+collection: '[' (_element (',' _element)* ','?)? ']'
+_element: expr | '..' expr
+_postfix: ('.' | '?.' | '->') ID typeargs? | '?'? '[' args ']' | '(' args? ')' | '++' | '--' | '!'
+newexpr: 'new' (_newtype ('(' args? ')' init? | init | _newrank+ init?) | '(' args? ')' init? | '[' ','* ']' init | '{' (_anonymous (',' _anonymous)* ','?)? '}')
+_newtype: (_predefined | name | '(' tupleitem (',' tupleitem)+ ')') ('?' | '*')*
+_newrank: '[' (expr (',' expr)* | ','*) ']' '?'?
+_anonymous: (ID '=')? expr
 init: '{' (inititem (',' inititem)* ','?)? '}'
 inititem: expr | init | '[' args ']' '=' (expr | init)
-lambda: attrs* lambdamod* (ID | type? lambdaparams) '=>' (expr | block)
-lambdamod: 'async' | 'static'
+lambda: attrs* _lambdamod* (ID | type? lambdaparams) '=>' (expr | block)
+_lambdamod: 'async' | 'static'
 lambdaparams: '(' (lambdaparam (',' lambdaparam)*)? ')'
 lambdaparam: attrs* ('ref' | 'out' | 'in' | 'params' | 'scoped' | 'readonly' | 'this')* type? ID ('=' expr)?
 arm: pattern ('when' expr)? '=>' expr
 pattern: subpattern (('and' | 'or') subpattern)*
-subpattern: 'not'* (patternvalue | ('<' | '>' | '<=' | '>=') patternoperand | type designation? | 'var' designation | '(' pattern ')' | type? '(' (subfield (',' subfield)*)? ')' propertypattern? ID? | type? propertypattern ID? | '[' (listitem (',' listitem)* ','?)? ']' ID? | '..' pattern?)
-listitem: pattern
+subpattern: 'not'* (_patternvalue | ('<' | '>' | '<=' | '>=') patternoperand | type designation? | 'var' designation | '(' pattern ')' | type? '(' (subfield (',' subfield)*)? ')' propertypattern? ID? | type? propertypattern ID? | '[' (_listitem (',' _listitem)* ','?)? ']' ID? | '..' pattern?)
+_listitem: pattern
 propertypattern: '{' (subfield (',' subfield)* ','?)? '}'
 subfield: (ID ('.' ID)* ':')? pattern
-patternvalue: patternoperand
+_patternvalue: patternoperand
 patternoperand: operand (('+' | '-' | '*' | '/' | '%' | '|' | '&' | '^' | '<<') operand)*
 query: 'from' type? ID 'in' expr querybody
 querybody: queryclause* ('select' expr | 'group' expr 'by' expr) ('into' ID querybody)?

@@ -18,7 +18,7 @@ END = "<end>"
 
 
 class _Rules:
-    """EBNF to automata without empty moves."""
+    """EBNF to automata without empty moves. Rules whose names begin with an underscore are written out where they are used."""
 
     def __init__(self, text: str, classes: Mapping[str, Iterable[str]]) -> None:
         self.classes = {k: sorted(set(v)) for k, v in classes.items()}
@@ -98,7 +98,14 @@ class _Rules:
             else:
                 if name not in self.source:
                     raise ValueError(f"no rule {name}")
-                self.moves[a].append((None, name, b))
+                if name[0] == "_":  # written out in place
+                    kept = self._tokens, self._at
+                    x, y = self.parse(self.source[name])
+                    self._tokens, self._at = kept
+                    self.moves[a].append((None, None, x))
+                    self.moves[y].append((None, None, b))
+                else:
+                    self.moves[a].append((None, name, b))
         while self._at < len(self._tokens) and self._tokens[self._at][2] in ("*", "+", "?"):
             mark = self._tokens[self._at][2]
             self._at += 1
@@ -191,6 +198,8 @@ class Grammar:
         owner: list[str] = []
         entry: dict[str, int] = {}
         for name, source in rules.source.items():
+            if name[0] == "_":
+                continue
             a, b = rules.parse(source)
             first = rules.closure([a])
             number = {first: len(shift)}
@@ -215,7 +224,7 @@ class Grammar:
                         number[next_] = entry[name] + len(order)
                         grow.append(next_)
                     (shift if is_terminal else call)[at][label] = number[next_]
-        names = list(rules.source)
+        names = list(entry)
         nullable: set[str] = set()
         first_of: dict[str, set[str]] = {n: set() for n in names}
         states_of = defaultdict(list)

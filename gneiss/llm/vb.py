@@ -47,19 +47,19 @@ ID = ["id", *CONTEXTUAL]
 ANY = ["id", *CONTEXTUAL, *RESERVED]
 
 GRAMMAR = """
-unit: t* (option t+)* (imports t+)* (fileattrs t+)* (typelike t+)*
-t: 'nl' | ':'
+unit: _t* (option _t+)* (imports _t+)* (fileattrs _t+)* (typelike _t+)*
+_t: 'nl' | ':'
 option: 'option' ('strict' | 'explicit' | 'infer' | 'compare') ('on' | 'off' | 'binary' | 'text')?
 imports: 'imports' import (',' import)*
 import: type | ID '=' type
 fileattrs: '<' fileattr (',' fileattr)* '>'
 fileattr: ('assembly' | 'module') ':' attr
-typelike: 'namespace' ('global' | ID) ('.' ANYID)* t+ (typelike t+)* 'end' 'namespace' | attrs? modifier* typedecl
-ANYID: ANY
+typelike: 'namespace' ('global' | ID) ('.' _ANYID)* _t+ (typelike _t+)* 'end' 'namespace' | attrs? _modifier* typedecl
+_ANYID: ANY
 attrs: ('<' attr (',' attr)* '>' 'nl'?)+
 attr: (('assembly' | 'module' | 'return') ':')? name ('(' args? ')')?
-modifier: 'public' | 'private' | 'protected' | 'friend' | 'shared' | 'shadows' | 'static' | 'partial' | 'mustinherit' | 'notinheritable' | 'mustoverride' | 'notoverridable' | 'overridable' | 'overrides' | 'overloads' | 'readonly' | 'writeonly' | 'default' | 'const' | 'dim' | 'withevents' | 'widening' | 'narrowing' | 'async' | 'iterator' | 'custom'
-typedecl: 'class' ID typeparams? t+ ('inherits' type t+)? ('implements' type (',' type)* t+)* (member t+)* 'end' 'class' | 'structure' ID typeparams? t+ ('implements' type (',' type)* t+)* (member t+)* 'end' 'structure' | 'module' ID t+ (member t+)* 'end' 'module' | 'interface' ID typeparams? t+ ('inherits' type (',' type)* t+)* (interfacemember t+)* 'end' 'interface' | 'enum' ID ('as' type)? t+ (attrs? ID ('=' expr)? t+)* 'end' 'enum' | 'delegate' ('sub' | 'function') ID typeparams? params? returns?
+_modifier: 'public' | 'private' | 'protected' | 'friend' | 'shared' | 'shadows' | 'static' | 'partial' | 'mustinherit' | 'notinheritable' | 'mustoverride' | 'notoverridable' | 'overridable' | 'overrides' | 'overloads' | 'readonly' | 'writeonly' | 'default' | 'const' | 'dim' | 'withevents' | 'widening' | 'narrowing' | 'async' | 'iterator' | 'custom'
+typedecl: 'class' ID typeparams? _t+ ('inherits' type _t+)? ('implements' type (',' type)* _t+)* (member _t+)* 'end' 'class' | 'structure' ID typeparams? _t+ ('implements' type (',' type)* _t+)* (member _t+)* 'end' 'structure' | 'module' ID _t+ (member _t+)* 'end' 'module' | 'interface' ID typeparams? _t+ ('inherits' type (',' type)* _t+)* (interfacemember _t+)* 'end' 'interface' | 'enum' ID ('as' type)? _t+ (attrs? ID ('=' expr)? _t+)* 'end' 'enum' | 'delegate' ('sub' | 'function') ID typeparams? params? returns?
 typeparams: '(' 'of' typeparam (',' typeparam)* ')'
 typeparam: ('in' | ID)? ID ('as' constraints)? | 'in'? ID ('as' constraints)?
 constraints: constraint | '{' constraint (',' constraint)* '}'
@@ -68,59 +68,59 @@ returns: 'as' attrs? type
 params: '(' (param (',' param)*)? ')'
 param: attrs? ('byval' | 'byref' | 'optional' | 'paramarray')* ID ('?')? ranks? ('as' attrs? type)? ('=' expr)?
 ranks: ('(' ','* ')')+
-interfacemember: attrs? modifier* ('sub' ID typeparams? params? | 'function' ID typeparams? params? returns? | 'property' ID params? returns? | 'event' ID (params | 'as' type)? | typedecl)
-member: attrs? modifier* (typedecl | method | property | event | operatordecl | declare | fields)
+interfacemember: attrs? _modifier* ('sub' ID typeparams? params? | 'function' ID typeparams? params? returns? | 'property' ID params? returns? | 'event' ID (params | 'as' type)? | typedecl)
+member: attrs? _modifier* (typedecl | method | property | event | operatordecl | declare | fields)
 fields: field (',' field)*
 field: ID '?'? bounds? (',' ID '?'? bounds?)* ('as' newtype)? ('=' expr)?
 bounds: '(' (bound (',' bound)* | ','*) ')' ranks?
 bound: expr ('to' expr)?
 newtype: type | 'new' type ('(' args? ')')? ('with' objectinit | 'from' collection)?
-method: ('sub' (ID | 'new') typeparams? params? handles? | 'function' ID typeparams? params? returns? handles?) (t+ body 'end' ('sub' | 'function'))?
+method: ('sub' (ID | 'new') typeparams? params? handles? | 'function' ID typeparams? params? returns? handles?) (_t+ body 'end' ('sub' | 'function'))?
 handles: ('handles' | 'implements') handle (',' handle)*
-handle: (ID | 'me' | 'mybase' | 'myclass' | 'global') (('(' 'of' type (',' type)* ')')? '.' ANYID)* ('(' 'of' type (',' type)* ')')?
-property: 'property' ID params? ('as' newtype)? ('=' expr)? handles? (t+ (accessor t+)+ 'end' 'property')?
-accessor: attrs? modifier* ('get' t+ body 'end' 'get' | 'set' params? t+ body 'end' 'set')
-event: 'event' ID (params | 'as' type)? handles? (t+ (attrs? ('addhandler' | 'removehandler' | 'raiseevent') params t+ body 'end' ('addhandler' | 'removehandler' | 'raiseevent') t+)+ 'end' 'event')?
-operatordecl: 'operator' (opsign | 'ctype' | 'istrue' | 'isfalse' | 'not') params returns? t+ body 'end' 'operator'
-opsign: '+' | '-' | '*' | '/' | '\\' | '^' | '&' | '=' | '<>' | '<' | '>' | '<=' | '>=' | '<<' | '>>' | 'and' | 'or' | 'xor' | 'mod' | 'like'
+handle: (ID | 'me' | 'mybase' | 'myclass' | 'global') (('(' 'of' type (',' type)* ')')? '.' _ANYID)* ('(' 'of' type (',' type)* ')')?
+property: 'property' ID params? ('as' newtype)? ('=' expr)? handles? (_t+ (accessor _t+)+ 'end' 'property')?
+accessor: attrs? _modifier* ('get' _t+ body 'end' 'get' | 'set' params? _t+ body 'end' 'set')
+event: 'event' ID (params | 'as' type)? handles? (_t+ (attrs? ('addhandler' | 'removehandler' | 'raiseevent') params _t+ body 'end' ('addhandler' | 'removehandler' | 'raiseevent') _t+)+ 'end' 'event')?
+operatordecl: 'operator' (_opsign | 'ctype' | 'istrue' | 'isfalse' | 'not') params returns? _t+ body 'end' 'operator'
+_opsign: '+' | '-' | '*' | '/' | '\\' | '^' | '&' | '=' | '<>' | '<' | '>' | '<=' | '>=' | '<<' | '>>' | 'and' | 'or' | 'xor' | 'mod' | 'like'
 declare: 'declare' ('ansi' | 'unicode' | 'auto')? ('sub' | 'function') ID 'lib' 'string' ('alias' 'string')? params? returns?
-type: typecore '?'? ranks?
-typecore: ('global' | ID | primitive) ('(' 'of' typelist ')')? ('.' ANYID ('(' 'of' typelist ')')?)* | '(' tupletype (',' tupletype)+ ')'
+type: _typecore '?'? ranks?
+_typecore: ('global' | ID | _primitive) ('(' 'of' typelist ')')? ('.' _ANYID ('(' 'of' typelist ')')?)* | '(' tupletype (',' tupletype)+ ')'
 tupletype: (ID 'as')? type
 typelist: type (',' type)* | ','*
-name: ('global' | ID | primitive) ('(' 'of' typelist ')')? ('.' ANYID ('(' 'of' typelist ')')?)*
-primitive: 'boolean' | 'byte' | 'char' | 'date' | 'decimal' | 'double' | 'integer' | 'long' | 'object' | 'sbyte' | 'short' | 'single' | 'string' | 'uinteger' | 'ulong' | 'ushort'
-body: (t | labelled t | stmt t)*
+name: ('global' | ID | _primitive) ('(' 'of' typelist ')')? ('.' _ANYID ('(' 'of' typelist ')')?)*
+_primitive: 'boolean' | 'byte' | 'char' | 'date' | 'decimal' | 'double' | 'integer' | 'long' | 'object' | 'sbyte' | 'short' | 'single' | 'string' | 'uinteger' | 'ulong' | 'ushort'
+body: (_t | labelled _t | stmt _t)*
 labelled: (ID | 'number') ':' stmt?
 stmt: blockstmt | simple
 simple: local | expression | 'call' postfixed | 'return' expr? | 'throw' expr? | 'exit' ('sub' | 'function' | 'property' | 'do' | 'for' | 'while' | 'select' | 'try' | 'operator') | 'continue' ('do' | 'for' | 'while') | 'goto' (ID | 'number') | 'on' 'error' ('resume' 'next' | 'goto' (ID | 'number' | '-' 'number')) | 'resume' ('next' | ID | 'number')? | 'error' expr | 'raiseevent' ID ('(' args? ')')? | ('addhandler' | 'removehandler') expr ',' expr | 'redim' 'preserve'? postfixed (',' postfixed)* | 'erase' postfixed (',' postfixed)* | 'stop' | 'end' | 'yield' expr | 'await' operand | 'mid' '(' args ')' '=' expr | singleif
 local: attrs? ('dim' | 'const' | 'static' | 'shared' | 'readonly' | 'private' | 'public' | 'friend')+ fields
-expression: postfixed (assign expr)?
-assign: '=' | '+=' | '-=' | '*=' | '/=' | '\\=' | '^=' | '&=' | '<<=' | '>>='
+expression: postfixed (_assign expr)?
+_assign: '=' | '+=' | '-=' | '*=' | '/=' | '\\=' | '^=' | '&=' | '<<=' | '>>='
 singleif: 'if' expr 'then' simples ('else' simples?)?
 simples: simple (':' simple?)*
-blockstmt: 'if' expr 'then'? t body ('elseif' expr 'then'? t body | 'else' 'if' expr 'then'? t body)* ('else' t body)? ('end' 'if' | 'endif') | 'select' 'case'? expr t+ ('case' cases t body)* ('case' 'else' t body)? 'end' 'select' | 'while' expr t body ('end' 'while' | 'wend') | 'do' (('while' | 'until') expr)? t body 'loop' (('while' | 'until') expr)? | forstmt t body ('next' (postfixed (',' postfixed)*)?) | 'try' t body ('catch' (ID ('as' type)?)? ('when' expr)? t body)* ('finally' t body)? 'end' 'try' | 'using' (fields | expr) t body 'end' 'using' | 'synclock' expr t body 'end' 'synclock' | 'with' expr t body 'end' 'with'
+blockstmt: 'if' expr 'then'? _t body ('elseif' expr 'then'? _t body | 'else' 'if' expr 'then'? _t body)* ('else' _t body)? ('end' 'if' | 'endif') | 'select' 'case'? expr _t+ ('case' cases _t body)* ('case' 'else' _t body)? 'end' 'select' | 'while' expr _t body ('end' 'while' | 'wend') | 'do' (('while' | 'until') expr)? _t body 'loop' (('while' | 'until') expr)? | forstmt _t body ('next' (postfixed (',' postfixed)*)?) | 'try' _t body ('catch' (ID ('as' type)?)? ('when' expr)? _t body)* ('finally' _t body)? 'end' 'try' | 'using' (fields | expr) _t body 'end' 'using' | 'synclock' expr _t body 'end' 'synclock' | 'with' expr _t body 'end' 'with'
 forstmt: 'for' (postfixed ('as' type)? '=' expr 'to' expr ('step' expr)? | 'each' postfixed ('as' type)? 'in' expr)
 cases: caseitem (',' caseitem)*
 caseitem: expr ('to' expr)? | 'is'? ('=' | '<>' | '<' | '>' | '<=' | '>=') expr
 args: arg? (',' arg?)*
-arg: ((ANYID ':=')? expr ('to' expr)?) | 'of' typelist
-expr: unary* operand (binop unary* operand)*
-unary: '+' | '-' | 'not' | 'addressof'
-binop: '+' | '-' | '*' | '/' | '\\' | '^' | '&' | '=' | '<>' | '<' | '>' | '<=' | '>=' | '<<' | '>>' | 'and' | 'or' | 'andalso' | 'orelse' | 'xor' | 'mod' | 'like' | 'is' | 'isnot'
+arg: ((_ANYID ':=')? expr ('to' expr)?) | 'of' typelist
+expr: _unary* operand (_binop _unary* operand)*
+_unary: '+' | '-' | 'not' | 'addressof'
+_binop: '+' | '-' | '*' | '/' | '\\' | '^' | '&' | '=' | '<>' | '<' | '>' | '<=' | '>=' | '<<' | '>>' | 'and' | 'or' | 'andalso' | 'orelse' | 'xor' | 'mod' | 'like' | 'is' | 'isnot'
 operand: 'await'? postfixed | 'typeof' postfixed ('is' | 'isnot') type | lambda | query
-postfixed: primary post*
-post: ('.' | '?.' | '!') ANYID | '(' args? ')' | '?' '(' args? ')' | '.' '@' ANYID
-primary: 'number' | 'string' | 'date#' | 'true' | 'false' | 'nothing' | 'me' | 'mybase' | 'myclass' | 'global' | ID | primitive | interpolated | '(' tupleitem (',' tupleitem)* ')' | collection | ('.' | '!') ANYID | newexpr | ('ctype' | 'directcast' | 'trycast') '(' expr ',' type ')' | cast '(' expr ')' | 'gettype' '(' type ')' | 'if' '(' args ')'
+postfixed: _primary _post*
+_post: ('.' | '?.' | '!') _ANYID | '(' args? ')' | '?' '(' args? ')' | '.' '@' _ANYID
+_primary: 'number' | 'string' | 'date#' | 'true' | 'false' | 'nothing' | 'me' | 'mybase' | 'myclass' | 'global' | ID | _primitive | interpolated | '(' tupleitem (',' tupleitem)* ')' | collection | ('.' | '!') _ANYID | newexpr | ('ctype' | 'directcast' | 'trycast') '(' expr ',' type ')' | _cast '(' expr ')' | 'gettype' '(' type ')' | 'if' '(' args ')'
 tupleitem: (ID ':=')? expr
-cast: 'cbool' | 'cbyte' | 'cchar' | 'cdate' | 'cdbl' | 'cdec' | 'cint' | 'clng' | 'cobj' | 'csbyte' | 'cshort' | 'csng' | 'cstr' | 'cuint' | 'culng' | 'cushort'
+_cast: 'cbool' | 'cbyte' | 'cchar' | 'cdate' | 'cdbl' | 'cdec' | 'cint' | 'clng' | 'cobj' | 'csbyte' | 'cshort' | 'csng' | 'cstr' | 'cuint' | 'culng' | 'cushort'
 interpolated: 'open$' ('hole$' expr (',' expr)? 'format$'?)* 'close$'
 collection: '{' (expr (',' expr)*)? '}'
 newexpr: 'new' (newcore ('(' args? ')')* (collection | 'with' objectinit | 'from' collection)? | 'with' objectinit)
-newcore: ('global' | ID | primitive) ('(' 'of' typelist ')')? ('.' ANYID ('(' 'of' typelist ')')?)* '?'?
+newcore: ('global' | ID | _primitive) ('(' 'of' typelist ')')? ('.' _ANYID ('(' 'of' typelist ')')?)* '?'?
 objectinit: '{' (fieldinit (',' fieldinit)*)? '}'
-fieldinit: 'key'? '.' ANYID '=' expr | expr
-lambda: ('async' | 'iterator')* ('function' params returns? (expr | t body 'end' 'function') | 'sub' params (simple | blockstmt | t body 'end' 'sub'))
+fieldinit: 'key'? '.' _ANYID '=' expr | expr
+lambda: ('async' | 'iterator')* ('function' params returns? (expr | _t body 'end' 'function') | 'sub' params (simple | blockstmt | _t body 'end' 'sub'))
 query: ('from' | 'aggregate') queryvar (',' queryvar)* queryclause*
 queryvar: ID '?'? ('as' type)? 'in' 'nl'? expr
 queryclause: 'nl'? ('from' queryvar (',' queryvar)* | 'let' assigned (',' assigned)* | 'where' expr | 'order' 'by' expr ('ascending' | 'descending')? (',' expr ('ascending' | 'descending')?)* | 'select' assigned (',' assigned)* | 'distinct' | ('skip' | 'take') 'while'? expr | 'group'? 'join' queryvar 'on' expr ('into' assigned (',' assigned)*)? | 'group' (assigned (',' assigned)*)? 'by' assigned (',' assigned)* 'into' assigned (',' assigned)* | 'into' assigned (',' assigned)* | 'aggregate' queryvar)
