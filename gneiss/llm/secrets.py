@@ -39,7 +39,6 @@ PATTERNS = {
     "address signature": r"(?i)[?&;](?:sig|signature|x-amz-signature|access_token|token|apikey|api_key|code)=(?P<v>[a-z0-9%+/_=.\-]{16,})",
     "authorization": r"(?i)\b(?:bearer|basic)[ \t]+(?P<v>[a-z0-9+/_.=~\-]{12,})",
     "login pair": r"(?i)credentials?\s*\(\s*\"[^\"\n]*\"\s*,\s*@?\"(?P<v>[^\"\n]+)\"",
-    "fallback": rf"(?i){_NAME}\w*\"\s*[)\]]*\s*\?\?{_OPEN}(?P<v>[^\"\n]+)\"",
     "named argument": rf"(?i)(?P<n>(?:{_NAME}|authorization|[-_]key)[\w.\-]*)\"\s*,{_OPEN}(?:bearer |basic |token )?(?P<v>[^\"\n]+)\"",
     "encoded": rf"(?i)(?:{_NAME}|[-_]key)[\w\-]*\"\s*[\])]*\s*[,=][^\"\n]*frombase64string\(\s*\"(?P<v>[^\"\n]{{8,}})\"",
     "setting element": rf"(?i)\b(?:key|name)\s*=\s*\"(?P<n>[^\"\n]*{_NAME}[^\"\n]*)\"\s+(?:value|connectionstring)\s*=\s*\"(?P<v>[^\"\n]+)\"",
@@ -136,13 +135,15 @@ class Detector:
     """The patterns with their needed trigrams."""
 
     def __init__(self) -> None:
+        # patterns that ignore case search a copy in lower case, which the engine does much faster; where that would shift places, they don't
         self.regex = {name: re.compile(p) for name, p in PATTERNS.items()}
+        self.plain = {name: re.compile(re.sub(r"^\(\?i(m?)\)", lambda m: "(?m)" if m[1] else "", p)) for name, p in PATTERNS.items() if p.startswith("(?i")}
         self.needs = {name: required_trigrams(p) for name, p in PATTERNS.items()}
         self.grams = sorted(frozenset().union(*(c for cs in self.needs.values() for c in cs)))
 
-    def candidates(self, chunks: list[str]) -> dict[str, list[int]]:
+    def candidates(self, chunks: list[str], low: list[str] | None = None) -> dict[str, list[int]]:
         """For each pattern the chunks that contain its trigrams, by intersecting postings."""
-        low = [c.lower() for c in chunks]
+        low = [c.lower() for c in chunks] if low is None else low
         postings = {g: {i for i, c in enumerate(low) if g in c} for g in self.grams}
         out = {}
         for name, clauses in self.needs.items():
@@ -164,13 +165,14 @@ class Detector:
                 origin.append((i, start))
         settings = [bool(SETTINGS_FILE.search(p or "")) for p in paths]
         found: list[dict[int, Found]] = [{} for _ in texts]
-        for name, places in self.candidates(chunks).items():
-            regex = self.regex[name]
+        low = [c.lower() for c in chunks]
+        for name, places in self.candidates(chunks, low).items():
+            exact, plain = self.regex[name], self.plain.get(name)
             for c in places:
                 i, start = origin[c]
                 if name in _SETTINGS and not settings[i]:
                     continue
-                for match in regex.finditer(chunks[c]):
+                for match in plain.finditer(low[c]) if plain and len(low[c]) == len(chunks[c]) else exact.finditer(chunks[c]):
                     hit = _judge(name, match, start, texts[i], paths[i] or "")
                     if hit and hit.at not in found[i]:
                         found[i][hit.at] = hit
@@ -219,16 +221,18 @@ def _judge(name: str, match: re.Match, start: int, text: str, path: str) -> Foun
         at = start + match.start()
         body = start + match.end()
         return Found(name, at, ((body, _PEM_BODY.match(text, body).end()),))
-    value, at, end = match["v"], start + match.start("v"), start + match.end("v")
+    at, end = start + match.start("v"), start + match.end("v")
+    value = text[at:end]
     spans = [(at, end)]
     if text[end : end + 1] == '"':
         while more := _JOINED.match(text, end):
             value += more[1]
             spans.append(more.span(1))
             end = more.end()
-    named = match.groupdict().get("n")
-    if named:  # the name goes on before the word by which it was found
-        named = _BEFORE.search(text, max(0, start + match.start("n") - 80), start + match.start("n"))[0] + named
+    named = None
+    if "n" in match.re.groupindex:  # the name goes on before the word by which it was found
+        begin = start + match.start("n")
+        named = _BEFORE.search(text, max(0, begin - 80), begin)[0] + text[begin : start + match.end("n")]
     settings = bool(SETTINGS_FILE.search(path))
     if name in _QUOTED and not settings and not _in_text(text, start + match.start()):
         return None
