@@ -67,7 +67,11 @@ def _member(variant: Column, key: str, kind: str) -> Column:
 
 def metadata_text(metadata: Column | str, *keys: str) -> Column:
     """The first of several members that is a JSON string; numbers and truth values are none."""
-    variant = metadata_variant(metadata)
+    return variant_text(metadata_variant(metadata), *keys)
+
+
+def variant_text(variant: Column, *keys: str) -> Column:
+    """:func:`metadata_text` of an object that is parsed already; where many members are read, the parsed object should be a column of its own."""
     strict = [F.when(F.schema_of_variant(_member(variant, k, "variant")) == "STRING", _member(variant, k, "string")) for k in keys]
     return F.coalesce(*strict) if len(strict) > 1 else strict[0]
 

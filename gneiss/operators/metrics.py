@@ -136,6 +136,8 @@ def modernization_metrics(nodes: DataFrame, findings: DataFrame) -> DataFrame:
     owner = nodes.select(SNAP, F.col("stableKey").alias("node"), F.when(F.col("nodeKind") == "Project", F.col("stableKey")).otherwise(F.col("projectStableKey")).alias("project")).filter(F.col("project").isNotNull())
     by_project = touched.join(owner, [SNAP, "node"]).select(SNAP, "project", "stableKey").distinct()
     secure = scopes.join(by_project, [SNAP, "project"]).select(*key, "stableKey").distinct().groupBy(*key).agg(F.count("*").alias("security"))
-    same = lambda other: [per[SNAP] == other[SNAP], per["scope_kind"] == other["scope_kind"], per["scope_key"].eqNullSafe(other["scope_key"])]
-    out = per.join(shared, same(shared), "left").join(secure, same(secure), "left")
-    return out.select(*[per[c] for c in key], "legacy", zero("security").alias("security"), "out_of_support", "without_target", "framework_only", "data_access_spread", zero("shared_tables").alias("shared_tables"), "has_tables")
+    # the snapshot's own scope has a null key, which must meet itself
+    named = lambda df: df.select(*[F.col(c).alias(f"__{c}") for c in key], *[c for c in df.columns if c not in key])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    out = per.join(named(shared), same, "left").drop(*[f"__{c}" for c in key]).join(named(secure), same, "left")
+    return out.select(*key, "legacy", zero("security").alias("security"), "out_of_support", "without_target", "framework_only", "data_access_spread", zero("shared_tables").alias("shared_tables"), "has_tables")

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.columns import contains_ci, infer_container, infer_namespace, metadata_text, one_of, preview, safe_host, secret_like
+from gneiss.functions.columns import contains_ci, infer_container, infer_namespace, metadata_text, metadata_variant, one_of, preview, safe_host, secret_like, variant_text
 from gneiss.operators.findings import severity_rank
 
 SNAP = "snapshotStableKey"
@@ -112,13 +112,16 @@ def configuration_usage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def integration_facts(nodes: DataFrame) -> DataFrame:
     """(scope, stableKey, kind, host, protocol, project): outside services and queues by their safe host; those without one are left out."""
-    has_name = _any([metadata_text("metadata", n).isNotNull() for n in ("integrationKind", "endpointHost", "serviceName")])
-    chosen = nodes.filter(F.col("nodeKind").isin("ExternalService", "Queue", "Topic", "OpenApiDocument") | has_name)
-    kind = F.coalesce(metadata_text("metadata", "integrationKind"), F.when(F.col("nodeKind") == "OpenApiDocument", "OpenApi").otherwise(F.col("nodeKind")))
-    host = safe_host(F.coalesce(metadata_text("metadata", "endpointHost", "host", "serviceName", "url"), F.col("displayName")))
-    inferred = F.when(F.col("nodeKind").isin("Queue", "Topic"), metadata_text("metadata", "transportKind", "transport")).when(F.col("nodeKind").isin("OpenApiDocument", "ExternalService"), F.lit("HTTP"))
-    rows = chosen.select(SNAP, "stableKey", kind.alias("kind"), host.alias("host"), F.coalesce(metadata_text("metadata", "protocol"), inferred).alias("protocol"), F.col("projectStableKey").alias("project"))
-    return rows.filter(F.coalesce(F.trim("host"), F.lit("")) != "")
+    # the metadata is parsed once, and each step is a column of its own, so that nothing is computed twice
+    parsed = nodes.withColumn("m", metadata_variant("metadata"))
+    read = lambda *names: variant_text(F.col("m"), *names)
+    said = parsed.select(SNAP, "stableKey", "nodeKind", "projectStableKey", read("integrationKind").alias("said_kind"), read("endpointHost").alias("h1"), read("serviceName").alias("h3"), read("host").alias("h2"), read("url").alias("h4"), read("transportKind", "transport").alias("transport"), read("protocol").alias("said_protocol"), "displayName")
+    chosen = said.filter(F.col("nodeKind").isin("ExternalService", "Queue", "Topic", "OpenApiDocument") | F.col("said_kind").isNotNull() | F.col("h1").isNotNull() | F.col("h3").isNotNull())
+    kind = F.coalesce("said_kind", F.when(F.col("nodeKind") == "OpenApiDocument", "OpenApi").otherwise(F.col("nodeKind")))
+    inferred = F.when(F.col("nodeKind").isin("Queue", "Topic"), F.col("transport")).when(F.col("nodeKind").isin("OpenApiDocument", "ExternalService"), F.lit("HTTP"))
+    named = chosen.select(SNAP, "stableKey", kind.alias("kind"), F.coalesce("h1", "h2", "h3", "h4", "displayName").alias("target"), F.coalesce("said_protocol", inferred).alias("protocol"), F.col("projectStableKey").alias("project"))
+    rows = named.select(SNAP, "stableKey", "kind", F.explode(F.array_compact(F.array(F.nullif(F.trim(safe_host("target")), F.lit(""))))).alias("host"), "protocol", "project")
+    return rows
 
 
 def ui_facts(nodes: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators.versions import holding
 from gneiss.sources.tables import table
+from gneiss.work import staged
 
 SNAP = "snapshotStableKey"
 PROJECTED = "snapshot://projected"
@@ -75,7 +76,26 @@ def _json(*pairs: tuple[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _ingested(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
+    """The projection is ingested once for each application and folder, as a snapshot would be, and read by all queries."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _stored:
+        _stored[key] = staged(make(spark, folder), name)
+    return _stored[key]
+
+
 def projected_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return _ingested(spark, folder, "projected-nodes", _project_nodes)
+
+
+def projected_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _ingested(spark, folder, "projected-edges", _project_edges)
+
+
+def _project_nodes(spark: SparkSession, folder: str) -> DataFrame:
     s = _size(spark, folder)
     null = F.lit(None).cast("string")
 
@@ -118,7 +138,7 @@ def projected_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.lit(PROJECTED).alias(SNAP), "*")
 
 
-def projected_edges(spark: SparkSession, folder: str) -> DataFrame:
+def _project_edges(spark: SparkSession, folder: str) -> DataFrame:
     s = _size(spark, folder)
     c = F.col
     frame = lambda name: table(spark, folder, name)
