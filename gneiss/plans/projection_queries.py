@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import columns as fn
 from gneiss.operators import findings as fnd
-from gneiss.operators import hotspots, layering, metrics, rules, services
+from gneiss.operators import extract, hotspots, layering, metrics, rules, services
 from gneiss.plans import model
 from gneiss.plans.graph_queries import _METRICS
 from gneiss.plans.model import PROJECTED, SNAP, SQL_EDGES, SQL_EVIDENCE, SQL_NODES, SQL_PROJECTION
@@ -333,3 +333,51 @@ def source_scans(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "source_files").filter(F.lower("absolutePath").endswith(".cs"))
     count = lambda pattern: F.coalesce(F.regexp_count(F.regexp_replace("sourceText", "\r", ""), F.lit(pattern)), F.lit(0))
     return rows.select("file_id", count(r"(?m)^\s*using\s+[\w.]+;").alias("usings"), count(r"new\s+([A-Z]\w*)\(").alias("creations"))
+
+
+@query(r"""WITH f AS (SELECT file_id, sourceText t FROM source_files WHERE sourceText IS NOT NULL AND lower(absolutePath) LIKE '%.config'), k AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(t, '<add\s[^>]*?\b(?:key|name)\s*=\s*"([^"]+)"', 1)) AS name FROM f)
+SELECT file_id, name, 'xml' AS source, regexp_matches(lower(name), 'password|secret|token|apikey|connectionstring|credential') AS secret_like FROM k""")
+def xml_configuration_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.configuration_keys(table(spark, folder, "source_files"), "file_id", "absolutePath", "sourceText").filter(F.col("source") == "xml")
+
+
+@query(r"""WITH RECURSIVE f AS (SELECT file_id, TRY_CAST(sourceText AS JSON) j FROM source_files WHERE sourceText IS NOT NULL AND lower(absolutePath) LIKE '%.json'),
+w(file_id, name, j) AS (SELECT file_id, k, json_extract(j, '$."' || k || '"') FROM (SELECT file_id, j, unnest(json_keys(j)) AS k FROM f WHERE json_type(j) = 'OBJECT') UNION ALL SELECT file_id, name || ':' || k, json_extract(j, '$."' || k || '"') FROM (SELECT file_id, name, j, unnest(json_keys(j)) AS k FROM w WHERE json_type(j) = 'OBJECT'))
+SELECT file_id, name, 'json' AS source, regexp_matches(lower(name), 'password|secret|token|apikey|connectionstring|credential') AS secret_like FROM w WHERE json_type(j) <> 'OBJECT'""")
+def json_configuration_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.configuration_keys(table(spark, folder, "source_files"), "file_id", "absolutePath", "sourceText").filter(F.col("source") == "json")
+
+
+_DECLARED = r"(?m)^[ \t]*(?:(?:public|internal|private|protected|static|sealed|abstract|partial|readonly|file)\s+)*(class|struct|interface|enum|record)\s+([A-Za-z_]\w*)"
+
+
+@query(rf"""WITH f AS (SELECT file_id, sourceText t FROM source_files WHERE sourceText IS NOT NULL AND lower(absolutePath) LIKE '%.cs'), d AS (SELECT file_id, regexp_extract(t, '(?m)^\s*namespace\s+([\w.]+)', 1) AS namespace, unnest(regexp_extract_all(t, '{_DECLARED}', 1)) AS kind, unnest(regexp_extract_all(t, '{_DECLARED}', 2)) AS name FROM f) SELECT * FROM d""")
+def declared_types(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "source_files").filter(F.lower("absolutePath").endswith(".cs"))
+    return extract.declared_types(files, "file_id", "sourceText")
+
+
+@query(
+    """WITH c AS (SELECT event_id AS call, CASE event_id % 2 WHEN 0 THEN 'GET' ELSE 'post' END m, event_type || '/' || (user_id % 7) r, CASE event_id % 3 WHEN 0 THEN NULL ELSE 'https://S' || (event_id % 4) END b FROM events),
+e AS (SELECT DISTINCT event_type || '/' || (user_id % 7) || '/' || (event_id % 2) || '/' || (event_id % 4) AS endpoint, CASE event_id % 2 WHEN 0 THEN 'get' ELSE 'POST' END m, event_type || '/' || (user_id % 7) r, 'HTTPS://s' || (event_id % 4) b FROM events WHERE event_id % 5 = 0),
+j AS (SELECT call, c.b IS NULL AS free, endpoint, coalesce(lower(c.b) = lower(e.b), false) AS owned FROM c LEFT JOIN e ON lower(c.m) = lower(e.m) AND lower(c.r) = lower(e.r)),
+g AS (SELECT call, count(*) FILTER (owned) o, max(endpoint) FILTER (owned) oe, count(endpoint) n, max(endpoint) x, bool_and(free) f FROM j GROUP BY 1)
+SELECT call, CASE WHEN o = 1 THEN oe WHEN f AND n = 1 THEN x END AS endpoint, CASE WHEN o = 1 OR f AND n = 1 THEN 'matched' ELSE 'unknown' END AS state FROM g"""
+)
+def internal_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls made of the events, matched with endpoints made of every fifth."""
+    rows = table(spark, folder, "events")
+    none = F.lit(None).cast("string")
+    route = F.concat(F.lit("/"), F.col("event_type"), F.lit("/"), (F.col("user_id") % 7).cast("string"))
+    half, quarter = (F.col("event_id") % 2).cast("string"), (F.col("event_id") % 4).cast("string")
+    calls = rows.select(F.col("event_id").alias("call"), F.when(half == "0", "GET").otherwise("post").alias("method"), F.concat(route, F.lit("?x=1")).alias("route"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("https://S"), quarter)).alias("base_url"), none.alias("config_key"))
+    name = F.concat_ws("/", "event_type", (F.col("user_id") % 7).cast("string"), half, quarter)
+    endpoints = rows.filter(F.col("event_id") % 5 == 0).select(name.alias("endpoint"), F.when(half == "0", "get").otherwise("POST").alias("method"), F.concat(route, F.lit("/")).alias("route"), F.concat(F.lit("HTTPS://s"), quarter).alias("base_url"), none.alias("config_key")).distinct()
+    return extract.match_calls(calls, endpoints)
+
+
+@query("SELECT o_orderkey AS run, o_orderdate AS started FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
+def recent_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A history of runs, newest first; orders stand for runs."""
+    runs = table(spark, folder, "orders").select(F.col("o_orderkey").alias("runId"), F.col("o_orderdate").alias("startedUtc"))
+    return extract.recent_runs(runs, 25).select(F.col("runId").alias("run"), F.col("startedUtc").alias("started"))
