@@ -37,7 +37,7 @@ def project_facts(files: DataFrame, key: str, path: str, text: str) -> DataFrame
     every = lambda p: F.xpath(xml, F.lit(p))
     frameworks = F.split(F.concat_ws(";", every(f"//{_local('TargetFramework')}/text()"), every(f"//{_local('TargetFrameworks')}/text()"), every(f"//{_local('TargetFrameworkVersion')}/text()")), ";")
     return good.select(
-        F.col(key), F.regexp_replace(file_name(F.col(path)), r"\.[^.]*$", "").alias("name"), F.filter(frameworks, lambda f: F.trim(f) != "").alias("frameworks"), ~xml.rlike(r"<Project[^>]*\bSdk\s*=").alias("old_style"),
+        F.col(key), F.regexp_replace(file_name(F.col(path)), r"\.[^.]*$", "").alias("name"), F.filter(frameworks, lambda f: F.trim(f) != "").alias("frameworks"), (~xml.rlike(r"<Project[^>]*\bSdk\s*=")).alias("old_style"),
         F.array_sort(F.array_distinct(every(f"//{_local('PackageReference')}/@Include"))).alias("packages"), F.array_sort(F.array_distinct(F.transform(every(f"//{_local('ProjectReference')}/@Include"), lambda r: F.regexp_replace(r, r"\\", "/")))).alias("references"),
     )
 

@@ -162,7 +162,7 @@ def simple_cycles(edges: DataFrame, max_depth: int = 12, limit: int = 100) -> Da
             break
     parts = found.select(SNAP, "nodes", "edges", F.explode("edges").alias("stableKey")).join(core.select(SNAP, "stableKey", "evidenceStableKeys", "confidence"), [SNAP, "stableKey"])
     rolled = parts.groupBy(SNAP, "nodes", "edges").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("evidenceStableKeys", F.array().cast("array<string>")))))).alias("evidence"), F.min("confidence").alias("confidence")
+        F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.coalesce("evidenceStableKeys", F.array().cast("array<string>"))))))).alias("evidence"), F.min("confidence").alias("confidence")
     )
     text_n, text_e = F.array_join("nodes", ">"), F.array_join("edges", ">")
     key = F.concat(F.lit("cycle://"), F.col(SNAP), F.lit("/"), F.sha2(F.concat(text_n, F.lit("|"), text_e), 256))

@@ -162,11 +162,16 @@ def resolve(links: DataFrame, paths: bool = False, bound: int = BUCKET_LINKS, _d
     between = staged(solved.filter(F.col("cyclic").isNull()).join(tops, ["scope", "node"], "left_semi").drop("cyclic"), "hierarchy-between")
     left, had = between.count(), links.count()
     if not left:
-        return solved
-    if 2 * left > had:
+        upper = between.withColumn("cyclic", F.lit(None).cast("string"))
+    elif 2 * left > had:
         upper = _doubled(between, paths)
     else:
         upper = resolve(between, paths, bound, _depth + 1)
+    # a local top may itself run into a cycle in its own bucket; what leads to it then does as well
+    ringed = solved.filter(F.col("cyclic").isNotNull()).join(tops, ["scope", "node"], "left_semi")
+    onward = ringed.select("scope", F.col("node").alias("up"), F.col("cyclic").alias("cyclic3"))
+    upper = upper.join(onward, ["scope", "up"], "left").withColumn("cyclic", F.coalesce("cyclic", "cyclic3")).drop("cyclic3")
+    upper = upper.withColumn("path", F.when(F.col("cyclic").isNull(), F.col("path"))).unionByName(ringed)
     upper = upper.select("scope", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("least").alias("least2"), F.col("cyclic").alias("cyclic2"), F.col("path").alias("path2"))
     joined = solved.join(upper, ["scope", "up"], "left")
     return joined.select(
@@ -179,12 +184,12 @@ def resolve(links: DataFrame, paths: bool = False, bound: int = BUCKET_LINKS, _d
 def hierarchy(pairs: DataFrame, scope: str, child: str, parent: str, paths: bool = False, bound: int = BUCKET_LINKS) -> DataFrame:
     """All nodes of the trees that ``pairs`` form within each scope: (scope, node, root, depth, in_cycle, path).
 
-    * A node is anything at either end of a pair; pairs with a null in any of the three columns are left out.
+    * A node is anything at either end of a pair that counts; pairs with a null in any of the three columns are left out.
     * ``root`` is the node without a parent at the top of the chain, with ``depth`` 0; where the chain runs into a cycle (a node
       that is its own parent is one) ``root`` is the least key on the cycle in binary order, ``in_cycle`` is true, and ``depth`` and
       ``path`` are null.
     * ``path`` lists the keys from the root down to the node (null unless ``paths``).
-    * Repeated pairs count once. Should a node have several parents, the least key counts.
+    * Repeated pairs count once. Should a node have several parents, the pair with the least one counts.
     * Other columns of ``pairs`` are ignored. An empty table gives an empty table.
     """
     # one aggregation drops repeats and settles several parents at once

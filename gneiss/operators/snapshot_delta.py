@@ -130,10 +130,11 @@ def _difference(tables: DataFrame, pairs: DataFrame) -> DataFrame:
 def snapshot_delta(records: DataFrame, pairs: DataFrame, snapshot: str, key: Sequence[str], digest: Column, cells: int = CELLS, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
     """Records added, removed or changed between the snapshots of each pair: (later, earlier, change, *key).
 
-    ``pairs`` has (later, earlier, line); a snapshot of ``pairs`` without records counts as empty. ``change`` is ``added``,
+    ``pairs`` has (later, earlier, line), where a snapshot belongs to one line and is the later one of one pair at most; a snapshot of ``pairs`` without records counts as empty. ``change`` is ``added``,
     ``removed`` or ``changed`` (the digests differ; a null digest equals only a null one). Rows of a snapshot that repeat a key count
     once, with the greatest digest. Null key fields equal each other. Rows with a null snapshot, and other columns, are ignored.
     """
+    pairs = staged(pairs, "delta-pairs")
     nulls = [F.col(c).isNull() for c in key]
     kh = F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("")) for c in map(F.col, key)], *nulls)
     lines = pairs.select("line", F.col("later").alias("snapshot")).unionByName(pairs.select("line", F.col("earlier").alias("snapshot"))).distinct()
