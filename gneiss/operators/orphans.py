@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from gneiss.work import staged
 
-#: Orphan keys (16 bytes each) up to which the set of them is broadcast: 64 MB. Beyond, the join shuffles, with salted keys.
-BROADCAST_KEYS = 4_000_000
+#: Orphan keys (16 bytes each) up to which the set of them is broadcast: some tens of MB in memory. Beyond, the join shuffles, with salted keys.
+BROADCAST_KEYS = 400_000
 SALTS = 32
 
 HASH = ["h1", "h2"]

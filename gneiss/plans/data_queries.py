@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.operators.hierarchy import descendants, hierarchy
@@ -89,23 +92,32 @@ def p3_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL_P3_SUMMARY = f"WITH {_P3} SELECT snapshot_key, category, change, count(*) AS records FROM d GROUP BY ALL"
 
-#: Periods in which the ledger takes in the rows, by the time of loading.
-P4_CUTS = ("2024-06-01 00:00:00",)
+#: Periods of equal length in which the ledger takes in the rows, by the time of loading of the references.
+P4_PERIODS = 2
 
 
-def _ledger(spark: SparkSession, folder: str) -> OrphanLedger:
+def _period(since: datetime | None, until: datetime | None) -> Column:
+    """Rows loaded in a period; rows without a time of loading belong to the first."""
+    at = F.col("loadedUtc")
+    inside = F.lit(True)
+    if since is not None:
+        inside = inside & (at >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        before = at < F.lit(until).cast("timestamp_ntz")
+        inside = inside & (before if since is not None else at.isNull() | before)
+    return inside
+
+
+def _ledgers(spark: SparkSession, folder: str, periods: int) -> Iterator[tuple[int, OrphanLedger]]:
+    """The ledger after each period."""
     links, hot = table(spark, folder, "symbol_relationships"), table(spark, folder, "hotspots")
     nodes, evidence = table(spark, folder, "nodes"), table(spark, folder, "evidence")
+    ends = links.agg(F.min("loadedUtc").alias("a"), F.max("loadedUtc").alias("b")).first()
+    cuts = [] if ends["a"] is None else [ends["a"] + (ends["b"] - ends["a"]) * k / periods for k in range(1, periods)]
+    bounds = [None, *cuts, None]
     ledger = OrphanLedger()
-    cuts = [None, *P4_CUTS, None]
-    for since, until in zip(cuts, cuts[1:]):
-        at = F.col("loadedUtc")
-        # a row without a time of loading belongs to the first period
-        period = F.lit(True)
-        if until:
-            period = period & (at.isNull() if since is None else F.lit(False)) | (at < F.lit(until).cast("timestamp_ntz"))
-        if since:
-            period = period & (at >= F.lit(since).cast("timestamp_ntz"))
+    for k, (since, until) in enumerate(zip(bounds, bounds[1:]), 1):
+        period = _period(since, until)
         references = references_of(
             links.filter(period), "symbol_relationships", "snapshotStableKey", "stableKey", "loadedUtc",
             {"sourceSymbolStableKey": ("nodes", "one"), "targetSymbolStableKey": ("nodes", "one"), "evidenceStableKeys": ("evidence", "many")},
@@ -114,6 +126,13 @@ def _ledger(spark: SparkSession, folder: str) -> OrphanLedger:
             parents_of(evidence.filter(period), "evidence", "snapshotStableKey", "stableKey", "loadedUtc", "deletedUtc")
         )
         ledger = ledger.apply(references, parents)
+        yield k, ledger
+
+
+def _ledger(spark: SparkSession, folder: str) -> OrphanLedger:
+    ledger = OrphanLedger()
+    for _, ledger in _ledgers(spark, folder, P4_PERIODS):
+        pass
     return ledger
 
 
@@ -125,6 +144,15 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_counts(_ledger(spark, folder).pending, table(spark, folder, "snapshots"), "stableKey", "startedUtc")
 
 
+def p4_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Open orphans per table and month as they stood after each of three periods."""
+    parts = [orphan_counts(x.pending, table(spark, folder, "snapshots"), "stableKey", "startedUtc").withColumn("period", F.lit(k)) for k, x in _ledgers(spark, folder, 3)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 _P4 = f"""n AS (SELECT snapshotStableKey s, stableKey k FROM ({_HELD.format(t="nodes")}) WHERE deletedUtc IS NULL),
 e AS (SELECT snapshotStableKey s, stableKey k FROM ({_HELD.format(t="evidence")}) WHERE deletedUtc IS NULL),
 r AS ({_HELD.format(t="symbol_relationships")}), h AS ({_HELD.format(t="hotspots")}),
@@ -138,5 +166,20 @@ SQL_P4_FOUND = f"WITH {_P4} SELECT t AS ref_table, s AS snapshot_key, r AS recor
 SQL_P4_COUNTS = f"""WITH {_P4}, m AS (SELECT DISTINCT stableKey k, strftime(startedUtc, '%Y-%m') AS mon FROM snapshots)
 SELECT t AS ref_table, mon AS month, count(*) AS orphans, count(DISTINCT s) AS scopes FROM o LEFT JOIN m ON m.k = o.s GROUP BY ALL"""
 
-QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_summary": p3_summary, "p4_found": p4_found, "p4_counts": p4_counts}
-SQL = {"p2_found": SQL_P2_FOUND, "p2_paths": SQL_P2_PATHS, "p2_descendants": SQL_P2_DESCENDANTS, "p3_found": SQL_P3_FOUND, "p3_summary": SQL_P3_SUMMARY, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS}
+
+
+def _after(k: int) -> str:
+    """The orphans after k of three periods, of what had been loaded by then."""
+    text = _P4
+    for name in ("nodes", "evidence", "symbol_relationships", "hotspots"):
+        text = text.replace(f"FROM {name} ", f"FROM (SELECT * FROM {name} WHERE {k} = 3 OR loadedUtc < (SELECT make_timestamp(epoch_us(min(loadedUtc)) + ((epoch_us(max(loadedUtc)) - epoch_us(min(loadedUtc))) * {k} / 3)::BIGINT) FROM symbol_relationships)) ")
+    return text
+
+
+SQL_P4_PERIODS = " UNION ALL ".join(
+    f"""SELECT * FROM (WITH {_after(k)}, m AS (SELECT DISTINCT stableKey k, strftime(startedUtc, '%Y-%m') AS mon FROM snapshots)
+SELECT t AS ref_table, mon AS month, count(*) AS orphans, count(DISTINCT s) AS scopes, {k} AS period FROM o LEFT JOIN m ON m.k = o.s GROUP BY ALL)""" for k in (1, 2, 3)
+)
+
+QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_summary": p3_summary, "p4_found": p4_found, "p4_counts": p4_counts, "p4_periods": p4_periods}
+SQL = {"p2_found": SQL_P2_FOUND, "p2_paths": SQL_P2_PATHS, "p2_descendants": SQL_P2_DESCENDANTS, "p3_found": SQL_P3_FOUND, "p3_summary": SQL_P3_SUMMARY, "p4_found": SQL_P4_FOUND, "p4_counts": SQL_P4_COUNTS, "p4_periods": SQL_P4_PERIODS}

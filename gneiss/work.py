@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a cut in the lineage that survives lost executors.
 
-    The files are removed when the driver ends.
+    The files are removed when the driver ends, or by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
@@ -43,6 +43,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release() -> None:
+    """Remove all that was staged so far. Frames made before, and those derived from them, cannot be read any more."""
+    _clean()
+    _written.clear()
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
