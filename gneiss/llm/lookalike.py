@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.work import staged
+
 # Letters of the Greek and Cyrillic scripts with the shape of a Latin letter, and of Cyrillic ones with that of a Greek letter.
 SAME_SHAPE = {
     "CYRILLIC": {
@@ -149,7 +151,8 @@ def _keys(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(id, form, raw): hashes of the consistent form and of the text itself, of the texts with a visible character."""
     both = documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("raw"), canonical_column(F.col(text)).alias("form"))
     visible = both.filter(F.col("form").rlike(r"[^\s\x00-\x1f\x7f-\x9f]"))
-    return visible.select("id", F.unhex(F.sha2("form", 256)).alias("form"), F.unhex(F.sha2("raw", 256)).alias("raw"))
+    # hashes only, written once: what follows reads them several times and must not run the transducer again
+    return staged(visible.select("id", F.unhex(F.sha2("form", 256)).alias("form"), F.unhex(F.sha2("raw", 256)).alias("raw")), "look-keys")
 
 
 def same_look(documents: DataFrame, key: str, text: str) -> DataFrame:
