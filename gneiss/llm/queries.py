@@ -17,8 +17,9 @@ from gneiss.sources.tables import table
 
 
 def _spread(df: DataFrame, column: str) -> DataFrame:
-    """Rows of small files spread evenly, as what follows is much dearer than a row's way through the network."""
-    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), column)
+    """Rows of a small input, which is read in fewer tasks than there are cores, are spread over all; a large one stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, column)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,9 +31,13 @@ class _Worse:
         return other.key < self.key
 
 
+#: Items that a partition's task holds; with more, what it holds is handed on and it starts afresh, which leaves the bounds valid.
+KEPT_ITEMS = 500_000
+
+
 def _local(batches: Iterator[pd.DataFrame], groups: list[str], n: int, ties: list[str]) -> Iterator[pd.DataFrame]:
     kept: dict[tuple, list[_Worse]] = {}
-    names = [*groups, "score", *ties]
+    names, held = [*groups, "score", *ties], 0
     for batch in batches:
         for row in zip(*(batch[c].tolist() for c in names)):
             g, score, tie = row[: len(groups)], row[len(groups)], row[len(groups) + 1 :]
@@ -42,13 +46,21 @@ def _local(batches: Iterator[pd.DataFrame], groups: list[str], n: int, ties: lis
             heap = kept.setdefault(g, [])
             if len(heap) < n:
                 heappush(heap, _Worse((key, score, tie)))
+                held += 1
             elif key < heap[0].key[0]:
                 heapreplace(heap, _Worse((key, score, tie)))
+        if held > KEPT_ITEMS:
+            yield from _handed(kept, names, n)
+            kept, held = {}, 0
+    yield from _handed(kept, names, n)
+
+
+def _handed(kept: dict[tuple, list[_Worse]], names: list[str], n: int) -> Iterator[pd.DataFrame]:
+    """What a task kept; the worst of a full group is marked as its bound."""
     rows = []
     for g, heap in kept.items():
         full = len(heap) == n
-        for i, item in enumerate(heap):
-            rows.append((*g, item.key[1], *item.key[2], full and i == 0))
+        rows += [(*g, item.key[1], *item.key[2], full and i == 0) for i, item in enumerate(heap)]
         if len(rows) >= 20_000:
             yield pd.DataFrame(rows, columns=[*names, "bound"])
             rows = []
