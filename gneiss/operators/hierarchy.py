@@ -198,8 +198,8 @@ def hierarchy(pairs: DataFrame, scope: str, child: str, parent: str, paths: bool
     entries = resolve(links, paths, bound)
     looped = F.col("cyclic").isNotNull()
     way = F.when(~looped, F.reverse(F.concat("path", F.array("up")))) if paths else F.lit(None).cast("array<string>")
-    if paths:
-        entries = staged(entries, "hierarchy-entries")
+    # read twice below; the forests must not be built again for that
+    entries = staged(entries.select("scope", "node", "up", "dist", "cyclic", "path"), "hierarchy-entries")
     members = entries.select("scope", "node", F.coalesce("cyclic", "up").alias("root"), F.when(~looped, F.col("dist")).alias("depth"), looped.alias("in_cycle"), way.alias("path"))
     tops = entries.filter(~looped).select("scope", F.col("up").alias("node")).distinct()
     return members.unionByName(tops.select("scope", "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("in_cycle"), (F.array("node") if paths else F.lit(None).cast("array<string>")).alias("path")))
