@@ -150,9 +150,9 @@ def canonical_column(text: Column) -> Column:
 def _keys(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(id, form, raw): hashes of the consistent form and of the text itself, of the texts with a visible character."""
     both = documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("raw"), canonical_column(F.col(text)).alias("form"))
-    visible = both.filter(F.col("form").rlike(r"[^\s\x00-\x1f\x7f-\x9f]"))
-    # hashes only, written once: what follows reads them several times and must not run the transducer again
-    return staged(visible.select("id", F.unhex(F.sha2("form", 256)).alias("form"), F.unhex(F.sha2("raw", 256)).alias("raw")), "look-keys")
+    marked = both.select("id", F.unhex(F.sha2("form", 256)).alias("form"), F.unhex(F.sha2("raw", 256)).alias("raw"), F.col("form").rlike(r"[^\s\x00-\x1f\x7f-\x9f]").alias("visible"))
+    # hashes only, written once: what follows reads them several times, and neither that nor the filter must run the transducer again
+    return staged(marked, "look-keys").filter("visible").drop("visible")
 
 
 def same_look(documents: DataFrame, key: str, text: str) -> DataFrame:
