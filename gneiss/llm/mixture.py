@@ -99,10 +99,11 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block: i
     wanted = sorted({r["source"]: r for r in sorted(targets.select("source", "target_share", "max_repeats").filter(F.col("source").isNotNull()).collect(), key=lambda r: -(r["target_share"] or 0.0))}.values(), key=lambda r: r["source"])
     names = [r["source"] for r in wanted]  # one row for each source of the mix; the table of targets is fixed in size
     spark = sizes.sparkSession
-    usable = sizes.filter((F.col("tokens") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "source", F.col("tokens").cast("long").alias("tokens"))
+    usable = sizes.filter(F.col("doc_id").isNotNull()).select("doc_id", "source", F.col("tokens").cast("long").alias("tokens"))
     usable = usable.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "source string")), "source", "left_semi")
     order = F.xxhash64("doc_id", F.lit(seed))
     usable = staged(usable.withColumn("order", order).withColumn("interval", F.shiftright("order", 64 - 12) + F.lit(INTERVALS // 2)), "mix-sizes")
+    usable = usable.filter(F.col("tokens") > 0)  # after writing, else the texts would be counted once more for the filter
     steps = usable.groupBy("source", "interval").agg(F.sum("tokens").alias("tokens"))
     have = {r["source"]: r["tokens"] for r in steps.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     sources = [Source(r["source"], float(r["target_share"] or 0.0), int(r["max_repeats"] or 0), int(have.get(r["source"], 0))) for r in wanted]
