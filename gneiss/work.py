@@ -8,8 +8,10 @@ folder made.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,32 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once for each application, so that functions in Python run wherever they land."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as own:  # on the driver only; executors fetch the copy in the shared folder
+        local = os.path.join(own, "gneiss.zip")
+        with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith((".py", ".json")):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.join("gneiss", os.path.relpath(path, root)))
+        target = f"{shared_folder(spark)}/gneiss-{uuid.uuid4().hex}.zip"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(where.getParent())
+        files.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path("file://" + local), where)
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a cut in the lineage that survives lost executors.
 
