@@ -37,6 +37,8 @@ BY_HAND = re.compile(r"written by hand|hand-?written|not (?:auto-?)?generated|re
 BANNER = re.compile(r"spdx-license-identifier:|licensed under|\blicense file of\b|^\s*/\*!.*\|\s*\(c\)|released under the \w+ licen[cs]e|permission is hereby granted", re.M)
 
 _HEADER_LINE = re.compile(r"\s*(?:$|//|/\*|\*|'|rem\b|#(?!\s*(?:if|else|elif|end|line))|<!--|\ufeff)", re.I)
+_BYTE_ORDER = re.compile("^(?:\ufeff|\u00ef\u00bb\u00bf)+")
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[^\"]*")
 _MARKS = re.compile(r"^\s*[\[<]\s*(?:(?:assembly|module)\s*:\s*)?(?:global(?:::|\.))?(?:System\.CodeDom\.Compiler\.)?(?:GeneratedCode|CompilerGenerated)(?:Attribute)?\s*\(|^\s*#line\s+\d+\s+\"|^\s*#pragma checksum|^\s*\[assembly:\s*global::System\.Reflection\.AssemblyTitle", re.M | re.I)
 _NAMESPACE = re.compile(r"^[ \t]*namespace[ \t]+(?:global(?:::|\.))?([A-Za-z_]\w*)", re.M | re.I)
 _STRINGS = re.compile(r'@"(?:[^"]|"")*(?:"|\Z)|"(?:[^"\\\n]|\\.)*"')
@@ -57,7 +59,8 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def header(text: str) -> str:
-    """The comments and directives before the first line of code, of whatever length."""
+    """The comments and directives before the first line of code, of whatever length; a mark of byte order, read rightly or wrongly, comes before them."""
+    text = _BYTE_ORDER.sub("", text, count=1)
     end, inside = 0, False
     for line in text.splitlines(keepends=True):
         if inside:
@@ -133,8 +136,8 @@ def _table(text: str) -> bool:
 
 
 def data_share(text: str) -> tuple[float, int]:
-    """The share of a text's visible characters in numbers and strings that hold no prose or code, and how many such characters there are."""
-    text = _COMMENT.sub("", text) if '"' not in text else text
+    """The share of a text's visible characters in numbers and strings that hold no prose, code or key block, and how many such characters there are."""
+    text = _COMMENT.sub("", text) if '"' not in text else _KEY_BLOCK.sub("", text)
     literal = 0
     rest = []
     last = 0

@@ -18,6 +18,7 @@ CODE = "namespace RedMill.Core\n{\n    class A\n    {\n        void M() { Run(1)
         ("src/A.Designer.cs", CODE, "generated"), ("C:\\r\\obj\\Release\\A.cs", CODE, "generated"), ("a.g.i.CS", CODE, "generated"), ("src/A.cs", "/*\n * <auto-generated/>\n */\n" + CODE, "generated"), ("src/A.vb", "' Code generated by Tool. DO NOT EDIT.\n", "generated"),
         ("src/A.cs", "// Thing output for a.grammar\n" + CODE, "generated"), ("src/A.cs", CODE.replace("    class", '    [GeneratedCode("x", "1")]\n    class'), "generated"), ("src/A.cs", "class A {\n#line 3 \"a.view\"\n}", "generated"),
         ("node_modules/x/a.js", "f();", "vendored"), ("src/ThirdParty/x/A.cs", CODE, "vendored"), ("vendor/x/A.cs", CODE, "vendored"), ("src/A.cs", "// SPDX-License-Identifier: MIT\n" + CODE, "vendored"), ("a.js", "/*! lib v1.2 | (c) Some Body | MIT */\nf();", "vendored"),
+        ("src/A.cs", "\u00ef\u00bb\u00bf// Code generated by Tool. DO NOT EDIT.\n" + CODE, "generated"), ("src/A.cs", "\ufeff// <auto-generated/>\n" + CODE, "generated"), ("src/A.cs", 'class A { string k = @"-----BEGIN PRIVATE KEY-----\n' + "AbC1" * 400, None),
         ("src/A.cs", CODE.replace("RedMill", "Other"), "vendored"), ("js/a.min.js", "f()", "minified"), ("js/app.0a1b2c3d.js", "f()", "minified"), ("js/a.js", "var a=b||{},c=!0;function d(e,f){return e.g(f>1?f:2)};" * 20, "minified"),
         ("src/D.cs", "class D { byte[] b = { " + ", ".join(["0xAB"] * 400) + " }; }", "data"), ("src/D.cs", 'class D { string s = @"id;v\n' + "1;2\n" * 400 + '"; }', "data"), ("yarn.lock", "x", "lockfile"),
     ],
