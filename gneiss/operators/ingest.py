@@ -55,9 +55,24 @@ def without(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     return rows.join(snapshots.select(F.col("stableKey").alias(SNAP)).distinct(), SNAP, "left_anti")
 
 
+#: Records of a snapshot up to which one task writes it.
+SNAPSHOT_RECORDS = 1_000_000
+
+
 def write_snapshots(rows: DataFrame, folder: str, replace: bool = False) -> None:
-    """Write rows partitioned by snapshot: appended, or with ``replace`` in place of what the snapshots among them had."""
-    writer = rows.repartition(F.col(SNAP), F.pmod(F.xxhash64("stableKey"), F.lit(8))).write.partitionBy(SNAP).option("maxRecordsPerFile", 2_000_000)
+    """Write rows partitioned by snapshot: appended, or with ``replace`` in place of what the snapshots among them had.
+
+    A snapshot is written by one task; one of more than SNAPSHOT_RECORDS by as many as it needs.
+    """
+    sizes = rows.groupBy(SNAP).count()
+    largest = sizes.agg(F.max("count")).first()[0] or 0
+    if largest <= SNAPSHOT_RECORDS:
+        spread = rows.repartition(F.col(SNAP))
+    else:
+        parts = sizes.select(SNAP, F.ceil(F.col("count") / SNAPSHOT_RECORDS).cast("long").alias("__parts"))
+        salted = rows.join(parts, SNAP).withColumn("__salt", F.pmod(F.xxhash64("stableKey"), F.col("__parts")))
+        spread = salted.repartition(F.col(SNAP), F.col("__salt")).drop("__parts", "__salt")
+    writer = spread.write.partitionBy(SNAP)
     if replace:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from gneiss.operators.hotspots import metric_hotspots, ranked
 from gneiss.operators.metrics import dependencies, framework_risk, graph_metrics, target_framework
 from gneiss.plans import model
 from gneiss.plans.model import SNAP, SQL_EDGES, SQL_EVIDENCE, SQL_HEADERS, SQL_HOTSPOTS, SQL_NODES
+from gneiss.sources.store import SnapshotStore
 from gneiss.sources.tables import table
+from gneiss.work import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -526,3 +529,12 @@ def evidence_preview(spark: SparkSession, folder: str) -> DataFrame:
 def metadata_reads(spark: SparkSession, folder: str) -> DataFrame:
     """A strictly typed read of a dotted metadata name, and a substring test."""
     return model.stored_nodes(spark, folder).filter(F.col("nodeKind") == "Project").select(SNAP, "stableKey", metadata_text("metadata", "project.targetFramework").alias("framework"), contains_ci("displayName", "Api").alias("api"))
+
+
+@query(f"WITH {_N}, {_EV} SELECT 'nodes' AS family, count(*) AS records FROM n UNION ALL SELECT 'evidence', count(*) FROM ev")
+def store_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """All nodes and evidence written into a store, validated, and counted from what was written."""
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    written = store.write({"nodes": model.stored_nodes(spark, folder), "evidence": model.stored_evidence(spark, folder)})
+    store.recreate()
+    return spark.createDataFrame(list(written.items()), "family string, records bigint")

@@ -53,3 +53,12 @@ def test_all_that_is_wrong_is_told(spark, tmp_path):
     assert store.read("nodes").count() == 0
     with pytest.raises(StoreError, match="nodes.nodeKindMissing"):
         store.write({"nodes": nodes.drop("nodeKind")})
+
+
+def test_large_snapshots_are_spread(spark, tmp_path, monkeypatch):
+    from gneiss.operators import ingest
+
+    monkeypatch.setattr(ingest, "SNAPSHOT_RECORDS", 10)
+    df = spark.range(45).select(F.lit("s").alias("snapshotStableKey"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("stableKey"))
+    ingest.write_snapshots(df, str(tmp_path / "big"))
+    assert spark.read.parquet(str(tmp_path / "big")).count() == 45
