@@ -52,16 +52,21 @@ def _reference(field: str, table: str):
     return lambda key: F.struct(F.lit(field).alias("field"), F.lit(table).alias("table"), key.alias("key"))
 
 
+#: Batches of references that a ledger keeps side by side before it writes them as one.
+PARTS = 8
+
+
 @dataclass
 class OrphanLedger:
     """State of the references, parents and waiting orphans; :meth:`apply` gives the state after another batch.
 
     Of the versions of a record (one key, several ``at``) the latest holds, whatever the order of arrival; a late row that is older
-    than the one held changes nothing. Empty batches change nothing.
+    than the one held changes nothing. Empty batches change nothing. References are kept as one part for each batch, of which a later
+    one supersedes the records that it has, so that a batch writes its own records only.
     """
 
     parents: DataFrame | None = None
-    references: DataFrame | None = None
+    parts: tuple[DataFrame, ...] = ()
     pending: DataFrame | None = None
 
     def apply(self, references: DataFrame, parents: DataFrame) -> OrphanLedger:
@@ -73,23 +78,46 @@ class OrphanLedger:
         index = versions.groupBy(*HASH).agg(F.max("at").alias("at"), latest.alias("v"), F.coalesce(F.bool_or(F.when(~F.col("new"), F.col("alive"))), F.lit(False)).alias("was"))
         index = staged(index.select(*HASH, "at", F.col("v.alive").alias("alive"), "was"), "orphans-parents")
 
-        rows = references.withColumn("new", F.lit(True))
-        if not first:
-            rows = rows.unionByName(self.references.withColumn("new", F.lit(False)))
-        held = rows.groupBy("ref_table", "scope", "record").agg(F.max_by(F.struct("at", "refs", "new"), F.struct("at", "new")).alias("v"))
-        held = staged(held.select("ref_table", "scope", "record", "v.at", "v.refs", "v.new"), "orphans-references")
-
-        fresh = _spread(held.filter("new"))
-        waiting = _missing(fresh, index)
-        if not first:
-            touched = held.filter("new").select(*_record())
-            arrived = index.filter("alive AND NOT was").select(*HASH)
-            gone = index.filter("was AND NOT alive").select(*HASH)
-            kept = self.pending.withColumns(dict(zip(RECORD, _record()))).join(touched, RECORD, "left_anti").drop(*RECORD)
-            kept = kept.join(arrived, HASH, "left_anti")
-            reopened = _within(_spread(held.filter(~F.col("new"))), gone)
-            waiting = waiting.unionByName(kept).unionByName(reopened)
-        return OrphanLedger(index.drop("was"), held.drop("new"), staged(waiting, "orphans-pending"))
+        fresh = staged(_latest(references), "orphans-references")
+        if first:
+            return OrphanLedger(index.drop("was"), (fresh,), staged(_missing(_spread(fresh), index), "orphans-pending"))
+
+        # only hashes and times of the records held are looked at to see which of the batch are newer
+        before = _union([part.select(*RECORD, "at") for part in self.parts]).join(fresh.select(*RECORD), RECORD, "left_semi")
+        before = before.groupBy(*RECORD).agg(F.max("at").alias("held_at"), F.lit(True).alias("held"))
+        newer = F.col("held").isNull() | F.col("held_at").isNull() | F.coalesce(F.col("at") >= F.col("held_at"), F.lit(False))
+        fresh = staged(fresh.join(before, RECORD, "left").filter(newer).drop("held", "held_at"), "orphans-fresh")
+
+        waiting = _missing(_spread(fresh), index)
+        touched = fresh.select(*RECORD)
+        arrived = index.filter("alive AND NOT was").select(*HASH)
+        gone = index.filter("was AND NOT alive").select(*HASH)
+        kept = self.pending.withColumns(dict(zip(RECORD, _record()))).join(touched, RECORD, "left_anti").drop(*RECORD).join(arrived, HASH, "left_anti")
+        reopened = []
+        for i, part in enumerate(self.parts):
+            # few references have a parent that is deleted now; these are held against all later parts
+            lost = _within(_spread(part), gone).withColumns(dict(zip(RECORD, _record())))
+            for later in (*self.parts[i + 1 :], fresh):
+                lost = lost.join(later.select(*RECORD), RECORD, "left_anti")
+            reopened.append(lost.drop(*RECORD))
+        parts = (*self.parts, fresh)
+        if len(parts) > PARTS:
+            parts = (staged(_latest(_union([p.drop(*RECORD).withColumn("part", F.lit(i)) for i, p in enumerate(parts)])), "orphans-references"),)
+        return OrphanLedger(index.drop("was"), parts, staged(_union([waiting, kept, *reopened]), "orphans-pending"))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """Of each record the latest version, and of equally late ones that of the latest part, with the record's hashes."""
+    order = F.struct("at", "part") if "part" in rows.columns else F.struct("at")
+    last = rows.groupBy("ref_table", "scope", "record").agg(F.max_by(F.struct("at", "refs"), order).alias("v"))
+    return last.select("ref_table", "scope", "record", "v.at", "v.refs", *_record())
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _record() -> list[Column]:

@@ -59,6 +59,16 @@ def test_ledger_against_brute_force(spark, batches):
         assert pending(ledger) == brute(parents[: (i + 1) * n], refs[: (i + 1) * n])
 
 
+def test_parts_are_put_together(spark, monkeypatch):
+    monkeypatch.setattr(o, "PARTS", 2)
+    parents, refs = history(11, 50)
+    ledger = o.OrphanLedger()
+    for i in range(5):
+        ledger = ledger.apply(*frames(spark, parents[i * 10 : i * 10 + 10], refs[i * 10 : i * 10 + 10]))
+        assert pending(ledger) == brute(parents[: i * 10 + 10], refs[: i * 10 + 10])
+    assert len(ledger.parts) <= 2
+
+
 def test_salted_path(spark, monkeypatch):
     monkeypatch.setattr(o, "BROADCAST_KEYS", 0)
     parents, refs = history(9, 50)
