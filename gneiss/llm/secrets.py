@@ -58,6 +58,20 @@ _PLACEHOLDER = re.compile(
 )
 _NOT_A_VALUE = re.compile(r"(?:name|label|id|path|lifetime|minutes|seconds|hours|days|header|field|type|hash|checksum|digest|file|url|uri|endpoint|length|policy|expiry|expires|ttl|count|limit|message|text|title|hint|regex|pattern|format|prefix|issuer|audience|provider|service|store|scheme)s?$", re.I)
 _PUBLIC = re.compile(r"public[-_ ]?key", re.I)
+#: Names of amounts; numbers are no credentials there.
+_AMOUNT = re.compile(r"max|min(?:imum)?[A-Z_\-]|num|tokens$|version|size|retr(?:y|ies)|timeout|age$|attempt|interval|index|port$|lines?$", re.I)
+#: What stands for a value that is elsewhere: a parameter, a variable, a call.
+_REFERENCE = re.compile(r"^[@$:%?&!*][a-z_][a-z_.]*%?$|^[\w.]+\(", re.I)
+_SHORT_NUMBER = re.compile(r"^v?\d+(?:\.\d+)*[a-z%]?$", re.I)
+_WORDY = re.compile(r"^[a-zA-Z0-9\s._:/\\,;'!?()\[\]\-]*$")
+_HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_RUN = re.compile(r"[aeiouy]+|[b-df-hj-np-tv-xz]+")
+# What the syllables of words begin and end with.
+_BEGINNINGS = frozenset("b c d f g h j k l m n p q r s t v w x z bl br ch chr cl cr dr dw fl fr gh gl gn gr kl kn kr ph phr pl pr ps rh sc sch scr sh shr sk sl sm sn sp sph spl spr sq st str sw th thr tr ts tw wh wr".split())
+_ENDINGS = frozenset(
+    "b c d f g h k l m n p r s t w x z bb cc dd ff gg ll mm nn pp rr ss tt zz bs bt ch chs ck cks cs ct cts dg ds dth ff ft fth fts gh ght ghts gn gs gth ks lb lch ld lds lf lk lks ll lls lm lms lp ls lt lth lts mb mbs mn mp mps mpt mpts ms nc nch nd nds ng ngs ngth ngths "
+    "nk nks ns nst nt nth nts nx ph phs ps pt pth pts rb rbs rc rch rd rds rf rg rk rks rl rld rlds rls rm rms rn rns rp rps rs rst rt rth rts rv sh sk sks sm sms sp ss st sts tch th ths ts tz wd wk wks wl wls wn wns ws xt xts".split()
+)
 _GUID = re.compile(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", re.I)
 _CONTINUED = re.compile(r"\"[ \t]*(?:\+|&(?:[ \t]*_)?)?[ \t]*\r?\n?[ \t]*(?:\+|&)?[ \t]*@?\"((?:[^\"\\\n]|\\.)*)")
 _JOINED = re.compile(r"\"[ \t]*(?:(?:\+|&[ \t]*_?)[ \t]*\r?\n?[ \t]*|\r?\n[ \t]*(?:\+|&)[ \t]*)\"((?:[^\"\\\n]|\\.)*)")
@@ -194,17 +208,59 @@ def chunk_bounds(text: str) -> list[tuple[int, int]]:
     return bounds
 
 
-def _looks_secret(value: str) -> bool:
-    """Neither a placeholder nor plain words."""
-    if len(value) < 6 or _PLACEHOLDER.search(value) or any(c.isspace() for c in value) or _GUID.match(value):
+def _is_word(part: str) -> bool:
+    """Whether letters can be said: every run of consonants is an ending of a syllable and a beginning of the next."""
+    low = part.lower()
+    runs = _RUN.findall(low)
+    if not runs or re.search(r"q(?!u)|[aeiouy]{5}", low):
         return False
-    if any(c.isdigit() for c in value):
-        return not value.isdigit()
-    # without digits: consonants in a row that no word has, or capitals in places where words have none
-    if len(value) >= 8 and value.isalpha() and re.search(r"[bcdfghjklmnpqrstvwxz]{5}", value.lower()):
+    for k, run in enumerate(runs):
+        if run[0] in "aeiouy":
+            continue
+        first, last = k == 0, k == len(runs) - 1
+        if first and last or not any((run[:i] in _ENDINGS if i else True) and (run[i:] in _BEGINNINGS if i < len(run) else True) for i in ([0] if first else [len(run)] if last else range(len(run) + 1))):
+            return False
+    return True
+
+
+def _is_words(value: str) -> bool:
+    """Plain words: a name made of them, a short abbreviation, or prose."""
+    tokens = [t for t in (t.strip("\"'().,;:!?") for t in re.sub(r"\{[^}]*\}", "", value).split()) if any(c.isalnum() for c in t)]
+    if len(value.split()) > 1:  # prose holds numbers and marks as well
+        return 2 * sum(t.isdigit() or not re.search(r"\d", t) and _is_words(t) for t in tokens) >= len(tokens)
+    if not _WORDY.match(value):
+        return False
+    letters = re.sub(r"[^a-zA-Z]", "", value)
+    if len(letters) <= 3:
         return True
-    turns = sum(a.islower() != b.islower() for a, b in zip(value, value[1:]) if a.isalpha() and b.isalpha())
-    return len(value) >= 8 and turns >= 5 and value.isalnum()
+    humps = _HUMP.findall(value)
+    said = sum(len(h) for h in humps if len(h) >= 3 and _is_word(h))
+    return 2 * said >= len(letters) and (len(letters) < 8 or 3 * len(humps) <= len(letters))
+
+
+def _looks_secret(value: str, named: bool = True) -> bool:
+    """Neither a placeholder nor a reference nor plain words; where no name says that it is a credential, also neither short nor an id."""
+    if _PLACEHOLDER.search(value):
+        return False
+    if not named:
+        if len(value) < 6 or any(c.isspace() for c in value) or _GUID.match(value):
+            return False
+        if any(c.isdigit() for c in value):
+            return not value.isdigit()
+        # without digits: consonants in a row that no word has, or capitals in places where words have none
+        if len(value) >= 8 and value.isalpha() and re.search(r"[bcdfghjklmnpqrstvwxz]{5}", value.lower()):
+            return True
+        turns = sum(a.islower() != b.islower() for a, b in zip(value, value[1:]) if a.isalpha() and b.isalpha())
+        return len(value) >= 8 and turns >= 5 and value.isalnum()
+    if not any(c.isalnum() for c in value) or _REFERENCE.search(value):
+        return False
+    if value.isdigit():
+        return len(value) >= 4
+    if any(c.isspace() for c in value):
+        return not _is_words(value)
+    if any(c.isdigit() for c in value):
+        return len(value) >= 6 or not _SHORT_NUMBER.match(value)
+    return not _is_words(value.rstrip(".,;:!?"))
 
 
 def _in_text(text: str, at: int) -> bool:
@@ -250,7 +306,9 @@ def _judge(name: str, match: re.Match, start: int, text: str, path: str) -> Foun
     inner = re.search(r"(?i)://[^\s/:@]*:[^\s/@]+@|(?:password|pwd|accountkey)\s*=", value)
     if inner and name != "in text":
         return None  # the part of it that is one is found by itself
-    if name not in _SURE and not _looks_secret(value):
+    if name not in _SURE and not _looks_secret(value, name != "short name"):
+        return None
+    if named and _AMOUNT.search(named) and _SHORT_NUMBER.match(value):
         return None
     if name in _SURE and _PLACEHOLDER.search(value):
         return None

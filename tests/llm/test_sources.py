@@ -48,6 +48,22 @@ CLEAN = [
 ]
 
 
+@pytest.mark.parametrize(
+    ("path", "text"),
+    [
+        ("a.json", '{"password": "ESbKwMzqbLJNSS#"}'), ("a.vb", 'settings("MessageSecret") = "wyAFVlAMOLPLrt#"'), ("a.cs", "// until the vault works: password = XqhSVGbgDecIbH#"), ("a.vb", "' old login a / pwd: dOPjJlHpzwYqwO#"),
+        ("a.cs", 'c = "Server=x;User Id=a;Password=pahmgycmsw;";'), ("a.cs", 'new NetworkCredential("u", "zRWMdRjKmwDBBJ#");'), ("a.cs", 'var password = "9038417265";'), ("a.cs", 'var password = "kq7#z";'), ("a.cs", 'var password = "p7 $wq x!k";'), ("a.cs", 'var apiKey = "843ae3d0-d5ca-4101-a878-86e5d50627c0";'),
+    ],
+)
+def test_any_value_counts_where_the_name_says_credential(path, text):
+    assert [s.line_of(text, x.at) for x in s.detector().find([text], [path])[0]] == [1]
+
+
+@pytest.mark.parametrize("text", ['var password = "Password must have 12 characters";', 'var token = "AccessTokenProvider";', 'var maxTokens = "4096"; var tokenVersion = "v2.0";', 'sql = "where Password = @password";', 'var secret = "payment/client-secret";', 'var token = "=>";', 'var token = "Token {0} is not valid!";'])
+def test_words_and_references_do_not_count(text):
+    assert s.detector().find([text], ["a.cs"])[0] == []
+
+
 @pytest.mark.parametrize(("path", "text", "lines"), FOUND)
 def test_found(path, text, lines):
     hits = s.detector().find([text], [path])[0]
