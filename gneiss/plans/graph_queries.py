@@ -376,15 +376,19 @@ def dependency_path(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(SNAP, "source", "target", "state", "hops", F.array_join("nodes", " > ").alias("nodes"), F.array_join("edges", " > ").alias("edges"))
 
 
-_CYCLES = f"""{_E}, {_DEPS}, w(s, st, x, ns, es) AS (SELECT snapshotStableKey, source, target, [source, target], [stableKey] FROM d WHERE target >= source
+def _cycles_sql(depth: int, limit: int) -> str:
+    return f"""{_E}, {_DEPS}, w(s, st, x, ns, es) AS (SELECT snapshotStableKey, source, target, [source, target], [stableKey] FROM d WHERE target >= source
  UNION ALL SELECT w.s, w.st, d.target, list_append(w.ns, d.target), list_append(w.es, d.stableKey) FROM w JOIN d ON d.snapshotStableKey = w.s AND d.source = w.x
- WHERE len(w.es) < 6 AND d.target > w.st AND NOT list_contains(w.ns, d.target)),
-cy AS (SELECT w.s, list_append(w.ns, w.st) ns, list_append(w.es, d.stableKey) es FROM w JOIN d ON d.snapshotStableKey = w.s AND d.source = w.x AND d.target = w.st WHERE len(w.es) < 6),
-cr AS (SELECT s, array_to_string(ns, '>') AS nodes, array_to_string(es, '>') AS edges, ns, row_number() OVER (PARTITION BY s ORDER BY array_to_string(ns, '>'), array_to_string(es, '>')) AS position, count(*) OVER (PARTITION BY s) > 10 AS truncated FROM cy QUALIFY position <= 10)"""
+ WHERE len(w.es) < {depth} AND d.target > w.st AND NOT list_contains(w.ns, d.target)),
+cy AS (SELECT w.s, list_append(w.ns, w.st) ns, list_append(w.es, d.stableKey) es FROM w JOIN d ON d.snapshotStableKey = w.s AND d.source = w.x AND d.target = w.st WHERE len(w.es) < {depth}),
+cr AS (SELECT s, array_to_string(ns, '>') AS nodes, array_to_string(es, '>') AS edges, ns, row_number() OVER (PARTITION BY s ORDER BY array_to_string(ns, '>'), array_to_string(es, '>')) AS position, count(*) OVER (PARTITION BY s) > {limit} AS truncated FROM cy QUALIFY position <= {limit})"""
 
 
-def _cycles(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.simple_cycles(dependencies(model.stored_edges(spark, folder)), 6, 10)
+_CYCLES = _cycles_sql(6, 10)
+
+
+def _cycles(spark: SparkSession, folder: str, depth: int = 6, limit: int = 10) -> DataFrame:
+    return graph.simple_cycles(dependencies(model.stored_edges(spark, folder)), depth, limit)
 
 
 @query(f"WITH RECURSIVE {_CYCLES} SELECT s AS snapshotStableKey, nodes, edges, position, truncated FROM cr")
@@ -398,6 +402,17 @@ def cycle_participation(spark: SparkSession, folder: str) -> DataFrame:
     return graph.cycle_participation(_cycles(spark, folder)).select(SNAP, "node", "cycles")
 
 
+@query(f"WITH RECURSIVE {_cycles_sql(12, 100)} SELECT s AS snapshotStableKey, nodes, edges, position, truncated FROM cr")
+def cycles_d12(spark: SparkSession, folder: str) -> DataFrame:
+    """Cycles of at most twelve dependencies, a hundred for each snapshot: the detector's own bounds."""
+    return _cycles(spark, folder, 12, 100).select(SNAP, F.array_join("nodes", ">").alias("nodes"), F.array_join("edges", ">").alias("edges"), F.col("position").cast("long").alias("position"), "truncated")
+
+
+@query(f"WITH RECURSIVE {_cycles_sql(12, 100)} SELECT s AS snapshotStableKey, node, count(*) AS cycles FROM (SELECT s, edges, unnest(list_distinct(ns)) AS node FROM cr) GROUP BY 1, 2")
+def cycle_participation_d12(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.cycle_participation(_cycles(spark, folder, 12, 100)).select(SNAP, "node", "cycles")
+
+
 @query(
     _walk_sql(_IN, 3, 100).replace("SELECT s AS snapshotStableKey, start, edge, depth, row_number()", "SELECT snapshotStableKey, start, edge, source, CASE WHEN target = start THEN 1 ELSE 2 END AS impact_depth, min(confidence) OVER (PARTITION BY snapshotStableKey, start)::DOUBLE AS confidence, truncated FROM (SELECT s AS snapshotStableKey, start, edge, row_number()")
     + ") z JOIN (SELECT snapshotStableKey, stableKey, source, target, confidence FROM e) q ON q.stableKey = z.edge AND q.snapshotStableKey = z.snapshotStableKey"
