@@ -58,7 +58,8 @@ typelike: 'namespace' ('global' | ID) ('.' _ANYID)* _t+ (typelike _t+)* 'end' 'n
 _ANYID: ANY
 attrs: ('<' attr (',' attr)* '>' 'nl'?)+
 attr: (('assembly' | 'module' | 'return') ':')? name ('(' args? ')')?
-_modifier: 'public' | 'private' | 'protected' | 'friend' | 'shared' | 'shadows' | 'static' | 'partial' | 'mustinherit' | 'notinheritable' | 'mustoverride' | 'notoverridable' | 'overridable' | 'overrides' | 'overloads' | 'readonly' | 'writeonly' | 'default' | 'const' | 'dim' | 'withevents' | 'widening' | 'narrowing' | 'async' | 'iterator' | 'custom'
+_modifier: _concrete | 'mustoverride'
+_concrete: 'public' | 'private' | 'protected' | 'friend' | 'shared' | 'shadows' | 'static' | 'partial' | 'mustinherit' | 'notinheritable' | 'notoverridable' | 'overridable' | 'overrides' | 'overloads' | 'readonly' | 'writeonly' | 'default' | 'const' | 'dim' | 'withevents' | 'widening' | 'narrowing' | 'async' | 'iterator' | 'custom'
 typedecl: 'class' ID typeparams? _t+ ('inherits' type _t+)? ('implements' type (',' type)* _t+)* (member _t+)* 'end' 'class' | 'structure' ID typeparams? _t+ ('implements' type (',' type)* _t+)* (member _t+)* 'end' 'structure' | 'module' ID _t+ (member _t+)* 'end' 'module' | 'interface' ID typeparams? _t+ ('inherits' type (',' type)* _t+)* (interfacemember _t+)* 'end' 'interface' | 'enum' ID ('as' type)? _t+ (attrs? ID ('=' expr)? _t+)* 'end' 'enum' | 'delegate' ('sub' | 'function') ID typeparams? params? returns?
 typeparams: '(' 'of' typeparam (',' typeparam)* ')'
 typeparam: ('in' | ID)? ID ('as' constraints)? | 'in'? ID ('as' constraints)?
@@ -69,13 +70,16 @@ params: '(' (param (',' param)*)? ')'
 param: attrs? ('byval' | 'byref' | 'optional' | 'paramarray')* ID ('?')? ranks? ('as' attrs? type)? ('=' expr)?
 ranks: ('(' ','* ')')+
 interfacemember: attrs? _modifier* ('sub' ID typeparams? params? | 'function' ID typeparams? params? returns? | 'property' ID params? returns? | 'event' ID (params | 'as' type)? | typedecl)
-member: attrs? _modifier* (typedecl | method | property | event | operatordecl | declare | fields)
+member: attrs? (_modifier* (typedecl | property | event | operatordecl | declare) | _concrete* method | abstract | _concrete+ fields)
 fields: field (',' field)*
 field: ID '?'? bounds? (',' ID '?'? bounds?)* ('as' newtype)? ('=' expr)?
 bounds: '(' (bound (',' bound)* | ','*) ')' ranks?
 bound: expr ('to' expr)?
 newtype: type | 'new' type ('(' args? ')')? ('with' objectinit | 'from' collection)?
-method: ('sub' (ID | 'new') typeparams? params? handles? | 'function' ID typeparams? params? returns? handles?) (_t+ body 'end' ('sub' | 'function'))?
+method: _subhead _t+ body 'end' 'sub' | _functionhead _t+ body 'end' 'function'
+_subhead: 'sub' (ID | 'new') typeparams? params? handles?
+_functionhead: 'function' ID typeparams? params? returns? handles?
+abstract: _modifier* 'mustoverride' _modifier* (_subhead | _functionhead)
 handles: ('handles' | 'implements') handle (',' handle)*
 handle: (ID | 'me' | 'mybase' | 'myclass' | 'global') (('(' 'of' type (',' type)* ')')? '.' _ANYID)* ('(' 'of' type (',' type)* ')')?
 property: 'property' ID params? ('as' newtype)? ('=' expr)? handles? (_t+ (accessor _t+)+ 'end' 'property')?

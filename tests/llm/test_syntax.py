@@ -109,3 +109,19 @@ def test_recogniser_against_brute_force(rules):
     for n in range(6):
         for word in itertools.product(letters, repeat=n):
             assert grammar.accepts(grammar.encode(word)) == (word in wanted), word
+
+
+@pytest.mark.parametrize("line", ["", "Dim x As Integer = F(1)", "x = 5", "Foo()", "' a comment"])
+@pytest.mark.parametrize(("kind", "end", "whole"), [("Sub A()", "End Sub", True), ("Function A() As Integer", "End Function", True), ("Sub A()", "", False), ("Function A() As Integer", "", False), ("Sub A()", "End Function", False), ("Function A() As Integer", "End Sub", False)])
+def test_vb_methods_need_their_own_end(line, kind, end, whole):
+    rest = "    Private y As Integer\n    Public Sub B()\n        y = 1\n    End Sub\n"
+    text = f"Class C\n    Public {kind}\n        {line}\n    {end}\n{rest}End Class\n"
+    assert vb.valid(text) is whole
+
+
+def test_vb_members_without_a_body_or_a_modifier():
+    assert vb.valid("MustInherit Class C\n    Protected MustOverride Sub A()\n    MustOverride Public Function B(x As Integer) As Integer\nEnd Class\nInterface I\n    Sub A()\n    Function B() As Integer\nEnd Interface\n")
+    assert not vb.valid("MustInherit Class C\n    Protected MustOverride Sub A()\n        x = 5\n    End Sub\nEnd Class\n")
+    assert vb.valid("Class C\n    Dim x As Integer\n    Const y = 5\nEnd Class\n")
+    for line in ("x = 5", "Foo()", "x As Integer"):
+        assert not vb.valid(f"Class C\n    {line}\nEnd Class\n")
