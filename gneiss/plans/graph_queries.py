@@ -293,8 +293,16 @@ def _starts(spark: SparkSession, folder: str) -> DataFrame:
 _START = "st AS (SELECT snapshotStableKey s, stableKey AS start FROM n WHERE nodeKind IN ('Project', 'Namespace'))"
 
 
-def _walk_sql(steps: str, depth: int, take: int) -> str:
-    return f"""WITH RECURSIVE {_N}, {_E}, f AS (SELECT * FROM e WHERE edgeKind IN ({_KINDS})), {_START}, sp AS ({steps}),
+def _every_node(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of each snapshot as a start."""
+    return model.stored_nodes(spark, folder).select(SNAP, F.col("stableKey").alias("start"))
+
+
+_EVERY = "st AS (SELECT snapshotStableKey s, stableKey AS start FROM n)"
+
+
+def _walk_sql(steps: str, depth: int, take: int, starts: str = _START) -> str:
+    return f"""WITH RECURSIVE {_N}, {_E}, f AS (SELECT * FROM e WHERE edgeKind IN ({_KINDS})), {starts}, sp AS ({steps}),
 w(s, start, x, dd) AS (SELECT s, start, start, 0 FROM st UNION SELECT w.s, w.start, sp.b, w.dd + 1 FROM w JOIN sp ON sp.s = w.s AND sp.a = w.x WHERE w.dd < {depth - 1}),
 seen AS (SELECT s, start, x, min(dd) dd FROM w GROUP BY 1, 2, 3),
 hit AS (SELECT seen.s, start, edge, min(dd) AS depth FROM seen JOIN sp ON sp.s = seen.s AND sp.a = seen.x GROUP BY 1, 2, 3)
@@ -306,8 +314,8 @@ _IN = "SELECT snapshotStableKey s, stableKey edge, target a, source b FROM f"
 _BOTH = f"{_OUT} UNION ALL {_IN} WHERE source <> target"
 
 
-def _traversal(spark: SparkSession, folder: str, direction: str, depth: int, take: int = 100) -> DataFrame:
-    found = graph.traverse(model.stored_edges(spark, folder), _starts(spark, folder), direction, depth, take=take)
+def _traversal(spark: SparkSession, folder: str, direction: str, depth: int, take: int = 100, starts=_starts) -> DataFrame:
+    found = graph.traverse(model.stored_edges(spark, folder), starts(spark, folder), direction, depth, take=take)
     return found.withColumn("position", F.col("position").cast("long"))
 
 
@@ -424,6 +432,41 @@ def impact_assessment(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["impact_assessment"] = SQL["impact_assessment"].replace("SELECT snapshotStableKey, start, edge, source,", "SELECT z.snapshotStableKey, start, edge, source,").replace("PARTITION BY snapshotStableKey, start)::", "PARTITION BY z.snapshotStableKey, start)::")
 
+
+# the traversals from every node
+@query(_walk_sql(_OUT, 1, 100, _EVERY))
+def direct_dependencies_every_node(spark: SparkSession, folder: str) -> DataFrame:
+    return _traversal(spark, folder, "Outgoing", 1, starts=_every_node)
+
+
+@query(_walk_sql(_IN, 1, 100, _EVERY))
+def direct_dependents_every_node(spark: SparkSession, folder: str) -> DataFrame:
+    return _traversal(spark, folder, "Incoming", 1, starts=_every_node)
+
+
+@query(_walk_sql(_OUT, 3, 100, _EVERY))
+def transitive_dependencies_d3_every_node(spark: SparkSession, folder: str) -> DataFrame:
+    return _traversal(spark, folder, "Outgoing", 3, starts=_every_node)
+
+
+@query(_walk_sql(_BOTH, 1, 100, _EVERY))
+def graph_neighbourhood_every_node(spark: SparkSession, folder: str) -> DataFrame:
+    return _traversal(spark, folder, "Both", 1, starts=_every_node)
+
+
+@query(SQL["traversal_nodes"].replace(_START, _EVERY))
+def traversal_nodes_every_node(spark: SparkSession, folder: str) -> DataFrame:
+    edges = model.stored_edges(spark, folder)
+    found = graph.traverse(edges, _every_node(spark, folder), "Outgoing", 1, take=500)
+    return graph.traversal_nodes(found, edges, model.stored_nodes(spark, folder)).select(SNAP, "start", "node")
+
+
+@query(SQL["impact_assessment"].replace(_START, _EVERY))
+def impact_assessment_every_node(spark: SparkSession, folder: str) -> DataFrame:
+    found = graph.impact(model.stored_edges(spark, folder), _every_node(spark, folder))
+    return found.select(SNAP, "start", "edge", "source", "impact_depth", F.col("confidence").cast("double").alias("confidence"), "truncated")
+
+
 # ---- differences --------------------------------------------------------------------------------------------------------------
 
 

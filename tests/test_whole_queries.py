@@ -27,3 +27,13 @@ def test_cycles_of_more_than_six_edges_and_past_the_tenth(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["cycles_d12", "cycle_participation_d12"])
 def test_longer_cycles_equal_their_sql_on_more_data(spark, name):
     assert differing(spark, entry.queries()[name], entry.oracle_sql()[name], MORE) == ([], [])
+
+
+def test_every_node_is_a_start(spark, monkeypatch):
+    line = [("s0", f"e{i}", "CALLS", f"method{i}", f"method{i + 1}") for i in range(3)]
+    nodes = [("s0", f"method{i}", "Method") for i in range(4)]
+    monkeypatch.setattr(q.model, "stored_edges", lambda *_: make(spark, line))
+    monkeypatch.setattr(q.model, "stored_nodes", lambda *_: spark.createDataFrame(nodes, "snapshotStableKey string, stableKey string, nodeKind string"))
+    assert q.transitive_dependencies_d3(spark, "").count() == 0
+    assert {(r.start, r.edge, r.depth) for r in q.transitive_dependencies_d3_every_node(spark, "").collect()} == {(f"method{i}", f"e{j}", j - i) for i in range(3) for j in range(i, 3)}
+    assert {(r.start, r.edge) for r in q.direct_dependents_every_node(spark, "").collect()} == {(f"method{i + 1}", f"e{i}") for i in range(3)}
