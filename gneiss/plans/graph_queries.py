@@ -449,6 +449,11 @@ def transitive_dependencies_d3_every_node(spark: SparkSession, folder: str) -> D
     return _traversal(spark, folder, "Outgoing", 3, starts=_every_node)
 
 
+@query(_walk_sql(_IN, 6, 100, _EVERY))
+def transitive_dependents_d6_every_node(spark: SparkSession, folder: str) -> DataFrame:
+    return _traversal(spark, folder, "Incoming", 6, starts=_every_node)
+
+
 @query(_walk_sql(_BOTH, 1, 100, _EVERY))
 def graph_neighbourhood_every_node(spark: SparkSession, folder: str) -> DataFrame:
     return _traversal(spark, folder, "Both", 1, starts=_every_node)

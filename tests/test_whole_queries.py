@@ -37,3 +37,12 @@ def test_every_node_is_a_start(spark, monkeypatch):
     assert q.transitive_dependencies_d3(spark, "").count() == 0
     assert {(r.start, r.edge, r.depth) for r in q.transitive_dependencies_d3_every_node(spark, "").collect()} == {(f"method{i}", f"e{j}", j - i) for i in range(3) for j in range(i, 3)}
     assert {(r.start, r.edge) for r in q.direct_dependents_every_node(spark, "").collect()} == {(f"method{i + 1}", f"e{i}") for i in range(3)}
+
+
+def test_dependents_up_to_a_hundred_edges_and_the_flag_beyond(spark, monkeypatch):
+    star = [("s0", f"e{i:03d}", "CALLS", f"m{i:03d}", hub) for hub, n in (("hub60", range(60)), ("hub120", range(60, 180))) for i in n]
+    nodes = [("s0", x, "Type") for x in ("hub60", "hub120")]
+    monkeypatch.setattr(q.model, "stored_edges", lambda *_: make(spark, star))
+    monkeypatch.setattr(q.model, "stored_nodes", lambda *_: spark.createDataFrame(nodes, "snapshotStableKey string, stableKey string, nodeKind string"))
+    rows = q.transitive_dependents_d6_every_node(spark, "").collect()
+    assert sorted((r.start, r.truncated) for r in rows) == [("hub120", True)] * 100 + [("hub60", False)] * 60
