@@ -19,9 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a chunk, about; chunks end at line ends and overlap by OVERLAP_LINES.
+#: Characters of a chunk, about; chunks end at line ends and overlap by OVERLAP_LINES that are not blank: as many as the parts of a match can stand on.
 CHUNK = 4096
-OVERLAP_LINES = 2
+OVERLAP_LINES = 8
 
 _NAME = r"(?:password|passwd|passphrase|pwd|secret|token|api[-_ ]?key|access[-_ ]?key|account[-_ ]?key|auth[-_ ]?key|shared[-_ ]?key|private[-_ ]?key|signing[-_ ]?key|credential)"
 _OPEN = r"\s*[@$]{0,2}\""
@@ -194,17 +194,18 @@ class Detector:
 
 
 def chunk_bounds(text: str) -> list[tuple[int, int]]:
-    """Chunks that cover a text, cut at line ends; each starts OVERLAP_LINES before the end of the one before. A longer line is one chunk."""
+    """Chunks that cover a text, cut at line ends; each goes on for OVERLAP_LINES that are not blank, and the blank ones between, after the start of the next."""
     bounds, start, n = [], 0, len(text)
     while start < n:
-        end = n if start + CHUNK >= n else text.find("\n", start + CHUNK) + 1 or n
+        cut = n if start + CHUNK >= n else text.find("\n", start + CHUNK) + 1 or n
+        end, lines = cut, 0
+        while end < n and lines < OVERLAP_LINES:
+            line, end = end, text.find("\n", end) + 1 or n
+            lines += not text[line:end].isspace()
         bounds.append((start, end))
         if end == n:
             break
-        back = end
-        for _ in range(OVERLAP_LINES):
-            back = text.rfind("\n", 0, back - 1) + 1
-        start = back if back > start else end
+        start = cut
     return bounds
 
 

@@ -106,3 +106,11 @@ def test_columns(spark):
     texts = {r.id: r.t for r in df.select("id", s.redacted_column(df.path, df.text).alias("t")).collect()}
     assert texts == {1: "// password = xxxxxxxx\nx\n// password = xxxxxxxx", 2: None, 3: "// password = xxxxxxxx", 4: ""}
     assert s.find_secrets(df.limit(0), "id", "path", "text").count() == 0
+
+
+@pytest.mark.parametrize("gap", ["\n", "\n\n\n\n\n\n"])
+@pytest.mark.parametrize("filler", ["x" * 5000 + " ", "// nothing to see here\n" * 179])
+def test_a_match_over_many_lines_at_the_end_of_a_chunk(filler, gap):
+    for shift in range(0, 60, 4):
+        text = "y" * shift + filler + f'password ={gap}"mill2004";\n' + "// nothing to see here\n" * 400
+        assert [s.line_of(text, x.at) for x in s.detector().find([text], ["a.cs"])[0]] == [text[: text.index("mill2004")].count("\n") + 1]
