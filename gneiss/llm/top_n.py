@@ -1,17 +1,16 @@
 """Top N items within every group.
 
-Each input partition keeps its own N best items of every group it sees, and tells the place of the N-th: at least N items are that
-good, so nothing worse can be among the group's N best. The best of these bounds filters what the partitions kept, and only the
-survivors (about N for each group) are ranked. A group with a third of all rows is cut to N rows for each partition before
-anything is shuffled.
+Each input partition keeps its own N best items of every group it sees, and the score of its N-th is a lower bound: at least N items
+of the group are that good. The greatest bound of a group, over all partitions, filters what the partitions kept, and only the
+survivors (N for each group, and those that tie with the bound) are ranked. A group with a third of all rows is cut to N rows for each
+partition before anything is shuffled. All of it are built-in operators, so scores are compared as what they are, decimals of
+38 digits included.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from heapq import heappush, heapreplace
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,55 +18,6 @@ from pyspark.sql import types as T
 from gneiss.work import staged
 
 
-class _Worse:
-    """Turns the order round, for a heap whose top is the worst item kept."""
-
-    __slots__ = ("key",)
-
-    def __init__(self, key: tuple) -> None:
-        self.key = key
-
-    def __lt__(self, other: _Worse) -> bool:
-        return other.key < self.key
-
-
-#: Items that a partition's task holds; with more, what it holds is handed on and it starts afresh, which leaves the bounds valid.
-KEPT_ITEMS = 500_000
-
-
-def _local(batches: Iterator[pd.DataFrame], groups: list[str], n: int, ties: list[str]) -> Iterator[pd.DataFrame]:
-    kept: dict[tuple, list[_Worse]] = {}
-    names, held = [*groups, "score", *ties], 0
-    for batch in batches:
-        for row in zip(*(batch[c].tolist() for c in names)):
-            g, score, tie = row[: len(groups)], row[len(groups)], row[len(groups) + 1 :]
-            # nulls among the tie columns go last; text goes in binary order
-            key = (-score, *((t is None, b"" if t is None else t.encode("utf-8", "surrogatepass")) for t in tie))
-            heap = kept.setdefault(g, [])
-            if len(heap) < n:
-                heappush(heap, _Worse((key, score, tie)))
-                held += 1
-            elif key < heap[0].key[0]:
-                heapreplace(heap, _Worse((key, score, tie)))
-        if held > KEPT_ITEMS:
-            yield from _handed(kept, names, n)
-            kept, held = {}, 0
-    yield from _handed(kept, names, n)
-
-
-def _handed(kept: dict[tuple, list[_Worse]], names: list[str], n: int) -> Iterator[pd.DataFrame]:
-    """What a task kept; the worst of a full group is marked as its bound."""
-    rows = []
-    for g, heap in kept.items():
-        full = len(heap) == n
-        rows += [(*g, item.key[1], *item.key[2], full and i == 0) for i, item in enumerate(heap)]
-        if len(rows) >= 20_000:
-            yield pd.DataFrame(rows, columns=[*names, "bound"])
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=[*names, "bound"])
-
-
 def top_n(rows: DataFrame, groups: Sequence[str], score: str, ties: Sequence[str], n: int) -> DataFrame:
     """The ``n`` rows with the highest ``score`` of each group: (*groups, score, *ties, rank).
 
@@ -79,17 +29,16 @@ def top_n(rows: DataFrame, groups: Sequence[str], score: str, ties: Sequence[str
         raise ValueError("n must be at least 1, and there must be a group column")
     g, t = [f"g{i}" for i in range(len(groups))], [f"t{i}" for i in range(len(ties))]
     flat = rows.filter(F.col(score).isNotNull()).select(*[F.col(c).alias(a) for c, a in zip(groups, g)], F.col(score).alias("score"), *[F.col(c).cast("string").alias(a) for c, a in zip(ties, t)])
-    if isinstance(flat.schema["score"].dataType, T.FractionalType) and not isinstance(flat.schema["score"].dataType, T.DecimalType):
+    if isinstance(flat.schema["score"].dataType, (T.FloatType, T.DoubleType)):
         flat = flat.filter(~F.isnan("score"))
-    schema = T.StructType([*flat.schema.fields, T.StructField("bound", T.BooleanType())])
-    local = staged(flat.mapInPandas(lambda it: _local(it, g, n, t), schema), "top-local")
-    place = F.struct((-F.col("score")).alias("s"), *[x for a in t for x in (F.col(a).isNull().alias(f"n_{a}"), F.col(a))])
-    local = local.withColumn("place", place)
-    bounds = local.filter("bound").groupBy(*[F.col(a).alias(f"b_{a}") for a in g]).agg(F.min("place").alias("limit"))
+    best = [F.col("score").desc(), *[F.col(a).asc_nulls_last() for a in t]]
+    # a task cuts each group to n rows before the exchange by (partition, group), as the number of the partition is the same for all of its rows
+    own = Window.partitionBy("part", *g).orderBy(*best)
+    local = flat.withColumn("part", F.spark_partition_id()).withColumn("place", F.row_number().over(own)).filter(F.col("place") <= n)
+    local = staged(local.drop("part"), "top-local")
+    bounds = local.filter(F.col("place") == n).groupBy(*[F.col(a).alias(f"b_{a}") for a in g]).agg(F.max("score").alias("bound"))
     # bounds are at most one row for each group; null groups meet as well
     same = [F.col(a).eqNullSafe(F.col(f"b_{a}")) for a in g]
-    near = local.join(bounds, same, "left")
-    near = near.filter(F.col("limit").isNull() | (F.col("place") <= F.col("limit")))
-    order = Window.partitionBy(*g).orderBy(F.col("place"))
-    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    near = local.join(bounds, same, "left").filter(F.col("bound").isNull() | (F.col("score") >= F.col("bound")))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*g).orderBy(*best))).filter(F.col("rank") <= n)
     return ranked.select(*[F.col(a).alias(c) for a, c in zip(g, groups)], F.col("score").alias(score), *[F.col(a).alias(c) for a, c in zip(t, ties)], "rank")

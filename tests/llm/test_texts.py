@@ -156,7 +156,7 @@ def brute_top(rows, n):
     groups = {}
     for snap, cat, target, key, score, _ in rows:
         if score is not None:
-            groups.setdefault((snap, cat), []).append((-score, target is None, target or "", key is None, key or ""))
+            groups.setdefault((snap, cat), []).append((score.copy_negate(), target is None, target or "", key is None, key or ""))
     return sorted(((g, i + 1, x) for g, items in groups.items() for i, x in enumerate(sorted(items)[:n])), key=repr)
 
 
@@ -165,11 +165,22 @@ def test_top_n_against_brute_force(spark, partitions):
     rng = random.Random(2)
     rows = [(rng.choice(["a", "b", None]), rng.choice(["x", None]), rng.choice(["t1", "t2", "é", "z", None]), f"k{i}", rng.choice([None, Decimal(1), Decimal("-2.5"), Decimal(10) ** 20, Decimal(1)]), 7) for i in range(300)] + [("c", "x", "t", "only", Decimal(3), 7)]
     got = top_n(spark.createDataFrame(rows, ROWS).repartition(partitions), ["snap", "cat"], "score", ["target", "key"], 4).collect()
-    place = lambda r: (-r.score, r.target is None, r.target or "", r.key is None, r.key or "")
+    place = lambda r: (r.score.copy_negate(), r.target is None, r.target or "", r.key is None, r.key or "")
     assert sorted((((r.snap, r.cat), r.rank, place(r)) for r in got), key=repr) == brute_top(rows, 4)
     assert len(got) == len(brute_top(rows, 4))
 
 
+def test_top_n_keeps_all_digits_and_stays_in_the_engine(spark):
+    rows = [("a", "x", f"t{i}", f"k{i}", Decimal(f"12345678901234567890123456789012.{i:06d}"), 1) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, ROWS).repartition(5)
+    top = top_n(df, ["snap", "cat"], "score", ["target", "key"], 2)
+    assert [r.target for r in top.orderBy("rank").collect()] == ["t39", "t38"]
+    df.createOrReplaceTempView("scored")
+    right = spark.sql("SELECT * FROM (SELECT snap, cat, score, target, key, row_number() OVER (PARTITION BY snap, cat ORDER BY score DESC, target, key) AS rank FROM scored) WHERE rank <= 2")
+    assert sorted(top.collect()) == sorted(right.select(*top.columns).collect())
+    assert "Python" not in top._jdf.queryExecution().executedPlan().toString() and "Pandas" not in top._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_n_edges(spark):
     df = spark.createDataFrame([("a", "x", "t", "k", Decimal(1), 1)] * 5, ROWS)
     assert [r.rank for r in top_n(df, ["snap", "cat"], "score", ["target", "key"], 3).orderBy("rank").collect()] == [1, 2, 3]
