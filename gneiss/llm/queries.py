@@ -110,8 +110,8 @@ def p10_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """The class of equal look of every document with a visible text."""
-    return look_classes(_documents(spark, folder), "doc_id", "text").select(F.col("id").alias("doc_id"), "class_id", "spellings")
+    """The class of equal look, and of equal text, of every document with a visible text."""
+    return look_classes(_documents(spark, folder), "doc_id", "text").select(F.col("id").alias("doc_id"), "class_id", "text_id", "spellings")
 
 
 QUERIES = {

@@ -1,6 +1,7 @@
 import base64
 import random
 import sys
+import unicodedata
 from decimal import Decimal
 from fractions import Fraction
 
@@ -109,7 +110,8 @@ def form():
 
 @pytest.mark.parametrize(
     ("a", "b"),
-    [("ＡＢＣ１２", "ABC12"), ("ﬁne", "fine"), ("e\u0301", "é"), ("a\u200bb\u2060c\ufeff", "abc"), ("a\u00a0b\u3000c", "a b c"), ("Аpple", "Apple"), ("Τοm", "Tom"), ("ｶﾞ", "ガ"), ("ё", "ë"), ("µ", "μ"), ("e\u200d\u0301", "é"), ("co\u00adop", "coop"), ("\u212b", "Å"), ("e\u0323\u0302", "ệ")],
+    [("ＡＢＣ１２", "ABC12"), ("ﬁne", "fine"), ("e\u0301", "é"), ("a\u200bb\u2060c\ufeff", "abc"), ("a\u00a0b\u3000c", "a b c"), ("Аpple", "Apple"), ("Τοm", "Tom"), ("ｶﾞ", "ガ"), ("ё", "ë"), ("µ", "μ"), ("e\u200d\u0301", "é"), ("co\u00adop", "coop"), ("\u212b", "Å"), ("e\u0323\u0302", "ệ"), ("e\u0302\u0323", "ệ"), ("a\u0301\u034f\u0323", "ạ\u0301"), ("ѵ\u0300", "v\u0300"), ("ё\u200b\u0323", "ẹ\u0308"), ("ᄀ\u200bᅡ", "가"), ("ﬁ\u0301", "fí"),
+     *[tuple(x) for x in ("ѴV", "ѵv", "νv", "УY", "ԌG", "ѱψ", "ѰΨ", "әə", "өɵ", "ӕæ", "ЛΛ", "ɡg", "ɑa")]],
 )
 def test_same_look(form, a, b):
     assert form(a) == form(b)
@@ -120,6 +122,52 @@ def test_other_look(form, a, b):
     assert form(a) != form(b)
 
 
+ODD = st.text(st.sampled_from("aeν가각\u0301\u0308\u0323\u0345\u200b\u034f\u200d\ufe0fｶﾞéё👨💻 \u3000ﬁ\n"), max_size=12)
+
+
+@settings(max_examples=500, deadline=None)
+@given(ODD | st.text(max_size=40))
+def test_composed_and_separate_have_one_form(text):
+    form = lookalike.canonicalizer()
+    once = form(text)
+    assert form(once) == once and unicodedata.normalize("NFC", once) == once
+    assert form(unicodedata.normalize("NFC", text)) == once == form(unicodedata.normalize("NFD", text))
+
+
+def test_the_longest_sequence_is_taken():
+    walk = lookalike.Transducer({"a": "1", "ab": "2", "abcd": "3", "c": "4"})
+    assert walk("abcabcdab") == "24" + "3" + "2" and walk("xba") == "xb1" and walk("") == ""
+
+
+EVERYDAY = [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x391, 0x3AA), *range(0x3B1, 0x3CA), *range(0x400, 0x460)]
+#: Everyday letters that the data calls confusable and that are only alike.
+ALIKE = set("aα iι oσ pρ rг uυ yγ пπ тτ кκ фφ єε θ".replace(" ", ""))
+
+
+def test_letters_of_one_shape_against_the_data_of_confusables(spark):
+    skeleton = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton
+    for letters in lookalike.SAME_SHAPE.values():
+        for source, target in letters.items():
+            same = {("ӏ", "l"), ("Ԛ", "Q")}  # the data takes small palochka for i, and has small ԛ only
+            assert skeleton(source) == skeleton(target) or (source, target) in same, (source, target)
+    groups = {}
+    for cp in EVERYDAY:
+        c = chr(cp)
+        if len(unicodedata.normalize("NFD", c)) == 1:
+            groups.setdefault((unicodedata.category(c), skeleton(c)), []).append(c)
+    form = lookalike.canonicalizer()
+    apart = {c for group in groups.values() if len({form(c) for c in group}) > 1 for c in group}
+    assert {c for c in apart if c not in ALIKE} <= {c for g in groups.values() if set(g) & ALIKE for c in g}
+    assert sum(len(g) > 1 for g in groups.values()) > 30
+
+
+def test_a_look_that_very_many_share(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "LOOK_BLOCK", 7)
+    df = spark.range(60).select("id", F.concat(F.lit("page"), F.when(F.col("id") % 3 == 0, "\u200b").when(F.col("id") % 3 == 1, "\u00ad").otherwise("")).alias("text"))
+    pairs = [(r.a, r.b) for r in lookalike.same_look(df, "id", "text").collect()]
+    assert sorted(pairs) == [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_form_is_stable(text):
@@ -141,8 +189,8 @@ def test_pairs_and_classes(spark):
     df = spark.createDataFrame(rows, "id long, text string, form string")
     pairs = {(r.a, r.b) for r in lookalike.same_look(df, "id", "text").collect()}
     assert pairs == {(1, 2), (2, 3), (1, 10), (2, 10), (3, 10)}
-    classes = {r.id: (r.class_id, r.spellings) for r in lookalike.look_classes(df, "id", "text").collect()}
-    assert classes == {1: (1, 3), 2: (1, 3), 3: (1, 3), 10: (1, 3), 4: (4, 1)}
+    classes = {r.id: (r.class_id, r.text_id, r.spellings) for r in lookalike.look_classes(df, "id", "text").collect()}
+    assert classes == {1: (1, 1, 3), 2: (1, 2, 3), 3: (1, 1, 3), 10: (1, 10, 3), 4: (4, 4, 1)}
     assert lookalike.same_look(df.limit(0), "id", "text").count() == 0
     texts = {r.id: r.t for r in df.select("id", lookalike.canonical_column(F.col("text")).alias("t")).collect() if r.id in (5, 6, 8, 9)}
     assert texts == {5: "", 6: "", 8: None, 9: " "}
