@@ -1,38 +1,45 @@
 """Credentials embedded in source code: finding their lines and blanking them.
 
-Each detection regex is parsed for the trigrams that any match must contain. Files are cut into chunks at line ends; an index from
-the needed trigrams to chunks is built for each batch of rows, its postings are intersected for each regex, and only the chunks
-that are left are searched. Matches are then judged by their value: placeholders, references to settings, prose, names and public
-keys are no credentials.
+Each detection regex is parsed for the trigrams that any match must contain (see :mod:`gneiss.llm.trigrams`). Files are cut into chunks
+at line ends; an index from trigrams to chunks is built once over each run of chunks, the formula of each regex is answered from its
+postings, and only the chunks that are left are searched. Matches are then judged by their value: placeholders, references to
+settings, prose, names and public keys are no credentials. What is blanked is read as the language has it: escapes go as a whole,
+doubled quotes of verbatim and Visual Basic literals too, and the holes of an interpolated literal stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from re import _constants as sre  # the engine's own parse trees
-from re import _parser as sre_parser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.trigrams import TrigramIndex, required
+
 #: Characters of a chunk, about; chunks end at line ends and overlap by OVERLAP_LINES that are not blank: as many as the parts of a match can stand on.
 CHUNK = 4096
 OVERLAP_LINES = 8
+#: Characters over which one index is built, about: what a task holds of it.
+INDEXED = 4_000_000
 
 _NAME = r"(?:password|passwd|passphrase|pwd|secret|token|api[-_ ]?key|access[-_ ]?key|account[-_ ]?key|auth[-_ ]?key|shared[-_ ]?key|private[-_ ]?key|signing[-_ ]?key|credential)"
-_OPEN = r"\s*[@$]{0,2}\""
+_OPEN = r"\s*[@$]{0,3}(?:\"\")?\""
+#: The inside of a literal: escapes, doubled quotes, and a backslash before the quote at its end where a backslash is no escape.
+_LITERAL = r"(?:[^\"\\\n]|\\.|\"\"|\\(?=\"))+"
 
 # The detection patterns; v is the credential. Those marked quoted need the match to lie in a string, a comment or a configuration file.
 PATTERNS = {
     "private key": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>)",
-    "named literal": rf"(?i)(?P<n>{_NAME}[\w\-]*)[\"'\])]*(?:\s+as\s+string)?\s*(?:[:=]=?|\?\?|<>|!=){_OPEN}(?P<v>(?:[^\"\\\n]|\\.)+)\"",
+    "named literal": rf"(?i)(?P<n>{_NAME}[\w\-]*)[\"'\])]*(?:\s+as\s+string)?\s*(?:[:=]=?|\?\?|<>|!=){_OPEN}(?P<v>{_LITERAL})\"",
     "single quotes": rf"(?i)(?P<n>{_NAME}[\w\-]*)[\"'\])]*\s*[:=]=?\s*'(?P<v>[^'\n]+)'",
-    "short name": rf"(?i)(?<![a-z0-9\-])(?P<n>pass|key)(?:\s+as\s+string)?\s*[:=]=?{_OPEN}(?P<v>(?:[^\"\\\n]|\\.)+)\"",
-    "shortest name": rf"(?i)(?<![\w\-])(?P<n>pw)(?:\s+as\s+string)?\s*[:=]=?{_OPEN}(?P<v>(?:[^\"\\\n]|\\.)+)\"",
+    "short name": rf"(?i)(?<![a-z0-9\-])(?P<n>pass|key)(?:\s+as\s+string)?\s*[:=]=?{_OPEN}(?P<v>{_LITERAL})\"",
+    "shortest name": rf"(?i)(?<![\w\-])(?P<n>pw)(?:\s+as\s+string)?\s*[:=]=?{_OPEN}(?P<v>{_LITERAL})\"",
     "plain setting": rf"(?im)^[ \t]*(?:-[ \t]+|export[ \t]+|set[ \t]+)?(?P<n>[\w.\-]*{_NAME}[\w\-]*)[ \t]*[:=][ \t]*(?P<v>[^\s\"'#<>]+)[ \t]*\r?$",
     "in text": r"(?i)(?<![\w\-])(?P<n>password|passwd|pwd|passphrase|accountkey|sharedaccesskey|sharedsecret|secret|token|api_?key)[ \t]*[=:][ \t]*(?P<v>[^\s;\"'<>,]+)",
     "address login": r"(?i)[a-z][a-z0-9+.\-]*://[^\s/:@\"'<>]*:(?P<v>[^\s/@\"'<>]+)@",
@@ -48,6 +55,7 @@ PATTERNS = {
 }
 _QUOTED = frozenset({"in text"})
 _SETTINGS = frozenset({"plain setting"})
+_IN_LITERALS = frozenset({"in text", "address login", "address signature", "authorization", "named argument"})
 _SURE = frozenset({"signed token", "live key", "encoded", "private key"})
 
 # What stands for a credential without being one.
@@ -72,70 +80,21 @@ _ENDINGS = frozenset(
     "b c d f g h k l m n p r s t w x z bb cc dd ff gg ll mm nn pp rr ss tt zz bs bt ch chs ck cks cs ct cts dg ds dth ff ft fth fts gh ght ghts gn gs gth ks lb lch ld lds lf lk lks ll lls lm lms lp ls lt lth lts mb mbs mn mp mps mpt mpts ms nc nch nd nds ng ngs ngth ngths "
     "nk nks ns nst nt nth nts nx ph phs ps pt pth pts rb rbs rc rch rd rds rf rg rk rks rl rld rlds rls rm rms rn rns rp rps rs rst rt rth rts rv sh sk sks sm sms sp ss st sts tch th ths ts tz wd wk wks wl wls wn wns ws xt xts".split()
 )
+# Words that stand after the name of a password without being one.
+_LABEL = re.compile(r"pass|secret|token|credential|login|user|account|^(?:required|optional|hidden|visible|enabled|disabled|changed|expired|invalid|incorrect|wrong|missing|unknown|default|forgot|forgotten|confirm|encrypted|protected|plain|masked|nothing|prompt|manual|input|field|value|never|always)$", re.I)
+_PASSWORD = re.compile(r"(?:password|passwd|passphrase|pwd|pass|pw)$", re.I)
 _GUID = re.compile(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", re.I)
-_CONTINUED = re.compile(r"\"[ \t]*(?:\+|&(?:[ \t]*_)?)?[ \t]*\r?\n?[ \t]*(?:\+|&)?[ \t]*@?\"((?:[^\"\\\n]|\\.)*)")
-_JOINED = re.compile(r"\"[ \t]*(?:(?:\+|&[ \t]*_?)[ \t]*\r?\n?[ \t]*|\r?\n[ \t]*(?:\+|&)[ \t]*)\"((?:[^\"\\\n]|\\.)*)")
-_BEFORE = re.compile(r"[\w.\-]*\Z")
+_JOINED = re.compile(r"\"[ \t]*(?:(?:\+|&[ \t]*_?)[ \t]*\r?\n?[ \t]*|\r?\n[ \t]*(?:\+|&)[ \t]*)[@$]{0,2}\"((?:[^\"\\\n]|\\.|\"\")*)")
+_NO_ESCAPES = re.compile(r"\.(?:config|xml|[a-z]+proj|props|targets|html?|xaml|resx|ini|properties|conf|cfg)$")
+_COMMENTED = re.compile(r"//|/\*|<!--|^\s*(?:\*|'|#|rem\s)|(?<!\S)'", re.I | re.M)
+_ESCAPED = re.compile(r'\\.|"', re.S)
+_DOUBLED = re.compile(r'""|"')
+_HOLE = re.compile(r"\{\{|\}\}|\{[^{}\n]*\}")
+_PART = re.compile(r"[^\s;\"'<>,]*")
 _PEM_BODY = re.compile(r"[^\"<]*?(?=-----END |\"|<|\Z)")
 SETTINGS_FILE = re.compile(r"\.(?:json|ya?ml|config|xml|ini|toml|env|properties|settings|conf|cfg)$", re.I)
 
 
-def _grams(literal: str) -> list[str]:
-    return [literal[i : i + 3] for i in range(len(literal) - 2)]
-
-
-def required_trigrams(pattern: str) -> list[frozenset[str]]:
-    """Clauses of trigrams in lower case: a text with a match has at least one of each clause. No clause means that any text may match."""
-
-    def walk(items) -> tuple[list[frozenset[str]], str | None]:
-        """Clauses of a sequence, and the sequence itself where it is one literal."""
-        clauses: list[frozenset[str]] = []
-        run, whole = "", True
-
-        def flush() -> None:
-            nonlocal run
-            clauses.extend(frozenset([g]) for g in _grams(run))
-            run = ""
-
-        for op, arg in items:
-            if op is sre.LITERAL:
-                run += chr(arg).lower()
-                continue
-            if op is sre.AT:
-                continue
-            whole_before = run
-            if op is sre.SUBPATTERN:
-                inner, literal = walk(arg[3])
-                if literal is not None:
-                    run += literal
-                    continue
-                flush()
-                clauses.extend(inner)
-            elif op is sre.BRANCH:
-                flush()
-                options = []
-                for option in arg[1]:
-                    inner, _ = walk(option)
-                    options.append(min(inner, key=len) if inner else None)
-                if all(o is not None for o in options):
-                    clauses.append(frozenset().union(*options))
-            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
-                flush()
-                if arg[0] > 0:
-                    clauses.extend(walk(arg[2])[0])
-            else:
-                flush()
-            del whole_before
-            whole = False
-        literal = run if whole else None
-        if literal is None:
-            flush()
-            return clauses, None
-        return [frozenset([g]) for g in _grams(literal)], literal
-
-    return list(dict.fromkeys(walk(sre_parser.parse(pattern))[0]))
-
-
 @dataclass(frozen=True)
 class Found:
     """A credential: its pattern, the offset where its literal begins, and the spans to blank."""
@@ -152,45 +111,42 @@ class Detector:
         # patterns that ignore case search a copy in lower case, which the engine does much faster; where that would shift places, they don't
         self.regex = {name: re.compile(p) for name, p in PATTERNS.items()}
         self.plain = {name: re.compile(re.sub(r"^\(\?i(m?)\)", lambda m: "(?m)" if m[1] else "", p)) for name, p in PATTERNS.items() if p.startswith("(?i")}
-        self.needs = {name: required_trigrams(p) for name, p in PATTERNS.items()}
-        self.grams = sorted(frozenset().union(*(c for cs in self.needs.values() for c in cs)))
-
-    def candidates(self, chunks: list[str], low: list[str] | None = None) -> dict[str, list[int]]:
-        """For each pattern the chunks that contain its trigrams, by intersecting postings."""
-        low = [c.lower() for c in chunks] if low is None else low
-        postings = {g: {i for i, c in enumerate(low) if g in c} for g in self.grams}
-        out = {}
-        for name, clauses in self.needs.items():
-            left: set[int] | None = None
-            for clause in sorted(clauses, key=lambda c: sum(len(postings[g]) for g in c)):
-                here = set().union(*(postings[g] for g in clause))
-                left = here if left is None else left & here
-                if not left:
-                    break
-            out[name] = list(range(len(chunks))) if left is None else sorted(left)
-        return out
+        self.needs = {name: required(p) for name, p in PATTERNS.items()}
+        self.index = TrigramIndex(list(self.needs.values()))
+
+    def candidates(self, low: list[str]) -> dict[str, list[int]]:
+        """For each pattern the chunks (in lower case) that can hold a match, from the index over all of them."""
+        postings = self.index.postings(low)
+        return {name: np.flatnonzero(postings.answer(need)).tolist() for name, need in self.needs.items()}
 
     def find(self, texts: list[str | None], paths: list[str | None]) -> list[list[Found]]:
         """The credentials of each text, in order, one for each place."""
-        chunks, origin = [], []
+        found: list[dict[int, Found]] = [{} for _ in texts]
+        chunks: list[tuple[int, int, int]] = []
+        size = 0
         for i, text in enumerate(texts):
             for start, end in chunk_bounds(text or ""):
-                chunks.append(text[start:end])
-                origin.append((i, start))
-        settings = [bool(SETTINGS_FILE.search(p or "")) for p in paths]
-        found: list[dict[int, Found]] = [{} for _ in texts]
-        low = [c.lower() for c in chunks]
-        for name, places in self.candidates(chunks, low).items():
+                chunks.append((i, start, end))
+                size += end - start
+                if size >= INDEXED:
+                    self._search(chunks, texts, paths, found)
+                    chunks, size = [], 0
+        self._search(chunks, texts, paths, found)
+        return [sorted(x.values(), key=lambda h: h.at) for x in found]
+
+    def _search(self, chunks: list[tuple[int, int, int]], texts: list[str | None], paths: list[str | None], found: list[dict[int, Found]]) -> None:
+        low = [texts[i][start:end].lower() for i, start, end in chunks]
+        for name, places in self.candidates(low).items():
             exact, plain = self.regex[name], self.plain.get(name)
             for c in places:
-                i, start = origin[c]
-                if name in _SETTINGS and not settings[i]:
+                i, start, end = chunks[c]
+                path = paths[i] or ""
+                if name in _SETTINGS and not SETTINGS_FILE.search(path):
                     continue
-                for match in plain.finditer(low[c]) if plain and len(low[c]) == len(chunks[c]) else exact.finditer(chunks[c]):
-                    hit = _judge(name, match, start, texts[i], paths[i] or "")
+                for match in plain.finditer(low[c]) if plain and len(low[c]) == end - start else exact.finditer(texts[i][start:end]):
+                    hit = _judge(name, match, start, texts[i], path)
                     if hit and hit.at not in found[i]:
                         found[i][hit.at] = hit
-        return [sorted(x.values(), key=lambda h: h.at) for x in found]
 
 
 def chunk_bounds(text: str) -> list[tuple[int, int]]:
@@ -239,6 +195,11 @@ def _is_words(value: str) -> bool:
     return 2 * said >= len(letters) and (len(letters) < 8 or 3 * len(humps) <= len(letters))
 
 
+def _is_password(value: str) -> bool:
+    """Letters in one case after a name that can only mean a password, and no word that stands there in labels and settings."""
+    return value.isalpha() and len(value) >= 6 and (value.islower() or value.isupper()) and not _LABEL.search(value)
+
+
 def _looks_secret(value: str, named: bool = True) -> bool:
     """Neither a placeholder nor a reference nor plain words; where no name says that it is a credential, also neither short nor an id."""
     if _PLACEHOLDER.search(value):
@@ -264,13 +225,72 @@ def _looks_secret(value: str, named: bool = True) -> bool:
     return not _is_words(value.rstrip(".,;:!?"))
 
 
-def _in_text(text: str, at: int) -> bool:
+def _kind(text: str, at: int, path: str) -> str:
+    """How the literal whose inside begins at a place is written: r(aw), v (quotes doubled), p(lain, without escapes) or e(scapes), and i where it is interpolated."""
+    low = path.lower()
+    if _NO_ESCAPES.search(low):
+        return "p"
+    raw = text[at - 3 : at] == '"""' and not low.endswith(".vb")
+    begin = at - 3 if raw else at - 1
+    first = begin
+    while first > 0 and text[first - 1] in "@$":
+        first -= 1
+    marks = text[first:begin]
+    return ("r" if raw else "v" if "@" in marks or low.endswith(".vb") else "e") + ("i" if "$" in marks else "")
+
+
+def _closing(text: str, at: int, kind: str, stop: int) -> int:
+    """The place of the quote that closes a literal; ``stop`` where there is none before."""
+    if kind[0] in "rp":
+        end = text.find('"' * (3 if kind[0] == "r" else 1), at, stop)
+        return stop if end < 0 else end
+    for mark in (_DOUBLED if kind[0] == "v" else _ESCAPED).finditer(text, at, stop):
+        if len(mark[0]) == 1:
+            return mark.start()
+    return stop
+
+
+@lru_cache(maxsize=16)
+def _line(text: str, start: int, path: str) -> tuple[list[int], list[int], int]:
+    """Where the literals of a line begin and end, and where its comment begins (the line's end if it has none)."""
+    stop = text.find("\n", start)
+    stop = len(text) if stop < 0 else stop
+    begins, ends, at = [], [], start
+    while (quote := text.find('"', at, stop)) >= 0:
+        at = quote + 1
+        if text[quote - 1 : at + 1] == "'\"'" or text[max(quote - 2, 0) : quote] == "'\\":  # the quote as a character
+            continue
+        if text.startswith('"""', quote) and not path.lower().endswith(".vb"):
+            at = quote + 3
+        kind = _kind(text, at, path)
+        begins.append(at)
+        ends.append(_closing(text, at, kind, stop))
+        at = ends[-1] + (3 if kind[0] == "r" else 1)
+    comment = _COMMENTED.search(text, start, stop)
+    return begins, ends, comment.start() if comment else stop
+
+
+def _inside(text: str, at: int, path: str) -> tuple[int, int] | None:
+    """Where the literal around a place begins and ends on its line."""
+    begins, ends, _ = _line(text, text.rfind("\n", 0, at) + 1, path)
+    i = bisect_right(begins, at) - 1
+    return (begins[i], ends[i]) if i >= 0 and at < ends[i] else None
+
+
+def _in_text(text: str, at: int, path: str) -> bool:
     """Whether a place lies in a string or a comment, judged by its line."""
-    start = text.rfind("\n", 0, at) + 1
-    before = text[start:at]
-    if before.count('"') % 2:
-        return True
-    return bool(re.search(r"//|/\*|<!--|^\s*(?:\*|'|#|rem\s)|(?<!\S)'", before, re.I))
+    return _inside(text, at, path) is not None or _line(text, text.rfind("\n", 0, at) + 1, path)[2] < at
+
+
+def _without_holes(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for a, b in spans:
+        for hole in _HOLE.finditer(text, a, b):
+            if len(hole[0]) > 2 and not hole[0].startswith(("{{", "}}")):
+                out.append((a, hole.start()))
+                a = hole.end()
+        out.append((a, b))
+    return [(a, b) for a, b in out if a < b]
 
 
 def _judge(name: str, match: re.Match, start: int, text: str, path: str) -> Found | None:
@@ -279,6 +299,17 @@ def _judge(name: str, match: re.Match, start: int, text: str, path: str) -> Foun
         body = start + match.end()
         return Found(name, at, ((body, _PEM_BODY.match(text, body).end()),))
     at, end = start + match.start("v"), start + match.end("v")
+    kind = "e"
+    if text[at - 1 : at] == '"' and text[end : end + 1] == '"':  # a whole literal
+        kind = _kind(text, at, path)
+        stop = text.find("\n", at)
+        close = _closing(text, at, kind, len(text) if stop < 0 else stop)
+        end = close if text[close : close + 1] == '"' else end
+    elif name in _IN_LITERALS and (around := _inside(text, at, path)):  # a part of one, which an escape may continue
+        kind = _kind(text, around[0], path)
+        while end < around[1] and text[end] == '"':
+            end = _PART.match(text, end + 1, around[1]).end()
+        end = min(end, around[1])
     value = text[at:end]
     spans = [(at, end)]
     if text[end : end + 1] == '"':
@@ -286,16 +317,24 @@ def _judge(name: str, match: re.Match, start: int, text: str, path: str) -> Foun
             value += more[1]
             spans.append(more.span(1))
             end = more.end()
+    if kind.endswith("i"):
+        spans = _without_holes(text, spans)
+        value = "".join(text[a:b] for a, b in spans)
+        if not any(c.isalnum() for c in value):
+            return None
     named = None
     if "n" in match.re.groupindex:  # the name goes on before the word by which it was found
-        begin = start + match.start("n")
-        named = _BEFORE.search(text, max(0, begin - 80), begin)[0] + text[begin : start + match.end("n")]
+        first = start + match.start("n")
+        while first > 0 and (text[first - 1].isalnum() or text[first - 1] in "_.-"):
+            first -= 1
+        named = text[first : start + match.end("n")]
     settings = bool(SETTINGS_FILE.search(path))
-    if name in _QUOTED and not settings and not _in_text(text, start + match.start()):
+    if name in _QUOTED and not settings and not _in_text(text, start + match.start(), path):
         return None
     if named and (_NOT_A_VALUE.search(named) or _PUBLIC.search(named)):
         return None
-    if name in ("short name", "shortest name") and (len(value) < 12 or re.search(r"[\s:/\\]", value) and not re.search(r"\d", value)):
+    plain_key = name == "short name" and named.lower().endswith("key")
+    if plain_key and (len(value) < 12 or re.search(r"[\s:/\\]", value) and not re.search(r"\d", value)):
         return None
     if name == "address login":
         value = value.strip()
@@ -307,8 +346,9 @@ def _judge(name: str, match: re.Match, start: int, text: str, path: str) -> Foun
     inner = re.search(r"(?i)://[^\s/:@]*:[^\s/@]+@|(?:password|pwd|accountkey)\s*=", value)
     if inner and name != "in text":
         return None  # the part of it that is one is found by itself
-    if name not in _SURE and not _looks_secret(value, name != "short name"):
-        return None
+    if name not in _SURE and not _looks_secret(value, not plain_key):
+        if not (named and _PASSWORD.search(named) and _is_password(value) and not _PLACEHOLDER.search(value)):
+            return None
     if named and _AMOUNT.search(named) and _SHORT_NUMBER.match(value):
         return None
     if name in _SURE and _PLACEHOLDER.search(value):
@@ -328,14 +368,14 @@ def line_of(text: str, at: int) -> int:
 
 
 def blanked(text: str, found: list[Found]) -> str:
-    """The text with the credentials overwritten: every letter, digit and mark of them becomes an x, so that lengths, lines, quotes and all code around stay."""
+    """The text with the credentials overwritten: all characters of them but line ends become x, so that lengths, lines and all code around stay."""
     if not found:
         return text
     out = list(text)
     for hit in found:
         for a, b in hit.spans:
             for i in range(a, b):
-                if out[i] not in '\r\n"\'':
+                if out[i] not in "\r\n":
                     out[i] = "x"
     return "".join(out)
 

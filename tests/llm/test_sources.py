@@ -1,9 +1,12 @@
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from gneiss.llm import handwritten as h
 from gneiss.llm import secrets as s
+from gneiss.llm import syntax, trigrams
 
 OWN = "repository://red-mill-1"
 CODE = "namespace RedMill.Core\n{\n    class A\n    {\n        void M() { Run(1); }\n    }\n}\n"
@@ -83,11 +86,72 @@ def test_clean(path, text):
 
 def test_needed_trigrams_are_needed():
     for name, pattern in s.PATTERNS.items():
+        needs = trigrams.required(pattern)
+        assert needs is not True, name
         for path, text, _ in FOUND:
             for m in re.finditer(pattern, text):
-                low = text[m.start() : m.end()].lower()
-                assert all(any(g in low for g in clause) for clause in s.required_trigrams(pattern)), (name, path)
-    assert s.required_trigrams("abcd|xabcd") and s.required_trigrams("a?b*") == [] and frozenset(["abc"]) in s.required_trigrams("(abc)+x")
+                assert trigrams.holds(needs, text[m.start() : m.end()].lower()), (name, path)
+
+
+@pytest.mark.parametrize(
+    ("pattern", "needs"),
+    [
+        ("abcd", ("and", frozenset(["abc", "bcd"]))), ("a?b*", True), ("(abc)+x", ("and", frozenset(["abc", "bcx"]))), ("abc|xyz", ("or", frozenset(["abc", "xyz"]))), ("abc|x", True), ("ab[cd]", ("or", frozenset(["abc", "abd"]))), ("pw ?=", ("or", frozenset(["pw=", ("and", frozenset(["pw ", "w ="]))]))), ("a.bcd", "bcd"), ("(?i)ABC", "abc"),
+    ],
+)
+def test_required_trigrams(pattern, needs):
+    assert trigrams.required(pattern) == needs
+
+
+SMALL = st.recursive(st.sampled_from(["a", "b", "c", "ab", "[ab]", "é", r"\s"]), lambda x: st.builds("({}{})".format, x, x) | st.builds("({}|{})".format, x, x) | st.builds("({})?".format, x) | st.builds("({})+".format, x) | st.builds("({})*".format, x), max_leaves=8)
+
+
+@settings(max_examples=400, deadline=None)
+@given(SMALL, st.text("abcé \n", max_size=8))
+def test_index_loses_no_match(pattern, text):
+    needs = trigrams.required(pattern)
+    if re.search(pattern, text):
+        assert trigrams.holds(needs, text)
+    chunks = ["abc", text, "", "é" + text, text[::-1]]
+    answer = trigrams.TrigramIndex([needs]).postings(chunks).answer(needs)
+    assert all(a or not trigrams.holds(needs, c) for a, c in zip(answer, chunks))
+    if needs is not True and all(g.isascii() for g in trigrams.names(needs)):
+        assert [bool(a) for a in answer] == [trigrams.holds(needs, c) for c in chunks]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9000), max_size=12), st.booleans())
+def test_chunks_cover_the_text_and_overlap(lengths, ends):
+    text = "\n".join("x" * n for n in lengths) + ("\n" if ends else "")
+    bounds = s.chunk_bounds(text)
+    if not text:
+        assert bounds == []
+        return
+    assert bounds[0][0] == 0 and bounds[-1][1] == len(text) and all(c[0] < d[0] <= c[1] for c, d in zip(bounds, bounds[1:]))
+    for (_, end), (start, _) in zip(bounds, bounds[1:]):
+        assert end == len(text) or sum(bool(x.strip()) for x in text[start:end].split("\n")) >= s.OVERLAP_LINES
+
+
+BLANKED = [
+    ("a.cs", r'string password = "ab\"c9d3f7Kq";', 'string password = "xxxxxxxxxxxx";'), ("a.cs", 'var password = $"{prefix}a9X7kq22";', 'var password = $"{prefix}xxxxxxxx";'), ("a.cs", 'var password = @"ab""cd9\\";', 'var password = @"xxxxxxxx";'),
+    ("a.vb", 'Dim password = "ab""c9d3f7"', 'Dim password = "xxxxxxxxxx"'), ("a.vb", 'Dim pwd = "q7w3e9r1\\" & x', 'Dim pwd = "xxxxxxxxx" & x'), ("a.cs", r'c = "Server=x;Password=ab\"c9d3f7Kq;Y=1";', 'c = "Server=x;Password=xxxxxxxxxxxx;Y=1";'), ("a.cs", 'var password = $@"9X""7kq22{y}z";', 'var password = $@"xxxxxxxxx{y}x";'),
+    ("a.cs", 'new NetworkCredential("u", "hd\\"qa5wxeq2");', 'new NetworkCredential("u", "xxxxxxxxxxxx");'), ("a.config", '<add key="ASecret" value="q9str2qs\\" x="1" />', '<add key="ASecret" value="xxxxxxxxx" x="1" />'), ("a.cs", 'var password = """q9s"tr2qs""";', 'var password = """xxxxxxxxx""";'),
+    ("a.cs", 'var password = "correcthorse"; pass = "a9"; var x = 1;', 'var password = "xxxxxxxxxxxx"; pass = "xx"; var x = 1;'), ("a.cs", 'string pw = "k3Jq"; string key = "a9X7kq22kz81";', 'string pw = "xxxx"; string key = "xxxxxxxxxxxx";'),
+]
+
+
+@pytest.mark.parametrize(("path", "text", "clean"), BLANKED)
+def test_blanking_keeps_the_code_whole(path, text, clean):
+    assert s.blanked(text, s.detector().find([text], [path])[0]) == clean
+    if path.endswith((".cs", ".vb")):
+        wrap = "class C {{ void M() {{ {} }} }}" if path.endswith("cs") else "Class C\nSub M()\n{}\nEnd Sub\nEnd Class\n"
+        for code in (text, clean):
+            assert syntax.parses(path, wrap.format(code)), code
+
+
+def test_names_of_any_length():
+    text = "var " + "very_long_" * 30 + 'password_hint = "a9X7kq22"; ' + "very_long_" * 30 + 'password = "a9X7kq22";'
+    assert [h.at for h in s.detector().find([text], ["a.cs"])[0]] == [text.rindex("a9X7kq22")]
 
 
 def test_candidates_lose_nothing_in_long_texts():
