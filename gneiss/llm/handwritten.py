@@ -1,13 +1,16 @@
 """Telling source files that someone wrote by hand from generated, minified, vendored and data files.
 
-Signs are looked for in this order: the path, notices in the header (found by one multi-pattern automaton), marks that generators
-leave in the code, the namespace of a third party, and the make-up of the text (minified code, data kept as code).
+Signs are looked for in this order: the path, then what two multi-pattern automata find: notices of generators and licence banners in
+the header, marks that generators leave in the code, and the namespaces. A phrase that is only part of a sign is looked at in its line,
+at the place where it was found. What leaves no phrase, minified code and data kept as code, is judged by the make-up of the text.
+Namespaces are third-party ones where most of their files, in more than one repository, are told by path or banner; the files of such
+a namespace that are neither, and lie in a repository with a main namespace of its own, are third-party copies too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -15,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.work import staged
+
 # Endings and names of files that tools write.
 TOOL_ENDINGS = re.compile(r"(?:\.designer|\.g|\.g\.i|\.generated|\.assemblyinfo|\.assemblyattributes|_pb2|\.pb)\.(?:cs|vb|js|ts|py|go|cc|h)$|(?:^|/)temporarygeneratedfile_[^/]*$")
 SHORT_ENDINGS = re.compile(r"[.-]min\.(?:js|css|mjs)$|\.(?:bundle|chunk|packed)\.(?:js|css|mjs)$|\.[0-9a-f]{8,}\.(?:js|css|mjs)$")
@@ -25,39 +30,59 @@ VENDORED_OUTSIDE = frozenset("vendor external externals extern packages lib libs
 BUILT = frozenset("obj".split())
 CONFIGURATION = frozenset("json yml yaml config xml ini toml props targets csproj vbproj sln resx settings editorconfig".split())
 
-# Phrases of generation notices, in lower case; some need a look at their surroundings.
+# Phrases in headers, in lower case. Those of NOTICES say that a tool wrote the file, those of BY_HAND that none did.
 NOTICES = (
     "<auto-generated", "<autogenerated", "code generated by", "do not edit", "do not modify", "don't edit", "edits are lost", "edits will be lost", "changes will be lost",
     "changes may be lost", "will be overwritten", "is overwritten", "regenerated on each", "regenerated by", "this file was generated", "this file is generated", "this code was generated",
     "automatically generated", "auto-generated by", "autogenerated by", "auto generated by", "generated file", "generated code", "wrote this file", "@generated", "was generated by",
 )
-OUTPUT = re.compile(r"(?:^|[/*'\s])\w+ output for \S+\.\w+\s*$|(?:^|[/*'\s])generated from \S+\.\w+|^\W*\w+ \d+(?:\.\d+)+ \S+\.(?:grammar|g4?|y|l|xsd|wsdl|proto)\s*$|(?:^|[/*'\s])source: \S+\.(?:proto|grammar|g4|xsd|wsdl|thrift)\s*$", re.M)
-BY_HAND = re.compile(r"written by hand|hand-?written|not (?:auto-?)?generated|replaces the (?:file|class|code)")
-# The forms of licence banners that come with third-party files.
-BANNER = re.compile(r"spdx-license-identifier:|licensed under|\blicense file of\b|^\s*/\*!.*\|\s*\(c\)|released under the \w+ licen[cs]e|permission is hereby granted", re.M)
+BY_HAND = ("written by hand", "handwritten", "hand-written", "not generated", "not auto-generated", "not autogenerated", "replaces the file", "replaces the class", "replaces the code")
+#: Notices that hold whatever else the header says.
+FIRM = ("<auto-generated", "do not edit")
+# Phrases that say what a tool made the file from, and those of licence banners of third-party files, with the form of the line where they stand.
+_SOURCES = re.compile(r"(?:^|[/*'\s])\w+ output for \S+\.\w+\s*$|(?:^|[/*'\s])generated from \S+\.\w+|^\W*\w+ \d+(?:\.\d+)+ \S+\.(?:grammar|g4?|y|l|xsd|wsdl|proto)\s*$|(?:^|[/*'\s])source: \S+\.(?:proto|grammar|g4|xsd|wsdl|thrift)\s*$")
+_BANNER = re.compile(r"spdx-license-identifier:|licensed under|\blicense file of\b|^\s*/\*!.*\|\s*\(c\)|released under the \w+ licen[cs]e|permission is hereby granted")
+IN_LINE = {
+    **dict.fromkeys(("output for ", "generated from ", "source: ", ".grammar", ".g", ".y", ".l", ".xsd", ".wsdl", ".proto"), ("source", _SOURCES)),
+    **dict.fromkeys(("spdx-license-identifier:", "licensed under", "license file of", "/*!", "released under the ", "permission is hereby granted"), ("banner", _BANNER)),
+}
+# Phrases in code, with the form of the line where they stand.
+_ATTRIBUTE = re.compile(r"^\s*[\[<]\s*(?:(?:assembly|module)\s*:\s*)?(?:global(?:::|\.))?(?:system\.codedom\.compiler\.)?(?:generatedcode|compilergenerated)(?:attribute)?\s*\(|^\s*#line\s+\d+\s+\"|^\s*#pragma checksum|^\s*\[assembly:\s*global::system\.reflection\.assemblytitle")
+IN_CODE = {
+    **dict.fromkeys(("generatedcode", "compilergenerated", "#line", "#pragma checksum", "global::system.reflection.assemblytitle"), ("mark", _ATTRIBUTE)),
+    **dict.fromkeys(("global::system", "global.system"), ("qualified", re.compile(r"\bglobal(?:::|\.)system\b"))),
+    "const int t__": ("token", re.compile(r"^\s*(?:public )?const int t__\d+\s*=\s*\d+;")),
+    "namespace": ("namespace", re.compile(r"^[ \t]*namespace[ \t]+(?:global(?:::|\.))?([a-z_]\w*)")),
+}
 
 _HEADER_LINE = re.compile(r"\s*(?:$|//|/\*|\*|'|rem\b|#(?!\s*(?:if|else|elif|end|line))|<!--|\ufeff)", re.I)
 _BYTE_ORDER = re.compile("^(?:\ufeff|\u00ef\u00bb\u00bf)+")
 _KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[^\"]*")
-_MARKS = re.compile(r"^\s*[\[<]\s*(?:(?:assembly|module)\s*:\s*)?(?:global(?:::|\.))?(?:System\.CodeDom\.Compiler\.)?(?:GeneratedCode|CompilerGenerated)(?:Attribute)?\s*\(|^\s*#line\s+\d+\s+\"|^\s*#pragma checksum|^\s*\[assembly:\s*global::System\.Reflection\.AssemblyTitle", re.M | re.I)
-_NAMESPACE = re.compile(r"^[ \t]*namespace[ \t]+(?:global(?:::|\.))?([A-Za-z_]\w*)", re.M | re.I)
 _STRINGS = re.compile(r'@"(?:[^"]|"")*(?:"|\Z)|"(?:[^"\\\n]|\\.)*"')
-_QUALIFIED = re.compile(r"\bglobal(?:::|\.)system\b", re.I)
-_TOKEN_TABLE = re.compile(r"^\s*(?:public )?const int T__\d+\s*=\s*\d+;", re.M)
 _NUMBER = re.compile(r"[-+]?(?:0[xX][0-9A-Fa-f]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[A-Za-z]{0,2}")
 _WORD = re.compile(r"[A-Za-z_]\w*")
 _COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*", re.S)
 
 
-@lru_cache(maxsize=1)
-def _automaton() -> ahocorasick.Automaton:
+def _automaton(phrases: Iterable[str]) -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    for phrase in NOTICES:
+    for phrase in phrases:
         machine.add_word(phrase, phrase)
     machine.make_automaton()
     return machine
 
 
+@lru_cache(maxsize=1)
+def _automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+    """One for headers and one for code."""
+    return _automaton([*NOTICES, *BY_HAND, *IN_LINE]), _automaton(IN_CODE)
+
+
+def _line_at(text: str, at: int) -> str:
+    end = text.find("\n", at)
+    return text[text.rfind("\n", 0, at) + 1 : len(text) if end < 0 else end]
+
+
 def header(text: str) -> str:
     """The comments and directives before the first line of code, of whatever length; a mark of byte order, read rightly or wrongly, comes before them."""
     text = _BYTE_ORDER.sub("", text, count=1)
@@ -100,21 +125,51 @@ def _from_path(path: str) -> str | None:
     return None
 
 
-def _notice(head: str) -> bool:
+def header_signs(head: str) -> set[str]:
+    """What the header says, by the automaton: generated and banner."""
     low = head.lower()
-    by_hand = False
-    if any(True for _ in _automaton().iter(low)) or OUTPUT.search(low):
-        by_hand = bool(BY_HAND.search(low))
-        return not by_hand or any(p in low for p in ("<auto-generated", "do not edit"))
-    return False
-
-
-def _machine_made(text: str) -> bool:
-    """Names spelt out from the global root again and again, or a lexer's table of numbered tokens: nobody types these."""
-    spelt = len(_QUALIFIED.findall(text))
-    if spelt >= 3 and spelt > 0.1 * sum(1 for x in text.splitlines() if x.strip()):
-        return True
-    return len(_TOKEN_TABLE.findall(text)) >= 3
+    told, by_hand, firm, out = False, False, False, set()
+    for end, phrase in _automata()[0].iter(low):
+        if phrase in IN_LINE:
+            kind, form = IN_LINE[phrase]
+            if kind not in out and form.search(_line_at(low, end)):
+                out.add(kind)
+        elif phrase in BY_HAND:
+            by_hand = True
+        else:
+            told, firm = True, firm or phrase in FIRM
+    if (told or "source" in out) and (not by_hand or firm):
+        out.add("generated")
+    return out - {"source"}
+
+
+def code_signs(text: str) -> tuple[set[str], list[str]]:
+    """What the code says, by the automaton: whether a tool made it, and the roots of its namespaces, in lower case."""
+    low = text.lower()
+    counts = {"qualified": 0, "token": 0}
+    out: set[str] = set()
+    roots: dict[str, None] = {}
+    for end, phrase in _automata()[1].iter(low):
+        kind, form = IN_CODE[phrase]
+        if kind == "qualified":
+            counts[kind] += not low[end + 1 : end + 2].isalnum()
+            continue
+        if kind == "mark" and kind in out:
+            continue
+        match = form.match(_line_at(low, end))
+        if match is None:
+            continue
+        if kind == "mark":
+            out.add(kind)
+        elif kind == "token":
+            counts[kind] += 1
+        else:
+            roots.setdefault(match[1])
+    # names spelt out from the global root again and again, or a lexer's table of numbered tokens: nobody types these
+    spelt = counts["qualified"]
+    if counts["token"] >= 3 or spelt >= 3 and spelt > 0.1 * sum(1 for x in text.splitlines() if x.strip()):
+        out.add("mark")
+    return out, list(roots)
 
 
 def _short(text: str) -> bool:
@@ -154,53 +209,69 @@ def data_share(text: str) -> tuple[float, int]:
     return ((literal + numbers) / total if total else 0.0), literal + numbers
 
 
-def own_name(repository: str | None) -> str:
-    """The letters of a repository's name, for comparing with namespaces."""
-    return re.sub(r"[^a-z0-9]", "", (repository or "").rpartition("://")[2].lower())
-
-
-def classify(path: str | None, text: str | None, repository: str | None) -> str | None:
-    """Why a file is not hand-written: generated, minified, vendored, data or lockfile; null for hand-written and configuration files, and for null texts."""
+def classify(path: str | None, text: str | None) -> tuple[str | None, str | None]:
+    """Why a file is not hand-written, as far as the file itself tells: generated, minified, vendored, data or lockfile; null for hand-written and configuration files, and for null texts. And the root of its first namespace."""
     if text is None:
-        return None
+        return None, None
     by_path = _from_path(path or "")
     if by_path == "configuration":
-        return None
-    if by_path:
-        return by_path
+        return None, None
     head = header(text)
-    if _notice(head) or _MARKS.search(text) or _machine_made(text):
-        return "generated"
-    if BANNER.search(head.lower()):
-        return "vendored"
-    own, spaces = own_name(repository), _NAMESPACE.findall(text)
-    if spaces and own and not any(re.sub(r"[^a-z0-9]", "", s.lower())[:24] in own for s in spaces):
-        return "vendored"
+    signs = set() if by_path else header_signs(head)
+    marks, roots = code_signs(text)
+    root = roots[0] if roots else None
+    if by_path:
+        return by_path, root
+    if "generated" in signs or marks:
+        return "generated", root
+    if "banner" in signs:
+        return "vendored", root
     if _short(text):
-        return "minified"
+        return "minified", root
     share, size = data_share(text)
     if share > 0.6 and size > 600:
-        return "data"
-    return None
+        return "data", root
+    return None, root
 
 
-def classify_column(path: Column, text: Column, repository: Column) -> Column:
+def classify_column(path: Column, text: Column) -> Column:
     """:func:`classify` over columns."""
 
-    @F.pandas_udf("string")
-    def reason(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for paths, texts, repositories in parts:
-            yield pd.Series([classify(p, t, r) for p, t, r in zip(paths, texts, repositories)], dtype=object)
+    @F.pandas_udf("reason string, root string")
+    def reason(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for paths, texts in parts:
+            yield pd.DataFrame([classify(p, t) for p, t in zip(paths, texts)], columns=["reason", "root"], dtype=object)
+
+    return reason(path, text)
+
 
-    return reason(path, text, repository)
+def third_party(judged: DataFrame) -> DataFrame:
+    """Namespaces (root) of third parties, each repository without its own main one: (repository, root).
+
+    Of a third party's namespace more files are told by path or banner than are not told at all, and those lie in more than one
+    repository. One row for each repository and namespace is all that is counted with.
+    """
+    seen = judged.filter(F.col("root").isNotNull() & (F.col("reason").isNull() | (F.col("reason") == "vendored")))
+    told = F.col("reason").isNotNull()
+    counted = staged(seen.groupBy("repository", "root").agg(F.count_if(told).alias("told"), F.count_if(~told).alias("untold")), "roots")
+    place = F.xxhash64("repository")
+    known = counted.groupBy("root").agg(F.sum("told").alias("told"), F.sum("untold").alias("untold"), F.min(F.when(F.col("told") > 0, place)).alias("a"), F.max(F.when(F.col("told") > 0, place)).alias("b"))
+    known = known.filter((F.col("told") > F.col("untold")) & (F.col("a") != F.col("b"))).select("root")
+    main = counted.filter("untold > 0").groupBy("repository").agg(F.max_by("root", F.struct("untold", "root")).alias("main"))
+    here = counted.join(known, "root", "left_semi").join(main.withColumnRenamed("repository", "r"), F.col("repository").eqNullSafe(F.col("r")), "left")
+    return here.filter(F.col("main").isNull() | (F.col("main") != F.col("root"))).select("repository", "root")
 
 
 def not_handwritten(files: DataFrame, key: str, path: str, text: str, repository: str) -> DataFrame:
     """The files that nobody wrote by hand: (key, reason).
 
     A null or empty text, a null path or a null repository lack only the signs that they would bear; a null text is no case. One row
-    for each row of ``files``, repeated rows included; other columns are ignored.
+    for each row of ``files``, repeated rows included; other columns are ignored. An empty table gives an empty table.
     """
-    # unfolding drops the nulls; a filter would judge every file twice
-    reason = classify_column(F.col(path), F.col(text), F.col(repository))
-    return files.select(F.col(key), F.explode(F.array_compact(F.array(reason))).alias("reason"))
+    judged = files.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(repository).alias("repository"), classify_column(F.col(path), F.col(text)).alias("v"))
+    judged = staged(judged.select("key", "repository", "v.reason", "v.root"), "judged")
+    # a namespace may have a third of all files: its files are spread over the repositories they lie in
+    copies = third_party(judged).select(F.col("repository").alias("r"), F.col("root").alias("n"))
+    untold = judged.filter(F.col("reason").isNull() & F.col("root").isNotNull())
+    copied = untold.join(copies, (F.col("root") == F.col("n")) & F.col("repository").eqNullSafe(F.col("r")), "left_semi").withColumn("reason", F.lit("vendored"))
+    return judged.filter(F.col("reason").isNotNull()).unionByName(copied).select(F.col("key").alias(key), "reason")

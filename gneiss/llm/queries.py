@@ -16,10 +16,15 @@ from gneiss.operators.versions import holding
 from gneiss.sources.tables import table
 
 
+#: Bytes of input for each core below which a table is spread: it lies in fewer or larger pieces than there are cores.
+SMALL_SHARE = 16 << 20
+
+
 def _spread(df: DataFrame, column: str) -> DataFrame:
-    """Rows of a small input, which is read in fewer tasks than there are cores, are spread over all; a large one stays as it lies."""
+    """Rows of a table of few bytes are spread over all cores; a large one stays as it lies. The rows are the same."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, column)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df if size >= cores * SMALL_SHARE else df.repartition(2 * cores, column)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,12 +22,12 @@ CODE = "namespace RedMill.Core\n{\n    class A\n    {\n        void M() { Run(1)
         ("src/A.cs", "// Thing output for a.grammar\n" + CODE, "generated"), ("src/A.cs", CODE.replace("    class", '    [GeneratedCode("x", "1")]\n    class'), "generated"), ("src/A.cs", "class A {\n#line 3 \"a.view\"\n}", "generated"),
         ("node_modules/x/a.js", "f();", "vendored"), ("src/ThirdParty/x/A.cs", CODE, "vendored"), ("vendor/x/A.cs", CODE, "vendored"), ("src/A.cs", "// SPDX-License-Identifier: MIT\n" + CODE, "vendored"), ("a.js", "/*! lib v1.2 | (c) Some Body | MIT */\nf();", "vendored"),
         ("src/A.cs", "\u00ef\u00bb\u00bf// Code generated by Tool. DO NOT EDIT.\n" + CODE, "generated"), ("src/A.cs", "\ufeff// <auto-generated/>\n" + CODE, "generated"), ("src/A.cs", 'class A { string k = @"-----BEGIN PRIVATE KEY-----\n' + "AbC1" * 400, None),
-        ("src/A.cs", CODE.replace("RedMill", "Other"), "vendored"), ("js/a.min.js", "f()", "minified"), ("js/app.0a1b2c3d.js", "f()", "minified"), ("js/a.js", "var a=b||{},c=!0;function d(e,f){return e.g(f>1?f:2)};" * 20, "minified"),
+        ("src/A.cs", CODE.replace("RedMill", "Other"), None), ("src/A.cs", "// made by 3.1 Sample.g4\n// Parser 4.9 Sample.g4\n" + CODE, "generated"), ("src/A.cs", "// reads the output for a report\n" + CODE, None), ("src/A.cs", CODE + "// licensed under the sea", None), ("js/a.min.js", "f()", "minified"), ("js/app.0a1b2c3d.js", "f()", "minified"), ("js/a.js", "var a=b||{},c=!0;function d(e,f){return e.g(f>1?f:2)};" * 20, "minified"),
         ("src/D.cs", "class D { byte[] b = { " + ", ".join(["0xAB"] * 400) + " }; }", "data"), ("src/D.cs", 'class D { string s = @"id;v\n' + "1;2\n" * 400 + '"; }', "data"), ("yarn.lock", "x", "lockfile"),
     ],
 )
 def test_reasons(path, text, reason):
-    assert h.classify(path, text, OWN) == reason
+    assert h.classify(path, text)[0] == reason
 
 
 def test_frame(spark):
@@ -36,6 +36,25 @@ def test_frame(spark):
     assert h.not_handwritten(df.limit(0), "id", "path", "text", "repo").count() == 0
 
 
+def test_copies_without_a_sign_of_their_own(spark):
+    lib = CODE.replace("RedMill", "Other")
+    rows = [(i, f"third_party/other/{i}.cs", lib, f"repository://{'ab'[i % 2]}") for i in range(4)]  # told by their path, in two repositories
+    rows += [(10, "src/Read.cs", lib, "repository://a"), (11, "src/Read.cs", lib, "repository://c"), (12, "src/Read.cs", lib, None)]  # patched copies; the last lies where it is the only namespace
+    rows += [(20 + i, f"src/{i}.cs", CODE, f"repository://{'abc'[i % 3]}") for i in range(6)]  # a namespace unlike the repository's name
+    rows += [(30, "vendor/x/A.cs", CODE.replace("RedMill", "Once"), "repository://a"), (31, "src/A.cs", CODE.replace("RedMill", "Once"), "repository://a")]  # one repository's own
+    rows += [(40 + i, "src/A.cs", lib.replace("Other", "Pump"), "repository://pump") for i in range(2)] + [(50 + i, "vendor/pump/A.cs", lib.replace("Other", "Pump"), f"repository://{i}") for i in range(3)]  # at home
+    df = spark.createDataFrame(rows, "id long, path string, text string, repo string")
+    got = {r.id: r.reason for r in h.not_handwritten(df, "id", "path", "text", "repo").collect()}
+    assert got == dict.fromkeys([0, 1, 2, 3, 10, 11, 30, 50, 51, 52], "vendored")
+
+
+def test_signs_come_from_the_automata():
+    assert h.header_signs("// SPDX-License-Identifier: MIT\n// Code generated by X\n") == {"banner", "generated"} and h.header_signs("// written by hand; the old file was generated by X") == set()
+    assert h.header_signs("// hand-written, do not edit") == {"generated"} and h.header_signs("") == set()
+    marks, roots = h.code_signs("namespace A.B { }\n  namespace global::C;\n// the namespace D\n[GeneratedCode(1)]\nclass X { }")
+    assert marks == {"mark"} and roots == ["a", "c"]
+
+
 FOUND = [
     ("a.cs", 'var x = 1;\nconst string ApiKey = "3d6690f138db65beac54a96c2dc40018";', [2]), ("a.cs", 'if (pwd == "foundry1967") { }', [1]), ("a.cs", 'new NetworkCredential("u", "hdqa5wxeq2");', [1]), ("a.cs", 'new Uri("https://bot:4aacGEgTyz4s@h.example/x");', [1]),
     ("a.cs", 's = "https://h/x?sv=2&sig=DVjwOXTtGv6SwNvjQTHH%3D";', [1]), ("a.cs", 'Add("Authorization", "Bearer abcDEF123456xyz");', [1]), ("a.cs", 'Get("A_SECRET") ?? "granary2054";', [1]), ("a.cs", "// password = mill2004", [1]), ("a.vb", "' old login a / pwd: Ab12Cd34#", [1]),
