@@ -23,7 +23,7 @@ SMALL_SHARE = 16 << 20
 def _spread(df: DataFrame, column: str) -> DataFrame:
     """Rows of a table of few bytes are spread over all cores; a large one stays as it lies. The rows are the same."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df if size >= cores * SMALL_SHARE else df.repartition(2 * cores, column)
 
 
