@@ -1,9 +1,10 @@
 """What changed between full snapshots.
 
-Records are (key, digest) pairs. Invertible Bloom lookup tables, one for each hash bucket of each snapshot, are summed by ordinary
-aggregations (counts add, hashes combine by exclusive or); the table of a snapshot minus the table of the one before holds only
-the pairs that differ, which are peeled off. Buckets that do not peel are built again with more cells. Only the keys of recovered
-pairs are joined back to rows.
+Records are (key, digest) pairs of hashes, 24 bytes each. One exchange brings a hash bucket of all snapshots of a line together; there
+each pair of neighbouring snapshots gets an invertible Bloom lookup table of the bucket, from which equal pairs cancel out (counts
+subtract, hashes combine by exclusive or) and only those that differ are peeled off. The tables are as large as the change, not as the
+snapshots: sums of random signs, which cancel out in the same way, tell beforehand how many pairs differ. A table that does not peel is
+built again with more cells. Keys are spelt out at the end, for recovered pairs only.
 """
 
 from __future__ import annotations
@@ -17,43 +18,26 @@ from pyspark.sql import functions as F
 
 from gneiss.work import staged
 
-#: Records of the largest snapshot of a sequence that share a bucket, about.
-BUCKET_RECORDS = 128
-#: Cells of a bucket's table at first; a failed bucket gets GROWTH times as many, at most ROUNDS times.
-CELLS, GROWTH, ROUNDS = 96, 4, 4
-HASHES = 3
+#: Records of a line, over all of its snapshots, that share a bucket, about.
+BUCKET_RECORDS = 16_384
+#: Cells of a table: so many for each pair expected to differ, and so many more. A failed table gets GROWTH times as many, at most ROUNDS times.
+PER_PAIR, SPARE, GROWTH, ROUNDS = 2.0, 9, 4, 4
+HASHES, SIGNS = 3, 8
+#: Rows that are solved together, whole buckets at a time.
+SOLVED_ROWS = 100_000
 
-_M = (1 << 64) - 1
-_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+_U = np.uint64
 
 
-def _xx_long(value: int, seed: int) -> int:
-    """XXH64 of one 8-byte integer, as the engine's xxhash64 function has it."""
-    h = (seed + _P5 + 8) & _M
-    k = (value * _P2) & _M
-    k = ((k << 31) | (k >> 33)) & _M
-    h ^= (k * _P1) & _M
-    h = ((((h << 27) | (h >> 37)) & _M) * _P1 + _P4) & _M
-    h ^= h >> 33
-    h = (h * _P2) & _M
-    h ^= h >> 29
-    h = (h * _P3) & _M
-    return h ^ (h >> 32)
-
-
-def element_hash(key: int, digest: int, salt: int) -> int:
-    """xxhash64(key, digest, salt) of three BIGINT values, unsigned."""
-    return _xx_long(salt & _M, _xx_long(digest & _M, _xx_long(key & _M, 42)))
-
-
-def cells_of(key: int, digest: int, cells: int) -> list[int]:
-    part = cells // HASHES
-    out = []
-    for j in range(HASHES):
-        h = element_hash(key, digest, j)
-        signed = h - (1 << 64) if h >> 63 else h
-        out.append(j * part + signed % part)
-    return out
+def _mixed(*words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of columns of 64-bit words."""
+    h = np.full(len(words[0]), 0x9E3779B97F4A7C15, dtype=_U)
+    for word in words:
+        h = (h ^ word.astype(_U)) * _U(0xBF58476D1CE4E5B9)
+        h ^= h >> _U(29)
+        h *= _U(0x94D049BB133111EB)
+        h ^= h >> _U(32)
+    return h
 
 
 def consecutive(snapshots: DataFrame, key: str, within: str, order: Sequence[Column]) -> DataFrame:
@@ -63,118 +47,145 @@ def consecutive(snapshots: DataFrame, key: str, within: str, order: Sequence[Col
     return once.select(F.col(key).alias("later"), F.lag(key).over(line).alias("earlier"), F.col(within).alias("line")).filter(F.col("earlier").isNotNull())
 
 
-def _peel_bucket(cells: int, at: np.ndarray, count: np.ndarray, kx: np.ndarray, dx: np.ndarray, cx: np.ndarray) -> tuple[list[tuple[int, int, int]], bool]:
-    table = {int(i): [int(c), int(k) & _M, int(d) & _M, int(x) & _M] for i, c, k, d, x in zip(at, count, kx, dx, cx)}
-    todo, found = list(table), []
-    while todo:
-        cell = table.get(todo.pop())
-        if cell is None or cell[0] not in (1, -1):
-            continue
-        sign, k, d, x = cell
-        if element_hash(k, d, HASHES) != x:
-            continue
-        found.append((k, d, sign))
-        for i in cells_of(k, d, cells):
-            other = table.setdefault(i, [0, 0, 0, 0])
-            other[0] -= sign
-            other[1] ^= k
-            other[2] ^= d
-            other[3] ^= x
-            if not any(other):
-                del table[i]
-            else:
-                todo.append(i)
-    return found, not table
-
-
-def _peel(batches: Iterator[pd.DataFrame], cells: int) -> Iterator[pd.DataFrame]:
-    """Batches are sorted by (later, bucket); a bucket may go on in the next batch."""
-    rest: pd.DataFrame | None = None
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for (later, bucket), g in frame.groupby(["later", "bucket"], sort=False):
-            found, whole = _peel_bucket(cells, *(g[c].to_numpy() for c in ("cell", "n", "kx", "dx", "cx")))
-            if not whole:
-                rows.append((later, bucket, 0, 0, 0))
-                continue
-            rows += [(later, bucket, k - (1 << 64) if k >> 63 else k, d - (1 << 64) if d >> 63 else d, s) for k, d, s in found]
-        return pd.DataFrame(rows, columns=["later", "bucket", "kh", "dh", "sign"]).astype({"bucket": "int64", "kh": "int64", "dh": "int64", "sign": "int32"})
+def expected(table: np.ndarray, sign: np.ndarray, element: np.ndarray, tables: int) -> np.ndarray:
+    """How many elements of each table differ, about: the mean square of sums of random signs, in which equal elements cancel out."""
+    squares = np.zeros(tables)
+    for j in range(SIGNS):
+        turned = np.where((element >> _U(j)) & _U(1) == 0, sign, -sign)
+        squares += np.bincount(table, weights=turned, minlength=tables) ** 2
+    return squares / SIGNS
+
+
+class Tables:
+    """Invertible Bloom lookup tables side by side, each with a number of cells of its own."""
+
+    def __init__(self, cells: np.ndarray) -> None:
+        self.part = np.maximum(1, -(-cells.astype(np.int64) // HASHES))
+        self.start = np.concatenate([[0], np.cumsum(self.part * HASHES)])
+        size = int(self.start[-1])
+        self.owner = np.repeat(np.arange(len(cells)), self.part * HASHES)
+        self.n = np.zeros(size, dtype=np.int64)
+        self.words = [np.zeros(size, dtype=_U) for _ in range(4)]  # both halves of the key's hash, the digest's, and that of all three
+
+    def add(self, table: np.ndarray, sign: np.ndarray, words: Sequence[np.ndarray]) -> None:
+        element = _mixed(*words)
+        for j in range(HASHES):
+            place = self.start[table] + j * self.part[table] + (_mixed(element, np.full(len(element), j, dtype=_U)) % self.part[table].astype(_U)).astype(np.int64)
+            np.add.at(self.n, place, sign)
+            for column, word in zip(self.words, (*words, element)):
+                np.bitwise_xor.at(column, place, word)
+
+    def peel(self) -> tuple[pd.DataFrame, np.ndarray]:
+        """The elements (table, k1, k2, d, sign) that differ, and the tables that did not come out empty."""
+        found = [pd.DataFrame({"table": np.zeros(0, dtype=np.int64), **{c: np.zeros(0, dtype=_U) for c in ("k1", "k2", "d")}, "sign": np.zeros(0, dtype=np.int64)})]
+        while True:
+            at = np.flatnonzero(np.abs(self.n) == 1)
+            at = at[self.words[3][at] == _mixed(*(w[at] for w in self.words[:3]))]
+            if not len(at):
+                break
+            pure = pd.DataFrame({"table": self.owner[at], **{c: w[at] for c, w in zip(("k1", "k2", "d"), self.words)}, "sign": self.n[at]}).drop_duplicates(["table", "k1", "k2", "d"])
+            found.append(pure)
+            self.add(pure["table"].to_numpy(), -pure["sign"].to_numpy(), [pure[c].to_numpy() for c in ("k1", "k2", "d")])
+        failed = np.unique(self.owner[(self.n != 0) | np.logical_or.reduce([w != 0 for w in self.words])])
+        out = pd.concat(found, ignore_index=True)
+        return out[~out["table"].isin(failed)], failed
+
+
+def differing(rows: pd.DataFrame, rounds: int = ROUNDS, per_pair: float = PER_PAIR, spare: int = SPARE) -> pd.DataFrame:
+    """Of the elements (pid, bucket, sign, k1, k2, d) those without a partner of the other sign: (pid, k1, k2, change)."""
+    table, names = pd.factorize(pd.MultiIndex.from_arrays([rows["pid"], rows["bucket"]]))
+    words = [rows[c].to_numpy().astype(np.int64).view(_U) for c in ("k1", "k2", "d")]
+    sign = rows["sign"].to_numpy().astype(np.int64)
+    cells = per_pair * expected(table, sign, _mixed(*words), len(names)) + spare
+    found, todo = [], np.arange(len(names))
+    for _ in range(rounds + 1):
+        number = np.full(len(names), -1)
+        number[todo] = np.arange(len(todo))
+        mine = number[table] >= 0
+        tables = Tables(cells[todo])
+        tables.add(number[table[mine]], sign[mine], [w[mine] for w in words])
+        out, failed = tables.peel()
+        found.append(out.assign(table=todo[out["table"].to_numpy()]))
+        todo = todo[failed]
+        cells = cells * GROWTH
+        if not len(todo):
+            break
+    if len(todo):  # tables that still do not peel are compared element by element
+        left = np.isin(table, todo)
+        pairs = pd.DataFrame({"table": table[left], "k1": words[0][left], "k2": words[1][left], "d": words[2][left], "sign": sign[left]})
+        pairs = pairs.groupby(["table", "k1", "k2", "d"], as_index=False, sort=False)["sign"].sum()
+        found.append(pairs[pairs["sign"] != 0])
+    both = pd.concat(found, ignore_index=True)
+    keys = both.groupby(["table", "k1", "k2"], as_index=False, sort=False)["sign"].agg(["min", "max"]).reset_index()
+    change = np.where(keys["min"] > 0, "added", np.where(keys["max"] < 0, "removed", "changed"))
+    pid = np.array([n[0] for n in names], dtype=np.int64)[keys["table"].to_numpy().astype(np.int64)] if len(keys) else np.zeros(0, dtype=np.int64)
+    half = lambda c: keys[c].to_numpy().astype(_U).view(np.int64)
+    return pd.DataFrame({"pid": pid, "k1": half("k1"), "k2": half("k2"), "change": change})
+
+
+def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows are sorted by (line, bucket); a bucket may go on in the next batch."""
+    held: list[pd.DataFrame] = []
+    size = 0
+
+    def solved(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        sides = [frame.loc[frame[side] >= 0, [side, "line", "bucket", "k1", "k2", "d"]].rename(columns={side: "pid"}).assign(sign=sign) for side, sign in (("plus", 1), ("minus", -1))]
+        both = pd.concat(sides, ignore_index=True)
+        if len(both):
+            yield differing(both)
 
     for batch in batches:
-        if not len(batch):
+        held.append(batch)
+        size += len(batch)
+        if size < SOLVED_ROWS:
             continue
-        frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        last = (frame["later"] == frame["later"].iloc[-1]) & (frame["bucket"] == frame["bucket"].iloc[-1])
-        rest = frame[last]
+        frame = pd.concat(held, ignore_index=True)
+        last = (frame["line"] == frame["line"].iloc[-1]) & (frame["bucket"] == frame["bucket"].iloc[-1])
         if not last.all():
-            yield solve(frame[~last])
-    if rest is not None:
-        yield solve(rest)
-
-
-def _cells(records: DataFrame, cells: int) -> DataFrame:
-    part = cells // HASHES
-    places = F.array(*[F.lit(j * part) + F.pmod(F.xxhash64("kh", "dh", F.lit(j).cast("long")), F.lit(part)) for j in range(HASHES)])
-    spread = records.select("snapshot", "bucket", "kh", "dh", F.xxhash64("kh", "dh", F.lit(HASHES).cast("long")).alias("ch"), F.explode(places).alias("cell"))
-    return spread.groupBy("snapshot", "bucket", "cell").agg(F.count("*").alias("n"), F.bit_xor("kh").alias("kx"), F.bit_xor("dh").alias("dx"), F.bit_xor("ch").alias("cx"))
+            yield from solved(frame[~last])
+        held, size = [frame[last]], int(last.sum())
+    if size:
+        yield from solved(pd.concat(held, ignore_index=True))
 
 
-def _difference(tables: DataFrame, pairs: DataFrame) -> DataFrame:
-    later = tables.join(pairs.select(F.col("later").alias("snapshot"), "later"), "snapshot").withColumn("n", F.col("n"))
-    earlier = tables.join(pairs.select(F.col("earlier").alias("snapshot"), "later"), "snapshot").withColumn("n", -F.col("n"))
-    both = later.unionByName(earlier).groupBy("later", "bucket", "cell").agg(F.sum("n").alias("n"), F.bit_xor("kx").alias("kx"), F.bit_xor("dx").alias("dx"), F.bit_xor("cx").alias("cx"))
-    return both.filter((F.col("n") != 0) | (F.col("kx") != 0) | (F.col("dx") != 0) | (F.col("cx") != 0))
-
-
-def snapshot_delta(records: DataFrame, pairs: DataFrame, snapshot: str, key: Sequence[str], digest: Column, cells: int = CELLS, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
+def snapshot_delta(records: DataFrame, pairs: DataFrame, snapshot: str, key: Sequence[str], digest: Column, record: str | None = None, order: str | None = None, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
     """Records added, removed or changed between the snapshots of each pair: (later, earlier, change, *key).
 
-    ``pairs`` has (later, earlier, line), where a snapshot belongs to one line and is the later one of one pair at most; a snapshot of ``pairs`` without records counts as empty. ``change`` is ``added``,
-    ``removed`` or ``changed`` (the digests differ; a null digest equals only a null one). Rows of a snapshot that repeat a key count
-    once, with the greatest digest. Null key fields equal each other. Rows with a null snapshot, and other columns, are ignored.
+    ``pairs`` has (later, earlier, line), where a snapshot belongs to one line and is the later one of one pair and the earlier one of
+    one pair at most; a snapshot of ``pairs`` without records counts as empty. ``change`` is ``added``, ``removed`` or ``changed`` (the
+    digests differ; a null digest equals only a null one). With ``record`` and ``order``, rows of a snapshot with one ``record`` are
+    versions, of which that with the greatest ``order`` counts (a null order least, rows that tie are taken to be identical). Rows of
+    a snapshot that then repeat a key count once, with the digest whose hash is greatest. Null key fields equal each other, and null
+    records too. Rows with a null snapshot, and other columns, are ignored. Keys are compared by hashes of 128 bits, digests by 64.
     """
-    pairs = staged(pairs, "delta-pairs")
-    nulls = [F.col(c).isNull() for c in key]
-    kh = F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("")) for c in map(F.col, key)], *nulls)
-    lines = pairs.select("line", F.col("later").alias("snapshot")).unionByName(pairs.select("line", F.col("earlier").alias("snapshot"))).distinct()
-    flat = records.filter(F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("snapshot"), kh.alias("kh"), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(key)], digest.alias("digest"))
-    flat = flat.groupBy("snapshot", "kh", *[f"k_{i}" for i in range(len(key))]).agg(F.max("digest").alias("digest")).join(lines, "snapshot")
-    # the digest hash takes in the key fields, so that two keys with one 64-bit hash still differ as pairs
-    dh = F.xxhash64(F.coalesce("digest", F.lit("")), F.col("digest").isNull(), *[F.coalesce(F.col(f"k_{i}").cast("string"), F.lit("")) for i in range(len(key))], F.lit(7))
-    flat = staged(flat.withColumn("dh", dh), "delta-records")
-    # buckets are as many for all snapshots of a line; this is one row for each line
-    sizes = flat.groupBy("line", "snapshot").count().groupBy("line").agg(F.ceil(F.max("count") / bucket_records).cast("long").alias("buckets"))
-    small = flat.select("snapshot", "line", "kh", "dh").join(sizes, "line").select("snapshot", F.pmod(F.xxhash64("kh", F.lit(11)), F.col("buckets")).alias("bucket"), "kh", "dh")
-
-    found: list[DataFrame] = []
-    todo, left = small, None
-    for turn in range(ROUNDS + 1):
-        size = cells * GROWTH**turn
-        diff = _difference(_cells(todo, size), pairs if left is None else pairs.join(left.select("later").distinct(), "later"))
-        if left is not None:
-            diff = diff.join(left, ["later", "bucket"], "left_semi")
-        sorted_cells = diff.repartition("later", "bucket").sortWithinPartitions("later", "bucket")
-        peeled = staged(sorted_cells.mapInPandas(lambda it, size=size: _peel(it, size), "later string, bucket bigint, kh bigint, dh bigint, sign int"), "delta-peeled")
-        found.append(peeled.filter("sign <> 0"))
-        left = peeled.filter("sign = 0").select("later", "bucket")
-        if left.isEmpty():
-            left = None
-            break
-        again = left.join(pairs, "later")
-        touched = again.select(F.col("later").alias("snapshot"), "bucket").unionByName(again.select(F.col("earlier").alias("snapshot"), "bucket")).distinct()
-        todo = staged(small.join(touched, ["snapshot", "bucket"], "left_semi"), "delta-again")
-    if left is not None:  # a bucket that still does not peel is compared pair by pair
-        again = left.join(pairs, "later")
-        plus = todo.join(again.select(F.col("later").alias("snapshot"), "bucket", "later"), ["snapshot", "bucket"]).select("later", "bucket", "kh", "dh", F.lit(1).alias("s"))
-        minus = todo.join(again.select(F.col("earlier").alias("snapshot"), "bucket", "later"), ["snapshot", "bucket"]).select("later", "bucket", "kh", "dh", F.lit(-1).alias("s"))
-        found.append(plus.unionByName(minus).groupBy("later", "bucket", "kh", "dh").agg(F.sum("s").cast("int").alias("sign")).filter("sign <> 0"))
-    pairs_found = found[0]
-    for more in found[1:]:
-        pairs_found = pairs_found.unionByName(more)
-    # where a pair was recovered on the later side its record is there, else in the earlier snapshot
-    sides = pairs_found.join(pairs.select("later", "earlier"), "later").withColumn("snapshot", F.when(F.col("sign") > 0, F.col("later")).otherwise(F.col("earlier")))
-    fields = [f"k_{i}" for i in range(len(key))]
-    named = sides.join(flat.select("snapshot", "kh", "dh", *fields), ["snapshot", "kh", "dh"])
-    change = F.when(F.min("sign") > 0, "added").when(F.max("sign") < 0, "removed").otherwise("changed")
-    return named.groupBy("later", "earlier", *fields).agg(change.alias("change")).select("later", "earlier", "change", *[F.col(f"k_{i}").alias(c) for i, c in enumerate(key)])
+    pairs = staged(pairs.withColumn("pid", F.monotonically_increasing_id()), "delta-pairs")
+    plus, minus = pairs.select(F.col("later").alias("snapshot"), F.xxhash64("line").alias("line"), F.col("pid").alias("plus")), pairs.select(F.col("earlier").alias("snapshot"), F.xxhash64("line").alias("l"), F.col("pid").alias("minus"))
+    sides = plus.join(minus, "snapshot", "full").select("snapshot", F.coalesce("line", "l").alias("line"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("plus", "minus")])
+    sides = staged(sides.withColumn("sid", F.monotonically_increasing_id()), "delta-snapshots")
+    rows = records.filter(F.col(snapshot).isNotNull())
+    k = _hashes(key)
+    d = F.xxhash64(F.coalesce(digest.cast("string"), F.lit("")), digest.isNull())
+    if record is None:
+        small = rows.select(F.col(snapshot).alias("snapshot"), *k, d.alias("d")).join(sides, "snapshot").drop("snapshot")
+    else:
+        # settled over columns of fixed width, which hash aggregation holds, and only for snapshots of a pair
+        r = [F.xxhash64(record).alias("r1"), F.xxhash64(F.lit(5), record).alias("r2")]
+        small = rows.select(F.col(snapshot).alias("snapshot"), *k, d.alias("d"), *r, F.coalesce(F.col(order), F.lit("0001-01-01").cast(rows.schema[order].dataType)).alias("o")).join(sides, "snapshot").drop("snapshot")
+        small = small.groupBy("line", "sid", "plus", "minus", "r1", "r2").agg(*[F.max_by(c, "o").alias(c) for c in ("k1", "k2", "d")])
+    small = staged(small.select("line", "sid", "plus", "minus", "k1", "k2", "d"), "delta-records")
+    # lines of more than one bucket: at most one for each ``bucket_records`` rows
+    large = small.groupBy("line").count().filter(F.col("count") > bucket_records).select("line", F.ceil(F.col("count") / bucket_records).cast("int").alias("buckets"))
+    placed = small.join(large, "line", "left").withColumn("bucket", F.pmod(F.xxhash64("k1", "k2"), F.coalesce("buckets", F.lit(1))).cast("int"))
+    together = placed.drop("buckets").repartition("line", "bucket")
+    # what repeats a key lies in the same partition already
+    together = together.groupBy("line", "bucket", "sid", "plus", "minus", "k1", "k2").agg(F.max("d").alias("d")).drop("sid")
+    found = together.sortWithinPartitions("line", "bucket").mapInPandas(_solve, "pid bigint, k1 bigint, k2 bigint, change string")
+    found = staged(found, "delta-found")
+    spelt = rows.select(*key).distinct().select(*_hashes(key), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(key)])
+    named = found.join(pairs, "pid").join(spelt, ["k1", "k2"])
+    return named.select("later", "earlier", "change", *[F.col(f"k_{i}").alias(c) for i, c in enumerate(key)])
+
+
+def _hashes(key: Sequence[str]) -> list[Column]:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key] + [F.col(c).isNull() for c in key]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(11), *parts).alias("k2")]

@@ -70,8 +70,7 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = holding(table(spark, folder, "hotspots"), ["category", "targetStableKey", "fingerprint"])
-    delta = snapshot_delta(rows, _pairs(spark, folder), "snapshotStableKey", ["category", "targetStableKey"], F.lower("fingerprint"))
+    delta = snapshot_delta(table(spark, folder, "hotspots"), _pairs(spark, folder), "snapshotStableKey", ["category", "targetStableKey"], F.lower("fingerprint"), "stableKey", "loadedUtc")
     return delta.select(F.col("later").alias("snapshot_key"), "category", F.col("targetStableKey").alias("target_key"), "change")
 
 

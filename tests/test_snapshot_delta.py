@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators.snapshot_delta import ROUNDS, cells_of, consecutive, element_hash, snapshot_delta
+from gneiss.operators.snapshot_delta import Tables, consecutive, differing, expected, snapshot_delta
 
 ROWS = "snap string, k1 string, k2 string, fp string, kh int"
 
@@ -48,19 +50,51 @@ def sample(seed, n):
     return rows, [("s1", "s0", "r"), ("s2", "s1", "r"), ("s3", "s2", "r"), ("s9", "none", "q")]
 
 
-@pytest.mark.parametrize("options", [{}, {"cells": 3, "bucket_records": 40}, {"cells": 9, "bucket_records": 16}])
+@pytest.mark.parametrize("options", [{}, {"bucket_records": 40}, {"bucket_records": 7}])
 def test_against_brute_force(spark, options):
     rows, pairs = sample(5, 120)
     assert delta(spark, rows, pairs, **options) == brute(rows, pairs)
 
 
-def test_failed_buckets_end_in_an_exact_comparison(spark, monkeypatch):
-    import gneiss.operators.snapshot_delta as m
+def elements(seed, n, change):
+    """Elements of three pairs in two buckets, and the change of each key."""
+    rng = np.random.default_rng(seed)
+    rows, truth = [], {}
+    for pid in range(3):
+        for i in range(n):
+            k1, k2, d = (int(x) for x in rng.integers(-(2**63), 2**63 - 1, 3))
+            kind = rng.choice(["same", "added", "removed", "changed"], p=[1 - change, change / 3, change / 3, change / 3])
+            rows += [(pid, i % 2, 1, k1, k2, d)] * (kind != "removed") + [(pid, i % 2, -1, k1, k2, d + (kind == "changed"))] * (kind != "added")
+            if kind != "same":
+                truth[pid, k1, k2] = str(kind)
+    return pd.DataFrame(rows, columns=["pid", "bucket", "sign", "k1", "k2", "d"]), truth
 
-    monkeypatch.setattr(m, "ROUNDS", 0)
-    rows, pairs = sample(6, 60)
-    assert delta(spark, rows, pairs, cells=3, bucket_records=1000) == brute(rows, pairs)
-    assert ROUNDS > 0
+
+@pytest.mark.parametrize(("change", "options"), [(0.0, {}), (0.02, {}), (0.5, {}), (1.0, {}), (0.3, {"per_pair": 0.0, "spare": 3}), (0.3, {"per_pair": 0.0, "spare": 3, "rounds": 0})])
+def test_failed_tables_are_enlarged_and_at_last_compared(change, options):
+    rows, truth = elements(3, 200, change)
+    got = differing(rows, **options)
+    assert {(r.pid, r.k1, r.k2): r.change for r in got.itertuples()} == truth and len(got) == len(truth)
+
+
+def test_tables_are_sized_by_the_change():
+    rows, truth = elements(7, 3000, 0.02)
+    sign = rows["sign"].to_numpy()
+    words = [rows[c].to_numpy().view(np.uint64) for c in ("k1", "k2", "d")]
+    from gneiss.operators.snapshot_delta import _mixed
+
+    guess = expected(rows["pid"].to_numpy(), sign, _mixed(*words), 3)
+    assert (guess < 600).all() and len(rows) > 17_000  # some hundred cells for thousands of rows
+    small = Tables(np.array([3]))
+    small.add(np.zeros(50, dtype=int), np.ones(50, dtype=int), [w[:50] for w in words])
+    assert small.peel()[1].tolist() == [0]
+
+
+def test_versions(spark):
+    df = spark.createDataFrame([("b", "r", 1, "k", "x"), ("b", "r", 2, "k", "y"), ("b", "r", None, "k", "z"), ("a", "r", 5, "k", "Y"), ("b", None, 1, "n", "x"), ("b", None, 3, "m", "x"), ("c", "r", 1, "k", "q")], "snap string, rec string, at int, key string, fp string").withColumn("at", F.expr("timestampadd(DAY, at, timestamp_ntz'2024-01-01')"))
+    pairs = spark.createDataFrame([("b", "a", "l")], "later string, earlier string, line string")
+    got = snapshot_delta(df, pairs, "snap", ["key"], F.lower("fp"), "rec", "at").collect()
+    assert [(r.later, r.earlier, r.change, r.key) for r in got] == [("b", "a", "added", "m")]
 
 
 def test_nulls_repeats_and_empty(spark):
@@ -71,13 +105,6 @@ def test_nulls_repeats_and_empty(spark):
     assert delta(spark, rows, []) == {}
 
 
-def test_hash_is_the_engines(spark):
-    values = [(0, 0), (1, -1), (-(2**63), 2**63 - 1), (123456789, 987654321)]
-    for r in spark.createDataFrame(values, "a bigint, b bigint").select("a", "b", F.xxhash64("a", "b", F.lit(2).cast("long")).alias("h")).collect():
-        assert element_hash(r.a, r.b, 2) == r.h % (1 << 64)
-    assert all(0 <= c < 96 for v in values for c in cells_of(*v, 96))
-
-
 def test_consecutive(spark):
     df = spark.createDataFrame([("a", "r", 1), ("b", "r", 2), ("b", "r", 2), ("c", "q", 1), ("d", "r", 2)], "k string, r string, t int")
     assert {(x.later, x.earlier) for x in consecutive(df, "k", "r", [F.col("t"), F.col("k")]).collect()} == {("b", "a"), ("d", "b")}
