@@ -1,26 +1,39 @@
 """References to records that do not exist.
 
-An :class:`OrphanLedger` keeps three tables from batch to batch: the parent index (which keys exist now), the references that hold,
-and the orphans that wait for their parent. A batch of new rows probes the index, resolves the waiting orphans whose parents
-arrive, and opens orphans again whose parents are deleted. Keys are matched as 128-bit hashes, so that a probe moves few bytes
-however long the keys are; the strings stay with the referring rows.
+An :class:`OrphanLedger` keeps, in files of the shared folder, the parent index (which keys exist), the referring records, a reverse
+index from keys to the records that refer to them, and a log of orphans opened and closed. A batch of new rows writes its own rows
+only, one part of each table: its references probe the parent index, its arriving parents close the orphans that wait for them, its
+deletions open references again that the reverse index names. Rows of scopes that were never seen before need no look at older parts
+at all; for the rest, the few late rows and corrections, only the hashes in the buckets they fall into are read. Every PARTS batches
+the parts are put together.
+
+Keys are matched as 128-bit hashes, so that a probe moves few bytes however long the keys are; the strings stay with the records.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.work import staged
+from gneiss.work import Files, shared_folder
 
 #: Orphan keys (16 bytes each) up to which the set of them is broadcast: some tens of MB in memory. Beyond, the join shuffles, with salted keys.
 BROADCAST_KEYS = 400_000
 SALTS = 32
+#: Batches whose parts lie side by side before they are put together.
+PARTS = 16
+#: Buckets of each part, by hash; a look-up reads those that it needs.
+BUCKETS = 8
 
 HASH = ["h1", "h2"]
 RECORD = ["r1", "r2"]
+_EARLIEST = "0001-01-01"
 
 
 def pair_hash(*columns: Column) -> list[Column]:
@@ -28,9 +41,9 @@ def pair_hash(*columns: Column) -> list[Column]:
 
 
 def parents_of(rows: DataFrame, table: str, scope: str, key: str, order: str, deleted: str) -> DataFrame:
-    """Versions of parent records for a ledger: (h1, h2, at, alive). Rows with a null scope or key are no parents."""
+    """Versions of parent records for a ledger: (h1, h2, s, at, alive), s being the scope's hash. Rows with a null scope or key are no parents."""
     kept = rows.filter(F.col(scope).isNotNull() & F.col(key).isNotNull())
-    return kept.select(*pair_hash(F.lit(table), F.col(scope), F.col(key)), F.col(order).alias("at"), F.col(deleted).isNull().alias("alive"))
+    return kept.select(*pair_hash(F.lit(table), F.col(scope), F.col(key)), F.xxhash64(scope).alias("s"), F.col(order).alias("at"), F.col(deleted).isNull().alias("alive"))
 
 
 def references_of(rows: DataFrame, table: str, scope: str, record: str, order: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
@@ -48,69 +61,162 @@ def references_of(rows: DataFrame, table: str, scope: str, record: str, order: s
     return kept.select(F.lit(table).alias("ref_table"), F.col(scope).alias("scope"), F.col(record).alias("record"), F.col(order).alias("at"), F.concat(*parts).alias("refs"))
 
 
-def _reference(field: str, table: str):
-    return lambda key: F.struct(F.lit(field).alias("field"), F.lit(table).alias("table"), key.alias("key"))
+def _reference(name: str, table: str):
+    return lambda key: F.struct(F.lit(name).alias("field"), F.lit(table).alias("table"), key.alias("key"))
 
 
-#: Batches of references that a ledger keeps side by side before it writes them as one.
-PARTS = 8
+# Of parents, was says whether the key lived before, and late whether its scope was known; of records, was says that an older version was held.
+SCHEMAS = {
+    "parents": "h1 bigint, h2 bigint, s bigint, at timestamp_ntz, alive boolean, was boolean, late boolean, seq int, bucket int",
+    "records": "ref_table string, scope string, record string, refs array<struct<field:string,table:string,key:string>>, r1 bigint, r2 bigint, at timestamp_ntz, was boolean, seq int, bucket int",
+    "links": "k int, r1 bigint, bucket int",
+    "scopes": "s bigint",
+    "opened": "ref_table string, scope string, record string, field string, key string, h1 bigint, h2 bigint, r1 bigint, r2 bigint, seq int",
+}
 
 
-@dataclass
+@dataclass(frozen=True)
 class OrphanLedger:
-    """State of the references, parents and waiting orphans; :meth:`apply` gives the state after another batch.
+    """State of the references, parents and waiting orphans after ``seq`` batches; :meth:`apply` gives the state after another.
 
-    Of the versions of a record (one key, several ``at``) the latest holds, whatever the order of arrival; a late row that is older
-    than the one held changes nothing. Empty batches change nothing. References are kept as one part for each batch, of which a later
-    one supersedes the records that it has, so that a batch writes its own records only.
+    Of the versions of a record (one key, several ``at``) the latest holds, whatever the order of arrival, and of equally late ones that
+    of the later batch; a late row that is older than the one held changes nothing. A null ``at`` is the earliest. Of equally late
+    versions of a parent one that lives wins. Empty batches change nothing. The state is a list of files (``parts``) and can be kept
+    as text (:meth:`to_json`); files of a state are left alone by later ones until :meth:`apply` puts parts together, which
+    removes those of the states before.
     """
 
-    parents: DataFrame | None = None
-    parts: tuple[DataFrame, ...] = ()
-    pending: DataFrame | None = None
-
+    seq: int = 0
+    parts: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    buckets: int = BUCKETS
+    #: The folder of the state's files; the session's shared folder unless set.
+    folder: str | None = None
+
+    def to_json(self) -> str:
+        return json.dumps({"seq": self.seq, "parts": self.parts, "buckets": self.buckets})
+
+    @classmethod
+    def from_json(cls, text: str, folder: str | None = None) -> OrphanLedger:
+        kept = json.loads(text)
+        return cls(kept["seq"], {k: tuple(v) for k, v in kept["parts"].items()}, kept["buckets"], folder)
+
+    def table(self, spark: SparkSession, name: str, where: DataFrame | None = None, by: str = "") -> DataFrame:
+        """All parts of a table; with ``where``, only the buckets that the hashes ``by`` of its rows fall into."""
+        rows = _union([spark.read.schema(SCHEMAS[name]).parquet(path) for path in self.parts.get(name, ())] or [spark.createDataFrame([], SCHEMAS[name])])
+        if where is None or not self.parts.get(name):
+            return rows
+        touched = [r.b for r in where.select(F.pmod(F.col(by), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]  # of BUCKETS numbers
+        return rows if len(touched) == self.buckets else rows.filter(F.col("bucket").isin(touched))
+
+    @property
+    def pending(self) -> DataFrame:
+        """The orphans that are open: (ref_table, scope, record, field, key, h1, h2)."""
+        return self._open(SparkSession.active()).drop("r1", "r2", "seq")
+
+    def _open(self, spark: SparkSession) -> DataFrame:
+        """What was opened and not closed later: by a parent that arrived where the scope was known, or by a newer version of the record."""
+        opened = self.table(spark, "opened")
+        closings = ((self.table(spark, "parents").filter("late AND alive AND NOT was"), HASH), (self.table(spark, "records").filter("was"), RECORD))
+        for closing, on in closings:
+            closed = closing.groupBy(*on).agg(F.max("seq").alias("closed"))
+            opened = opened.join(closed, on, "left").filter(F.col("closed").isNull() | (F.col("seq") >= F.col("closed"))).drop("closed")
+        return opened.select("ref_table", "scope", "record", "field", "key", *HASH, *RECORD, "seq")
+
+    # ---- a batch --------------------------------------------------------------------------------------------------------------
     def apply(self, references: DataFrame, parents: DataFrame) -> OrphanLedger:
-        first = self.parents is None
-        versions = parents.withColumn("new", F.lit(True))
+        spark = references.sparkSession
+        files = Files(spark, self.folder or f"{shared_folder(spark)}/gneiss-orphans", keep=self.folder is not None)
+        seq = self.seq + 1
+        new: dict[str, str] = {}
+
+        def put(name: str, rows: DataFrame, by: str | None = None) -> DataFrame:
+            new[name] = self._write(files, name, rows, by)
+            return spark.read.schema(SCHEMAS[name]).parquet(new[name])
+
+        fresh_parents, fresh = latest_parents(parents), latest_records(references)
+        first = not self.parts.get("scopes")
         if not first:
-            versions = versions.unionByName(self.parents.withColumn("new", F.lit(False)))
-        latest = F.max_by(F.struct("alive", "new"), F.struct("at", "alive"))
-        index = versions.groupBy(*HASH).agg(F.max("at").alias("at"), latest.alias("v"), F.coalesce(F.bool_or(F.when(~F.col("new"), F.col("alive"))), F.lit(False)).alias("was"))
-        index = staged(index.select(*HASH, "at", F.col("v.alive").alias("alive"), "was"), "orphans-parents")
-
-        fresh = staged(_latest(references), "orphans-references")
-        if first:
-            return OrphanLedger(index.drop("was"), (fresh,), staged(_missing(_spread(fresh), index), "orphans-pending"))
-
-        # only hashes and times of the records held are looked at to see which of the batch are newer
-        before = _union([part.select(*RECORD, "at") for part in self.parts]).join(fresh.select(*RECORD), RECORD, "left_semi")
-        before = before.groupBy(*RECORD).agg(F.max("at").alias("held_at"), F.lit(True).alias("held"))
-        newer = F.col("held").isNull() | F.col("held_at").isNull() | F.coalesce(F.col("at") >= F.col("held_at"), F.lit(False))
-        fresh = staged(fresh.join(before, RECORD, "left").filter(newer).drop("held", "held_at"), "orphans-fresh")
-
-        waiting = _missing(_spread(fresh), index)
-        touched = fresh.select(*RECORD)
-        arrived = index.filter("alive AND NOT was").select(*HASH)
-        gone = index.filter("was AND NOT alive").select(*HASH)
-        kept = self.pending.withColumns(dict(zip(RECORD, _record()))).join(touched, RECORD, "left_anti").drop(*RECORD).join(arrived, HASH, "left_anti")
-        reopened = []
-        for i, part in enumerate(self.parts):
-            # few references have a parent that is deleted now; these are held against all later parts
-            lost = _within(_spread(part), gone).withColumns(dict(zip(RECORD, _record())))
-            for later in (*self.parts[i + 1 :], fresh):
-                lost = lost.join(later.select(*RECORD), RECORD, "left_anti")
-            reopened.append(lost.drop(*RECORD))
-        parts = (*self.parts, fresh)
-        if len(parts) > PARTS:
-            parts = (staged(_latest(_union([p.drop(*RECORD).withColumn("part", F.lit(i)) for i, p in enumerate(parts)])), "orphans-references"),)
-        return OrphanLedger(index.drop("was"), parts, staged(_union([waiting, kept, *reopened]), "orphans-pending"))
-
-
-def _latest(rows: DataFrame) -> DataFrame:
-    """Of each record the latest version, and of equally late ones that of the latest part, with the record's hashes."""
-    order = F.struct("at", "part") if "part" in rows.columns else F.struct("at")
-    last = rows.groupBy("ref_table", "scope", "record").agg(F.max_by(F.struct("at", "refs"), order).alias("v"))
-    return last.select("ref_table", "scope", "record", "v.at", "v.refs", *_record())
+            p, r = fresh_parents, fresh
+            fresh_parents, fresh = _at_once(lambda: files.kept(p, "parents-batch"), lambda: files.kept(r, "records-batch"))
+        scopes = put("scopes", fresh_parents.select("s").unionByName(fresh.select("s")).distinct())
+        # rows of scopes that are known may meet older ones; those of new scopes cannot
+        old = scopes.join(self.table(spark, "scopes"), "s", "left_semi")
+
+        p, r = fresh_parents, fresh
+
+        def put_parents() -> DataFrame:
+            if first:
+                rows = p.withColumns({"was": F.lit(False), "late": F.lit(False)})
+            else:
+                late = p.join(old, "s", "left_semi").select(*HASH)
+                before = latest_parents(self.table(spark, "parents", late, "h1").join(late, HASH, "left_semi"))
+                before = before.select(*HASH, F.col("at").alias("at0"), F.col("alive").alias("was"))
+                newer = F.col("at0").isNull() | (F.col("at") > F.col("at0")) | ((F.col("at") == F.col("at0")) & (F.col("alive") | ~F.col("was")))
+                rows = p.join(before, HASH, "left").filter(newer).join(old.withColumn("late", F.lit(True)), "s", "left")
+            flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("was", "late")]
+            return put("parents", rows.select(*HASH, "s", "at", "alive", *flags, F.lit(seq).alias("seq")), "h1")
+
+        def put_records() -> DataFrame:
+            if first:
+                rows = r.withColumn("was", F.lit(False))
+            else:
+                late = r.join(old, "s", "left_semi").select(*RECORD)
+                heads = self.table(spark, "records", late, "r1").join(late, RECORD, "left_semi").groupBy(*RECORD).agg(F.max("at").alias("at0"))
+                rows = r.join(heads, RECORD, "left").filter(F.col("at0").isNull() | (F.col("at") >= F.col("at0"))).withColumn("was", F.col("at0").isNotNull())
+            return put("records", rows.select("ref_table", "scope", "record", "refs", *RECORD, "at", "was", F.lit(seq).alias("seq")), "r1")
+
+        fresh_parents, fresh = _at_once(put_parents, put_records)
+        flat = _spread(fresh)
+        # only distinct hashes are probed; a key that everything refers to is one row by then
+        unmet = flat.select(*HASH, F.xxhash64("scope").alias("s")).distinct().join(fresh_parents.filter("alive").select(*HASH), HASH, "left_anti")
+        _, keys = _at_once(lambda: put("links", flat.select(_short("h1", "h2").alias("k"), "r1").distinct(), "k"), lambda: files.kept(unmet, "keys"))
+        if not first:
+            asked = keys.join(old, "s", "left_semi").select(*HASH).join(fresh_parents.select(*HASH), HASH, "left_anti")
+            alive = latest_parents(self.table(spark, "parents", asked, "h1").join(asked, HASH, "left_semi")).filter("alive")
+            keys = files.kept(keys.join(alive.select(*HASH), HASH, "left_anti"), "keys")
+        opened = _within(flat, keys.select(*HASH))
+        gone = fresh_parents.filter("was AND NOT alive").select(*HASH)
+        if not first and not gone.isEmpty():
+            opened = opened.unionByName(self._referring(spark, files, gone, fresh))
+        put("opened", opened.select("ref_table", "scope", "record", "field", "key", *HASH, *RECORD, F.lit(seq).alias("seq")))
+        files.drop_kept()
+        after = replace(self, seq=seq, parts={name: (*self.parts.get(name, ()), path) for name, path in new.items()})
+        return after._together(spark, files, set(new.values())) if len(after.parts["records"]) > PARTS else after
+
+    def _write(self, files: Files, name: str, rows: DataFrame, by: str | None) -> str:
+        if by is None:
+            return files.write(rows, name)
+        spread = rows.withColumn("bucket", F.pmod(F.col(by), F.lit(self.buckets)).cast("int"))
+        return files.write(spread.repartition("bucket", F.pmod(F.col(by), F.lit(self.buckets * 4))), name, "bucket")
+
+    def _referring(self, spark: SparkSession, files: Files, gone: DataFrame, fresh: DataFrame) -> DataFrame:
+        """References to keys that are gone now, of records that hold and are not in the batch, by the reverse index."""
+        short = gone.select(_short("h1", "h2").alias("k")).distinct()
+        named = files.kept(self.table(spark, "links", short, "k").join(short, "k", "left_semi").select("r1").distinct(), "named")
+        rows = self.table(spark, "records", named, "r1").join(named, "r1", "left_semi").join(fresh.select(*RECORD), RECORD, "left_anti")
+        last = rows.groupBy(*RECORD).agg(F.max("seq").alias("seq"))
+        return _within(_spread(rows.join(last, [*RECORD, "seq"], "left_semi")), gone)
+
+    def _together(self, spark: SparkSession, files: Files, own: set[str]) -> OrphanLedger:
+        """The same state in one part of each table; versions that no longer hold, and closed orphans, are left out. ``own`` are the parts that no state before has."""
+        records = self.table(spark, "records")
+        last = records.groupBy(*RECORD).agg(F.max("seq").alias("seq"))
+        whole = {
+            "parents": (latest_parents(self.table(spark, "parents")).withColumns({"was": F.col("alive"), "late": F.lit(False), "seq": F.lit(self.seq)}), "h1"),
+            "records": (records.join(last, [*RECORD, "seq"], "left_semi").drop("bucket").withColumn("was", F.lit(False)), "r1"),
+            "links": (self.table(spark, "links").select("k", "r1").distinct(), "k"),
+            "scopes": (self.table(spark, "scopes").distinct(), None),
+            "opened": (self._open(spark), None),
+        }
+        parts = {name: (self._write(files, name, rows, by),) for name, (rows, by) in whole.items()}
+        files.remove(p for paths in self.parts.values() for p in paths if self.folder is None or p in own)
+        return replace(self, parts=parts)
+
+
+def _at_once(*steps: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Steps that do not need each other, as jobs side by side."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [x.result() for x in [pool.submit(inheritable_thread_target(step)) for step in steps]]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -120,20 +226,30 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _record() -> list[Column]:
-    return [h.alias(r) for h, r in zip(pair_hash(F.col("ref_table"), F.col("scope"), F.col("record")), RECORD)]
+def latest_parents(versions: DataFrame) -> DataFrame:
+    """Of each parent the latest version, over columns of fixed width, which hash aggregation holds."""
+    at = F.coalesce("at", F.lit(_EARLIEST).cast("timestamp_ntz"))
+    lives, dead = F.max(F.when(F.col("alive"), at)), F.max(F.when(~F.col("alive"), at))
+    return versions.groupBy(*HASH, "s").agg(F.greatest(lives, dead).alias("at"), F.coalesce(lives >= dead, lives.isNotNull()).alias("alive"))
 
 
-def _spread(held: DataFrame) -> DataFrame:
-    """One row for each reference of each record."""
-    flat = held.select("ref_table", "scope", "record", F.explode("refs").alias("ref"))
-    return flat.select("ref_table", "scope", "record", F.col("ref.field").alias("field"), F.col("ref.key").alias("key"), *pair_hash(F.col("ref.table"), F.col("scope"), F.col("ref.key")))
+def latest_records(rows: DataFrame) -> DataFrame:
+    """Of each record the latest version, with the hashes of the record and of its scope."""
+    named = rows.withColumns(dict(zip(RECORD, pair_hash(F.col("ref_table"), F.col("scope"), F.col("record")))))
+    named = named.withColumn("at", F.coalesce("at", F.lit(_EARLIEST).cast("timestamp_ntz")))
+    last = named.groupBy(*RECORD).agg(F.max_by(F.struct("ref_table", "scope", "record", "at", "refs"), "at").alias("v"))
+    return last.select("v.*", *RECORD, F.xxhash64("v.scope").alias("s"))
+
+
+def _short(*hashes: str) -> Column:
+    """32 bits of a key's hash; what the reverse index finds by it is held against the whole hash."""
+    return F.hash(*hashes)
 
 
-def _missing(references: DataFrame, index: DataFrame) -> DataFrame:
-    """References without a living parent. Only distinct hashes are shuffled; a key that everything refers to is one row by then."""
-    keys = staged(references.select(*HASH).distinct().join(index.filter("alive").select(*HASH), HASH, "left_anti"), "orphans-keys")
-    return _within(references, keys)
+def _spread(held: DataFrame) -> DataFrame:
+    """One row for each reference of each record."""
+    flat = held.select("ref_table", "scope", "record", *RECORD, F.explode("refs").alias("ref"))
+    return flat.select("ref_table", "scope", "record", *RECORD, F.col("ref.field").alias("field"), F.col("ref.key").alias("key"), *pair_hash(F.col("ref.table"), F.col("scope"), F.col("ref.key")))
 
 
 def _within(references: DataFrame, keys: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def p3_summary(spark: SparkSession, folder: str) -> DataFrame:
 SQL_P3_SUMMARY = f"WITH {_P3} SELECT snapshot_key, category, change, count(*) AS records FROM d GROUP BY ALL"
 
 #: Periods of equal length in which the ledger takes in the rows, by the time of loading of the references.
-P4_PERIODS = 2
+P4_PERIODS = 8
 
 
 def _period(since: datetime | None, until: datetime | None) -> Column:

@@ -62,11 +62,23 @@ def test_ledger_against_brute_force(spark, batches):
 def test_parts_are_put_together(spark, monkeypatch):
     monkeypatch.setattr(o, "PARTS", 2)
     parents, refs = history(11, 50)
-    ledger = o.OrphanLedger()
+    ledger = o.OrphanLedger(buckets=3)
     for i in range(5):
+        before = ledger
         ledger = ledger.apply(*frames(spark, parents[i * 10 : i * 10 + 10], refs[i * 10 : i * 10 + 10]))
         assert pending(ledger) == brute(parents[: i * 10 + 10], refs[: i * 10 + 10])
-    assert len(ledger.parts) <= 2
+        assert all(len(paths) <= 2 for paths in ledger.parts.values())
+    assert o.OrphanLedger.from_json(ledger.to_json()) == ledger and before.seq == 4
+
+
+def test_a_batch_writes_its_own_rows_only(spark):
+    parents, refs = history(5, 200)
+    ledger = o.OrphanLedger().apply(*frames(spark, parents, refs))
+    after = ledger.apply(*frames(spark, [("new", "k1", T0, None, "")], [("new", "r1", T0, "k1", ["k2"], ""), ("a", "r1", T0 + timedelta(days=9), "k1", None, "")]))
+    for name in ("parents", "records", "links", "opened"):
+        assert after.parts[name][:-1] == ledger.parts[name]
+        assert spark.read.parquet(after.parts[name][-1]).count() <= 3
+    assert ("new", "r1", "many", "k2") in pending(after)
 
 
 def test_salted_path(spark, monkeypatch):
@@ -112,3 +124,22 @@ def test_stream_of_batches(spark, tmp_path):
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
     assert pending(sink.ledger) == brute(parents, refs)
     assert [n for n, _ in states] == list(range(len(states))) and len(states) >= 2
+
+
+def test_a_sink_goes_on_where_the_last_one_ended(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(o, "PARTS", 2)
+    parents, refs = history(8, 60)
+    folder = f"file://{tmp_path}/ledger"
+    for i in range(4):
+        part = slice(i * 12, i * 12 + 12)
+        r, p = frames(spark, parents[part], refs[part])
+        sink = LedgerSink(folder=folder)  # a new driver each time
+        events = reference_events(r).unionByName(parent_events(p), allowMissingColumns=True)
+        sink(events, i)
+        sink(events, i)  # delivered again
+        again = LedgerSink(folder=folder)
+        again(events, i)
+        assert again.ledger == sink.ledger and again.last == i
+        assert pending(again.ledger) == brute(parents[: i * 12 + 12], refs[: i * 12 + 12])
+    named = {p for paths in sink.ledger.parts.values() for p in paths}
+    assert {x.name for x in (tmp_path / "ledger").iterdir()} == {"state", *(p.rpartition("/")[2] for p in named)}
