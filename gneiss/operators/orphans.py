@@ -21,7 +21,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.work import Files, shared_folder
+from gneiss.work import Files, part, shared_folder
 
 #: Orphan keys (16 bytes each) up to which the set of them is broadcast: some tens of MB in memory. Beyond, the join shuffles, with salted keys.
 BROADCAST_KEYS = 400_000
@@ -102,7 +102,7 @@ class OrphanLedger:
 
     def table(self, spark: SparkSession, name: str, where: DataFrame | None = None, by: str = "") -> DataFrame:
         """All parts of a table; with ``where``, only the buckets that the hashes ``by`` of its rows fall into."""
-        rows = _union([spark.read.schema(SCHEMAS[name]).parquet(path) for path in self.parts.get(name, ())] or [spark.createDataFrame([], SCHEMAS[name])])
+        rows = _union([part(spark, path, SCHEMAS[name]) for path in self.parts.get(name, ())] or [spark.createDataFrame([], SCHEMAS[name])])
         if where is None or not self.parts.get(name):
             return rows
         touched = [r.b for r in where.select(F.pmod(F.col(by), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]  # of BUCKETS numbers
@@ -131,7 +131,7 @@ class OrphanLedger:
 
         def put(name: str, rows: DataFrame, by: str | None = None) -> DataFrame:
             new[name] = self._write(files, name, rows, by)
-            return spark.read.schema(SCHEMAS[name]).parquet(new[name])
+            return part(spark, new[name], SCHEMAS[name])
 
         fresh_parents, fresh = latest_parents(parents), latest_records(references)
         first = not self.parts.get("scopes")

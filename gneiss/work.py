@@ -102,9 +102,21 @@ class Files:
         gone = set(paths)
         for path in gone:
             _delete(self.spark, path)
+            _parts.pop((self.spark.sparkContext.applicationId, path), None)
         _written[:] = [w for w in _written if w[1] not in gone]
 
 
+_parts: dict[tuple[str, str], DataFrame] = {}
+
+
+def part(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A written table, whose files are listed once."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _parts:
+        _parts[key] = spark.read.schema(schema).parquet(path)
+    return _parts[key]
+
+
 def _note(spark: SparkSession, path: str) -> None:
     if not _written:
         atexit.register(_clean)
@@ -120,6 +132,7 @@ def release() -> None:
     """Remove all that was staged so far. Frames made before, and those derived from them, cannot be read any more; what is kept of them for reuse is forgotten."""
     _clean()
     _written.clear()
+    _parts.clear()
     for forget in on_release:
         forget()
 
