@@ -1,16 +1,19 @@
 """Traversals, paths, reach and cycles over edges (scope, stableKey, edgeKind, source, target).
 
-All of them run for many scopes and start nodes at once: a round is one join of the frontier with the edges. Rounds are bounded by
-the depth asked for, and the frontier is written out between rounds.
+All of them run for many scopes and start nodes at once. Paths, reach and cycles of a scope of up to TASK_EDGES edges are found within one
+task, which holds that scope and no more. Larger scopes, and traversals, go by rounds: a round is one join of the frontier with the
+edges. Rounds are bounded by the depth asked for, and the frontier is written out between rounds. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators import walks
 from gneiss.work import staged
 
 SNAP = "snapshotStableKey"
@@ -18,6 +21,16 @@ SNAP = "snapshotStableKey"
 TRAVERSED = ("REFERENCES", "USES_PACKAGE", "DEPENDS_ON", "CALLS_EXTERNAL_SERVICE", "CALLS_API", "USES_DB_CONTEXT", "USES_LINQ_TO_SQL_CONTEXT", "READS_TABLE", "WRITES_TABLE", "CALLS_STORED_PROCEDURE", "EXECUTES_RAW_SQL", "INJECTS", "CALLS")
 MAX_TRAVERSAL_DEPTH, MAX_TAKE = 6, 500
 MAX_REACH_DEPTH = 12
+#: Edges of a scope up to which one task walks it.
+TASK_EDGES = 50_000
+
+
+def _by_size(steps: DataFrame, bound: int) -> tuple[DataFrame, DataFrame | None]:
+    """The edges of scopes of up to ``bound`` edges, and those of larger scopes if there are any; of the latter there is one for each ``bound`` edges at most."""
+    large = staged(steps.groupBy(SNAP).count().filter(F.col("count") > bound).select(SNAP), "large-scopes")
+    if large.isEmpty():
+        return steps, None
+    return steps.join(large, SNAP, "left_anti"), steps.join(large, SNAP, "left_semi")
 
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -66,7 +79,7 @@ def traversal_nodes(result: DataFrame, edges: DataFrame, nodes: DataFrame) -> Da
     return shown.join(nodes.select(SNAP, F.col("stableKey").alias("node")), [SNAP, "node"], "left_semi")
 
 
-def shortest_paths(edges: DataFrame, wanted: DataFrame, max_depth: int = MAX_TRAVERSAL_DEPTH, kinds: Sequence[str] | None = TRAVERSED) -> DataFrame:
+def shortest_paths(edges: DataFrame, wanted: DataFrame, max_depth: int = MAX_TRAVERSAL_DEPTH, kinds: Sequence[str] | None = TRAVERSED, task_edges: int = TASK_EDGES) -> DataFrame:
     """For each (scope, source, target) of ``wanted``: (…, state, hops, nodes, edges).
 
     The path has the fewest hops; of several the one that a breadth-first walk in edge-key order meets first. A target equal to its
@@ -75,7 +88,23 @@ def shortest_paths(edges: DataFrame, wanted: DataFrame, max_depth: int = MAX_TRA
     followed = edges if kinds is None else edges.filter(F.col("edgeKind").isin(*kinds))
     steps = staged(followed.select(SNAP, F.col("stableKey").alias("edge"), F.col("source").alias("here"), F.col("target").alias("there")), "paths-steps")
     asked = staged(wanted.select(SNAP, F.col("source").alias("from"), F.col("target").alias("to")).distinct(), "paths-wanted")
-    # one row per reached node: its place in the queue of its round, and the way there
+    small, large = _by_size(steps, task_edges)
+    pairs = asked if large is None else asked.join(large.select(SNAP).distinct(), SNAP, "left_anti")
+
+    def walk(ends: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
+        return walks.shortest(ends, ways, max_depth)
+
+    found = pairs.groupBy(SNAP).cogroup(small.groupBy(SNAP)).applyInPandas(walk, f"{SNAP} string, `from` string, `to` string, nodes array<string>, edges array<string>")
+    if large is not None:
+        found = found.unionByName(_paths_by_rounds(large, asked.join(large.select(SNAP).distinct(), SNAP, "left_semi"), max_depth))
+    has = steps.select(SNAP).distinct().withColumn("__has", F.lit(True))
+    answer = asked.join(found.select(SNAP, "from", "to", "nodes", "edges"), [SNAP, "from", "to"], "left").join(has, SNAP, "left")
+    state = F.when(F.col("edges").isNotNull(), "found").when(F.col("__has"), "notFound").otherwise("unavailable")
+    return answer.select(SNAP, F.col("from").alias("source"), F.col("to").alias("target"), state.alias("state"), F.when(F.col("edges").isNotNull(), F.size("edges")).alias("hops"), "nodes", "edges")
+
+
+def _paths_by_rounds(steps: DataFrame, asked: DataFrame, max_depth: int) -> DataFrame:
+    """Paths by joins: a row for each node reached holds its place in the queue of its round, and the way there."""
     frontier = asked.select(SNAP, "from", "to", F.col("from").alias("here"), F.lit(1).alias("place"), F.array("from").alias("nodes"), F.array().cast("array<string>").alias("edges"))
     seen = frontier.select(SNAP, "from", "to", "here")
     found = None
@@ -94,19 +123,22 @@ def shortest_paths(edges: DataFrame, wanted: DataFrame, max_depth: int = MAX_TRA
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.select(SNAP, "from", "to", "here"))
-    has = steps.select(SNAP).distinct().withColumn("__has", F.lit(True))
-    answer = asked.join(found.select(SNAP, "from", "to", "nodes", "edges"), [SNAP, "from", "to"], "left").join(has, SNAP, "left")
-    state = F.when(F.col("edges").isNotNull(), "found").when(F.col("__has"), "notFound").otherwise("unavailable")
-    return answer.select(SNAP, F.col("from").alias("source"), F.col("to").alias("target"), state.alias("state"), F.when(F.col("edges").isNotNull(), F.size("edges")).alias("hops"), "nodes", "edges")
+    return found.select(SNAP, "from", "to", "nodes", "edges")
 
 
-def reach(edges: DataFrame, max_depth: int = MAX_REACH_DEPTH) -> DataFrame:
+def reach(edges: DataFrame, max_depth: int = MAX_REACH_DEPTH, task_edges: int = TASK_EDGES // 4) -> DataFrame:
     """For every node with an outgoing edge: (scope, node, depth, reached, truncated).
 
     ``depth`` is the greatest distance of a node reached within ``max_depth`` steps and ``reached`` their number. The start itself is not
     counted as visited from the outset, so a way back to it counts. ``truncated``: a node at the last depth has an edge further on.
     """
     steps = staged(edges.select(SNAP, F.col("source").alias("here"), F.col("target").alias("there")).distinct(), "reach-steps")
+    small, large = _by_size(steps, task_edges)
+    found = small.groupBy(SNAP).applyInPandas(lambda ways: walks.reached(ways, max_depth), f"{SNAP} string, node string, depth bigint, reached bigint, truncated boolean")
+    return found if large is None else found.unionByName(_reach_by_rounds(large, max_depth))
+
+
+def _reach_by_rounds(steps: DataFrame, max_depth: int) -> DataFrame:
     frontier = staged(steps.select(SNAP, F.col("here").alias("node"), F.col("there").alias("here"), F.lit(1).alias("depth")).distinct(), "reach-frontier")
     seen = frontier
     for depth in range(2, max_depth + 1):
@@ -134,19 +166,40 @@ def cyclic_core(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return core
 
 
-def simple_cycles(edges: DataFrame, max_depth: int = 12, limit: int = 100) -> DataFrame:
+def simple_cycles(edges: DataFrame, max_depth: int = 12, limit: int = 100, task_edges: int = TASK_EDGES) -> DataFrame:
     """Cycles of each scope: (scope, nodes, edges, evidence, confidence, cycle_key, position, truncated).
 
     A cycle starts at its least node (binary order) and has at most ``max_depth`` edges, within 2 to 64; parallel edges give cycles of
     their own. A loop on one node is taken only while a way is open: as the first step from the start, which then stands twice in a row.
-    Cycles are ordered by their nodes, then edges; each scope shows at most ``limit`` (1 to 500), and says if that leaves some out.
+    Cycles are ordered by their nodes, then edges; each scope shows at most ``limit`` (1 to 500), and says if that leaves some out. A
+    task looks for the cycles of its scope in that order and stops after the first that is left out.
     """
     max_depth, limit = min(64, max(2, max_depth)), min(500, max(1, limit))
-    core = cyclic_core(edges.select(SNAP, "stableKey", "source", "target", "evidenceStableKeys", "confidence"))
-    steps = staged(core.select(SNAP, F.col("stableKey").alias("edge"), F.col("source").alias("here"), F.col("target").alias("there")), "cycles-steps")
-    ways = steps.filter(F.col("there") >= F.col("here")).select(
-        SNAP, F.col("here").alias("start"), F.col("there").alias("here"), F.array("here", "there").alias("nodes"), F.array("edge").alias("edges"), (F.col("here") == F.col("there")).alias("looped")
+    steps = staged(edges.select(SNAP, F.col("stableKey").alias("edge"), F.col("source").alias("here"), F.col("target").alias("there"), "evidenceStableKeys", "confidence"), "cycles-steps")
+    small, large = _by_size(steps, task_edges)
+    found = small.select(SNAP, "edge", "here", "there").groupBy(SNAP).applyInPandas(lambda ways: walks.cycles(ways, max_depth, limit + 1), f"{SNAP} string, nodes array<string>, edges array<string>")
+    if large is not None:
+        found = found.unionByName(_cycles_by_rounds(large, max_depth))
+    text_n, text_e = F.array_join("nodes", ">"), F.array_join("edges", ">")
+    order = Window.partitionBy(SNAP).orderBy("text_n", "text_e")
+    placed = found.withColumns({"text_n": text_n, "text_e": text_e}).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit + 1)
+    placed = staged(placed, "cycles-shown")
+    more = placed.filter(F.col("position") > limit).select(SNAP, F.lit(True).alias("more"))
+    shown = placed.filter(F.col("position") <= limit)
+    parts = shown.select(SNAP, "position", F.explode("edges").alias("edge")).join(steps.select(SNAP, "edge", "evidenceStableKeys", "confidence"), [SNAP, "edge"])
+    rolled = parts.groupBy(SNAP, "position").agg(
+        F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.coalesce("evidenceStableKeys", F.array().cast("array<string>"))))))).alias("evidence"), F.min("confidence").alias("confidence")
     )
+    key = F.concat(F.lit("cycle://"), F.col(SNAP), F.lit("/"), F.sha2(F.concat("text_n", F.lit("|"), "text_e"), 256))
+    out = shown.join(rolled, [SNAP, "position"]).join(more, SNAP, "left")
+    return out.select(SNAP, "nodes", "edges", "evidence", "confidence", key.alias("cycle_key"), "position", F.coalesce("more", F.lit(False)).alias("truncated"))
+
+
+def _cycles_by_rounds(edges: DataFrame, max_depth: int) -> DataFrame:
+    """All cycles of large scopes: edges that can be on none are taken away, and ways are made longer by a join for each step."""
+    core = cyclic_core(edges.select(SNAP, F.col("edge").alias("stableKey"), F.col("here").alias("source"), F.col("there").alias("target")))
+    steps = staged(core.select(SNAP, F.col("stableKey").alias("edge"), F.col("source").alias("here"), F.col("target").alias("there")), "cycles-steps")
+    ways = steps.filter(F.col("there") >= F.col("here")).select(SNAP, F.col("here").alias("start"), F.col("there").alias("here"), F.array("here", "there").alias("nodes"), F.array("edge").alias("edges"))
     ways = staged(ways, "cycles-ways")
     found = None
     for length in range(2, max_depth + 1):
@@ -157,18 +210,10 @@ def simple_cycles(edges: DataFrame, max_depth: int = 12, limit: int = 100) -> Da
         if length == max_depth:
             break
         on = moved.filter((F.col("there") != F.col("start")) & ~F.array_contains("nodes", F.col("there")))
-        ways = staged(on.select(SNAP, "start", F.col("there").alias("here"), F.concat("nodes", F.array("there")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"), "looped"), "cycles-ways")
+        ways = staged(on.select(SNAP, "start", F.col("there").alias("here"), F.concat("nodes", F.array("there")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges")), "cycles-ways")
         if ways.isEmpty():
             break
-    parts = found.select(SNAP, "nodes", "edges", F.explode("edges").alias("stableKey")).join(core.select(SNAP, "stableKey", "evidenceStableKeys", "confidence"), [SNAP, "stableKey"])
-    rolled = parts.groupBy(SNAP, "nodes", "edges").agg(
-        F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.coalesce("evidenceStableKeys", F.array().cast("array<string>"))))))).alias("evidence"), F.min("confidence").alias("confidence")
-    )
-    text_n, text_e = F.array_join("nodes", ">"), F.array_join("edges", ">")
-    key = F.concat(F.lit("cycle://"), F.col(SNAP), F.lit("/"), F.sha2(F.concat(text_n, F.lit("|"), text_e), 256))
-    order = Window.partitionBy(SNAP).orderBy(text_n, text_e)
-    out = rolled.withColumn("cycle_key", key).withColumn("position", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy(SNAP)) > limit)
-    return out.filter(F.col("position") <= limit)
+    return found
 
 
 def cycle_participation(cycles: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 import random
 from collections import deque
 
+import pandas as pd
 import pytest
 
 from gneiss.operators import graph as g
+from gneiss.operators import walks
 
 EDGE = "snapshotStableKey string, stableKey string, edgeKind string, source string, target string, evidenceStableKeys array<string>, confidence double"
 
@@ -35,12 +37,12 @@ def bfs_path(edges, source, target, depth):
     return None
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_shortest_paths_by_a_plain_walk(spark, seed):
+@pytest.mark.parametrize(("seed", "task"), [(1, 10_000), (2, 0)])
+def test_shortest_paths_by_a_plain_walk(spark, seed, task):
     edges = random_edges(seed)
     names = sorted({e[3] for e in edges} | {e[4] for e in edges})
     wanted = [(s, a, b) for s in ("s0", "s1") for a in names for b in names] + [("empty", "a", "b")]
-    df = g.shortest_paths(make(spark, edges), spark.createDataFrame(wanted, "snapshotStableKey string, source string, target string"))
+    df = g.shortest_paths(make(spark, edges), spark.createDataFrame(wanted, "snapshotStableKey string, source string, target string"), task_edges=task)
     rows = df.collect()
     assert len(rows) == len(wanted)
     for r in rows:
@@ -75,14 +77,32 @@ def dfs_cycles(edges, depth):
     return found
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_cycles_by_a_plain_search(spark, seed):
+@pytest.mark.parametrize(("seed", "task"), [(3, 10_000), (4, 10_000), (4, 0)])
+def test_cycles_by_a_plain_search(spark, seed, task):
     edges = random_edges(seed, 5, 11, 1) + [("s0", "loop", "CALLS", "n0", "n0"), ("s0", "p1", "CALLS", "n0", "n1"), ("s0", "p2", "CALLS", "n0", "n1")]
-    rows = g.simple_cycles(make(spark, edges), 5, 500).collect()
+    rows = g.simple_cycles(make(spark, edges), 5, 500, task).collect()
     assert {(tuple(r.nodes), tuple(r.edges)) for r in rows} == dfs_cycles(edges, 5)
     assert not any(r.truncated for r in rows) and all(r.confidence == 0.5 and list(r.evidence) == sorted({f"ev-{e}" for e in r.edges}) for r in rows)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_cycles_of_a_task_are_whole_and_in_order(seed):
+    rng = random.Random(seed)
+    names = ["n", "n1", "n1a", "n-", "n>", "na"][: 5 if seed % 2 else 6]
+    edges = [("s", f"e{i}", "CALLS", rng.choice(names), rng.choice(names)) for i in range(12)]
+    ways = pd.DataFrame([(s, k, a, b) for s, k, _, a, b in edges], columns=["snapshotStableKey", "edge", "here", "there"])
+    got = [(tuple(r.nodes), tuple(r.edges)) for r in walks.cycles(ways, 4, 10**6).itertuples()]
+    want = sorted(dfs_cycles(edges, 4), key=lambda c: (">".join(c[0]), ">".join(c[1])))
+    assert got == want
+    assert [(tuple(r.nodes), tuple(r.edges)) for r in walks.cycles(ways, 4, 3).itertuples()] == want[:3]
+
+
+def test_reach_of_a_task_equals_that_by_rounds(spark):
+    edges = make(spark, random_edges(6, 9, 20) + [("t", f"l{i}", "CALLS", f"m{i:02d}", f"m{i + 1:02d}") for i in range(15)])
+    for depth in (1, 2, 12):
+        assert sorted(g.reach(edges, depth).collect()) == sorted(g.reach(edges, depth, 0).collect())
+
+
 def test_loop_quirk_and_limit(spark):
     edges = make(spark, [("s", "ab", "CALLS", "A", "B"), ("s", "ba", "CALLS", "B", "A"), ("s", "aa", "CALLS", "A", "A"), ("s", "bb", "CALLS", "B", "B")])
     got = {tuple(r.nodes) for r in g.simple_cycles(edges, 12, 100).collect()}
