@@ -392,22 +392,23 @@ cy AS (SELECT w.s, list_append(w.ns, w.st) ns, list_append(w.es, d.stableKey) es
 cr AS (SELECT s, array_to_string(ns, '>') AS nodes, array_to_string(es, '>') AS edges, ns, row_number() OVER (PARTITION BY s ORDER BY array_to_string(ns, '>'), array_to_string(es, '>')) AS position, count(*) OVER (PARTITION BY s) > {limit} AS truncated FROM cy QUALIFY position <= {limit})"""
 
 
-_CYCLES = _cycles_sql(6, 10)
+_CYCLES = _cycles_sql(12, 500)
 
 
-def _cycles(spark: SparkSession, folder: str, depth: int = 6, limit: int = 10) -> DataFrame:
+def _cycles(spark: SparkSession, folder: str, depth: int = 12, limit: int = 500) -> DataFrame:
     return graph.simple_cycles(dependencies(model.stored_edges(spark, folder)), depth, limit)
 
 
 @query(f"WITH RECURSIVE {_CYCLES} SELECT s AS snapshotStableKey, nodes, edges, position, truncated FROM cr")
 def cycles(spark: SparkSession, folder: str) -> DataFrame:
-    """Cycles of at most six dependencies, ten for each snapshot."""
+    """Cycles of at most twelve dependencies, five hundred for each snapshot: the bounds of the query."""
     return _cycles(spark, folder).select(SNAP, F.array_join("nodes", ">").alias("nodes"), F.array_join("edges", ">").alias("edges"), F.col("position").cast("long").alias("position"), "truncated")
 
 
-@query(f"WITH RECURSIVE {_CYCLES} SELECT s AS snapshotStableKey, node, count(*) AS cycles FROM (SELECT s, edges, unnest(list_distinct(ns)) AS node FROM cr) GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {_cycles_sql(12, 100)} SELECT s AS snapshotStableKey, node, count(*) AS cycles FROM (SELECT s, edges, unnest(list_distinct(ns)) AS node FROM cr) GROUP BY 1, 2")
 def cycle_participation(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.cycle_participation(_cycles(spark, folder)).select(SNAP, "node", "cycles")
+    """How many of a snapshot's first hundred cycles a node lies on."""
+    return graph.cycle_participation(_cycles(spark, folder, 12, 100)).select(SNAP, "node", "cycles")
 
 
 @query(f"WITH RECURSIVE {_cycles_sql(12, 100)} SELECT s AS snapshotStableKey, nodes, edges, position, truncated FROM cr")
@@ -416,11 +417,6 @@ def cycles_d12(spark: SparkSession, folder: str) -> DataFrame:
     return _cycles(spark, folder, 12, 100).select(SNAP, F.array_join("nodes", ">").alias("nodes"), F.array_join("edges", ">").alias("edges"), F.col("position").cast("long").alias("position"), "truncated")
 
 
-@query(f"WITH RECURSIVE {_cycles_sql(12, 100)} SELECT s AS snapshotStableKey, node, count(*) AS cycles FROM (SELECT s, edges, unnest(list_distinct(ns)) AS node FROM cr) GROUP BY 1, 2")
-def cycle_participation_d12(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.cycle_participation(_cycles(spark, folder, 12, 100)).select(SNAP, "node", "cycles")
-
-
 @query(
     _walk_sql(_IN, 3, 100).replace("SELECT s AS snapshotStableKey, start, edge, depth, row_number()", "SELECT snapshotStableKey, start, edge, source, CASE WHEN target = start THEN 1 ELSE 2 END AS impact_depth, min(confidence) OVER (PARTITION BY snapshotStableKey, start)::DOUBLE AS confidence, truncated FROM (SELECT s AS snapshotStableKey, start, edge, row_number()")
     + ") z JOIN (SELECT snapshotStableKey, stableKey, source, target, confidence FROM e) q ON q.stableKey = z.edge AND q.snapshotStableKey = z.snapshotStableKey"

@@ -18,6 +18,8 @@ from gneiss.sources.tables import table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 _P = SQL_PROJECTION
+#: The projection made once, where several parts of a query read it.
+_M = _P.replace("\npn AS (", "\npn AS MATERIALIZED (").replace("\npe AS (", "\npe AS MATERIALIZED (")
 
 
 def query(sql: str | None = None):
@@ -237,7 +239,7 @@ def data_access_facts(spark: SparkSession, folder: str) -> DataFrame:
     return services.data_access_facts(model.projected_nodes(spark, folder), model.projected_edges(spark, folder)).drop(SNAP)
 
 
-@query(f"WITH {_P}, {_PINC}, u AS (SELECT node, string_agg(DISTINCT other, ', ' ORDER BY other) AS consumers FROM inc SEMI JOIN pn ON pn.stableKey = inc.other AND pn.nodeKind <> 'ConfigurationKey' GROUP BY 1) SELECT stableKey, displayName AS key, projectStableKey AS project, coalesce(consumers, '') AS consumers, json_extract_string(metadata, '$.provider') AS provider, contains(lower(displayName), 'secret') AS secret_like FROM pn LEFT JOIN u ON u.node = pn.stableKey WHERE nodeKind = 'ConfigurationKey'")
+@query(f"WITH {_M}, u AS (SELECT target AS node, string_agg(DISTINCT source, ', ' ORDER BY source) AS consumers FROM pe SEMI JOIN pn ON pn.stableKey = pe.source AND pn.nodeKind <> 'ConfigurationKey' WHERE edgeKind = 'USES_CONFIG' GROUP BY 1) SELECT stableKey, displayName AS key, projectStableKey AS project, coalesce(consumers, '') AS consumers, json_extract_string(metadata, '$.provider') AS provider, contains(lower(displayName), 'secret') AS secret_like FROM pn LEFT JOIN u ON u.node = pn.stableKey WHERE nodeKind = 'ConfigurationKey'")
 def configuration_usage(spark: SparkSession, folder: str) -> DataFrame:
     return services.configuration_usage(model.projected_nodes(spark, folder), model.projected_edges(spark, folder)).drop(SNAP)
 

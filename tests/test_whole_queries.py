@@ -19,12 +19,12 @@ def test_cycles_of_more_than_six_edges_and_past_the_tenth(spark, monkeypatch):
     want = dfs_cycles(ring + pairs, 12)
     got = q.cycles_d12(spark, "").collect()
     assert {(r.nodes, r.edges) for r in got} == {(">".join(n), ">".join(e)) for n, e in want} and len(want) == 13 and not any(r.truncated for r in got)
-    assert {r.node: r.cycles for r in q.cycle_participation_d12(spark, "").collect()} == {n: 1 for e in ring + pairs for n in e[3:5]}
-    assert all(r.truncated for r in q.cycles(spark, "").collect())
+    assert {r.node: r.cycles for r in q.cycle_participation(spark, "").collect()} == {n: 1 for e in ring + pairs for n in e[3:5]}
+    assert {(r.nodes, r.edges) for r in q.cycles(spark, "").collect()} == {(r.nodes, r.edges) for r in got}
 
 
 @pytest.mark.skipif(not os.path.isdir(MORE), reason="no test data")
-@pytest.mark.parametrize("name", ["cycles_d12", "cycle_participation_d12"])
+@pytest.mark.parametrize("name", ["cycles", "cycles_d12", "cycle_participation"])
 def test_longer_cycles_equal_their_sql_on_more_data(spark, name):
     assert differing(spark, entry.queries()[name], entry.oracle_sql()[name], MORE) == ([], [])
 
