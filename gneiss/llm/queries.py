@@ -17,7 +17,7 @@ from gneiss.sources.tables import table
 
 
 #: Bytes of input for each core below which a table is spread: it lies in fewer or larger pieces than there are cores.
-SMALL_SHARE = 16 << 20
+SMALL_SHARE = 4 << 20
 
 
 def _spread(df: DataFrame, column: str) -> DataFrame:
