@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from gneiss.work import staged
 
-#: Intervals of the seeded order of a source; sums over these make the places of documents without ordering a source in one task.
-INTERVALS = 4096
+#: Documents in an interval of the seeded order, about; sums over the intervals make the places of documents without ordering a source in one task.
+INTERVAL_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block: i
     larger total, sources that run out give all they have and the others share the rest. ``block`` is the tokens of a block, by
     default a ten-thousandth of the total. Documents without tokens, without a source or from a source without a target are left
     out; a source of ``targets`` without documents is reported with 0. Of repeated rows in ``targets`` the first by share counts.
-    Whole documents are taken, so a source misses its quota by half a document at most, unless it runs out.
+    Whole documents are taken, so a source misses its quota by half a document at most, unless it runs out. A source whose documents,
+    with their repeats, have fewer tokens than one block gets none; a smaller ``block`` lets it in.
     """
     wanted = sorted({r["source"]: r for r in sorted(targets.select("source", "target_share", "max_repeats").filter(F.col("source").isNotNull()).collect(), key=lambda r: -(r["target_share"] or 0.0))}.values(), key=lambda r: r["source"])
     names = [r["source"] for r in wanted]  # one row for each source of the mix; the table of targets is fixed in size
@@ -102,8 +103,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block: i
     usable = sizes.filter(F.col("doc_id").isNotNull()).select("doc_id", "source", F.col("tokens").cast("long").alias("tokens"))
     usable = usable.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "source string")), "source", "left_semi")
     order = F.xxhash64("doc_id", F.lit(seed))
-    usable = staged(usable.withColumn("order", order).withColumn("interval", F.shiftright("order", 64 - 12) + F.lit(INTERVALS // 2)), "mix-sizes")
-    usable = usable.filter(F.col("tokens") > 0)  # after writing, else the texts would be counted once more for the filter
+    usable = staged(usable.withColumn("order", order), "mix-sizes")
+    # the leading bits of the order, so many that an interval stays small however many documents there are; the places are the same with any number
+    bits = min(40, max(4, (usable.count() // INTERVAL_ROWS).bit_length() + 1))
+    usable = usable.withColumn("interval", F.shiftright("order", 64 - bits)).filter(F.col("tokens") > 0)  # after writing, else the texts would be counted once more for the filter
     steps = usable.groupBy("source", "interval").agg(F.sum("tokens").alias("tokens"))
     have = {r["source"]: r["tokens"] for r in steps.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     sources = [Source(r["source"], float(r["target_share"] or 0.0), int(r["max_repeats"] or 0), int(have.get(r["source"], 0))) for r in wanted]
