@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SNAP = "snapshotStableKey"
+# The fields that are compared, and the order of domains and changes.
 COMPARED = ("displayName", "kind", "evidenceStableKeys", "unknown")
 DOMAIN_ORDER = ("Nodes", "Edges", "Findings", "Metrics")
 CHANGE_ORDER = ("Added", "Removed", "Changed", "Unchanged")

@@ -17,7 +17,7 @@ from gneiss.operators import walks
 from gneiss.work import staged
 
 SNAP = "snapshotStableKey"
-#: Kinds that a traversal follows unless told otherwise.
+# Kinds that a traversal follows unless told otherwise.
 TRAVERSED = ("REFERENCES", "USES_PACKAGE", "DEPENDS_ON", "CALLS_EXTERNAL_SERVICE", "CALLS_API", "USES_DB_CONTEXT", "USES_LINQ_TO_SQL_CONTEXT", "READS_TABLE", "WRITES_TABLE", "CALLS_STORED_PROCEDURE", "EXECUTES_RAW_SQL", "INJECTS", "CALLS")
 MAX_TRAVERSAL_DEPTH, MAX_TAKE = 6, 500
 MAX_REACH_DEPTH = 12

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators.versions import holding
 from gneiss.sources.tables import table
-from gneiss.work import staged
+from gneiss.work import on_release, staged
 
 SNAP = "snapshotStableKey"
 PROJECTED = "snapshot://projected"
@@ -77,6 +77,7 @@ def _json(*pairs: tuple[str, Column]) -> Column:
 
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
+on_release.append(_stored.clear)
 
 
 def _ingested(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
@@ -154,7 +155,7 @@ def _project_edges(spark: SparkSession, folder: str) -> DataFrame:
         part(frame("lineitem").select("l_suppkey", "l_partkey").distinct(), "USES_PACKAGE", F.concat(F.lit("edge://uses/"), c("l_suppkey").cast("string"), F.lit("/"), c("l_partkey").cast("string")), _key("project", "l_suppkey"), _key("package", "l_partkey")),
         part(frame("orders"), "CALLS", F.concat(F.lit("edge://calls/"), c("o_orderkey").cast("string")), _key("endpoint", "o_orderkey"), _key("type", "o_custkey")),
         part(frame("part").select("p_partkey", "p_type", F.pmod("p_partkey", F.lit(s)).alias("p")), "READS_TABLE", F.concat(F.lit("edge://reads/"), c("p_partkey").cast("string")), _key("project", F.pmod(c("p_partkey") * 3 + 1, F.lit(s))), F.concat(F.lit("table://"), c("p").cast("string"), F.lit("/"), c("p_type"))),
-        part(frame("events").filter(F.pmod("event_id", F.lit(3)) == 0), "HANDLES", F.concat(F.lit("edge://handles/"), c("event_id").cast("string")), _key("hostedservice", F.pmod("user_id", F.lit(s))), F.concat(F.lit("queue://"), F.pmod("user_id", F.lit(s)).cast("string"), F.lit("/"), c("event_type"))),
+        part(frame("events"), "HANDLES", F.concat(F.lit("edge://handles/"), c("event_id").cast("string")), _key("hostedservice", F.pmod("user_id", F.lit(s))), F.concat(F.lit("queue://"), F.pmod("user_id", F.lit(s)).cast("string"), F.lit("/"), c("event_type"))),
         part(frame("events").filter(k.isNotNull()), "USES_CONFIG", F.concat(F.lit("edge://config/"), c("event_id").cast("string")), _key("project", F.pmod("event_id", F.lit(s))), F.concat(F.lit("config://"), F.pmod("user_id", F.lit(s)).cast("string"), F.lit("/"), k)),
     ]
     out = parts[0]
@@ -217,7 +218,7 @@ pe AS (
  UNION ALL SELECT DISTINCT 'edge://uses/'||l_suppkey||'/'||l_partkey, 'USES_PACKAGE', 'project://'||l_suppkey, 'package://'||l_partkey FROM lineitem
  UNION ALL SELECT 'edge://calls/'||o_orderkey, 'CALLS', 'endpoint://'||o_orderkey, 'type://'||o_custkey FROM orders
  UNION ALL SELECT 'edge://reads/'||p_partkey, 'READS_TABLE', 'project://'||((3*p_partkey+1)%S), 'table://'||(p_partkey%S)||'/'||p_type FROM part, sc
- UNION ALL SELECT 'edge://handles/'||event_id, 'HANDLES', 'hostedservice://'||(user_id%S), 'queue://'||(user_id%S)||'/'||event_type FROM events, sc WHERE event_id%3=0
+ UNION ALL SELECT 'edge://handles/'||event_id, 'HANDLES', 'hostedservice://'||(user_id%S), 'queue://'||(user_id%S)||'/'||event_type FROM events, sc
  UNION ALL SELECT 'edge://config/'||event_id, 'USES_CONFIG', 'project://'||(event_id%S), 'config://'||(user_id%S)||'/'||k FROM ek, sc WHERE k IS NOT NULL),
 pf AS (SELECT 'snapshot://'||strftime(ts, '%Y-%m-%d') AS snapshotStableKey, 'finding://'||event_id AS stableKey, 'RULE-'||upper(event_type) AS ruleCode, CASE event_id%3 WHEN 0 THEN '1.0.0' WHEN 1 THEN '9.0.0' ELSE '10.0.0' END AS ruleVersion,
  CASE event_id%5 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' WHEN 3 THEN 'Low' ELSE 'Info' END AS severity, CASE event_id%4 WHEN 0 THEN 'Open' WHEN 1 THEN 'Open' WHEN 2 THEN 'Acknowledged' ELSE 'Resolved' END AS status,

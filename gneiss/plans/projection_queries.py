@@ -361,20 +361,21 @@ def declared_types(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT event_id AS call, CASE event_id % 2 WHEN 0 THEN 'GET' ELSE 'post' END m, event_type || '/' || (user_id % 7) r, CASE event_id % 3 WHEN 0 THEN NULL ELSE 'https://S' || (event_id % 4) END b FROM events),
-e AS (SELECT DISTINCT event_type || '/' || (user_id % 7) || '/' || (event_id % 2) || '/' || (event_id % 4) AS endpoint, CASE event_id % 2 WHEN 0 THEN 'get' ELSE 'POST' END m, event_type || '/' || (user_id % 7) r, 'HTTPS://s' || (event_id % 4) b FROM events WHERE event_id % 5 = 0),
+e AS (SELECT DISTINCT event_type || '/' || (user_id % 7) || '/' || (event_id % 2) || '/' || CASE WHEN event_id % 5 = 0 THEN (event_id % 4)::VARCHAR ELSE 'x' || (event_id % 5) END AS endpoint, CASE event_id % 2 WHEN 0 THEN 'get' ELSE 'POST' END m, event_type || '/' || (user_id % 7) r, 'HTTPS://s' || CASE WHEN event_id % 5 = 0 THEN (event_id % 4)::VARCHAR ELSE 'x' || (event_id % 5) END b FROM events),
 j AS (SELECT call, c.b IS NULL AS free, endpoint, coalesce(lower(c.b) = lower(e.b), false) AS owned FROM c LEFT JOIN e ON lower(c.m) = lower(e.m) AND lower(c.r) = lower(e.r)),
 g AS (SELECT call, count(*) FILTER (owned) o, max(endpoint) FILTER (owned) oe, count(endpoint) n, max(endpoint) x, bool_and(free) f FROM j GROUP BY 1)
 SELECT call, CASE WHEN o = 1 THEN oe WHEN f AND n = 1 THEN x END AS endpoint, CASE WHEN o = 1 OR f AND n = 1 THEN 'matched' ELSE 'unknown' END AS state FROM g"""
 )
 def internal_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls made of the events, matched with endpoints made of every fifth."""
+    """Calls made of the events, matched with endpoints made of them; those of every fifth stand on the hosts that are called."""
     rows = table(spark, folder, "events")
     none = F.lit(None).cast("string")
     route = F.concat(F.lit("/"), F.col("event_type"), F.lit("/"), (F.col("user_id") % 7).cast("string"))
     half, quarter = (F.col("event_id") % 2).cast("string"), (F.col("event_id") % 4).cast("string")
     calls = rows.select(F.col("event_id").alias("call"), F.when(half == "0", "GET").otherwise("post").alias("method"), F.concat(route, F.lit("?x=1")).alias("route"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("https://S"), quarter)).alias("base_url"), none.alias("config_key"))
-    name = F.concat_ws("/", "event_type", (F.col("user_id") % 7).cast("string"), half, quarter)
-    endpoints = rows.filter(F.col("event_id") % 5 == 0).select(name.alias("endpoint"), F.when(half == "0", "get").otherwise("POST").alias("method"), F.concat(route, F.lit("/")).alias("route"), F.concat(F.lit("HTTPS://s"), quarter).alias("base_url"), none.alias("config_key")).distinct()
+    host = F.when(F.col("event_id") % 5 == 0, quarter).otherwise(F.concat(F.lit("x"), (F.col("event_id") % 5).cast("string")))
+    name = F.concat_ws("/", "event_type", (F.col("user_id") % 7).cast("string"), half, host)
+    endpoints = rows.select(name.alias("endpoint"), F.when(half == "0", "get").otherwise("POST").alias("method"), F.concat(route, F.lit("/")).alias("route"), F.concat(F.lit("HTTPS://s"), host).alias("base_url"), none.alias("config_key")).distinct()
     return extract.match_calls(calls, endpoints)
 
 

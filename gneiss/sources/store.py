@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.operators import ingest
+from gneiss.work import staged
 from gneiss.sources.schemas import KEYS, SCHEMAS
 
 SNAP = "snapshotStableKey"
@@ -31,6 +32,8 @@ class SnapshotStore:
     def read(self, name: str) -> DataFrame:
         """A table with its schema; empty if nothing was written yet."""
         path = f"{self.folder}/{name}"
+        if not self._there(path):
+            path = f"{self.folder}/.{name}-old"  # a replacement that was broken off
         if not self._there(path):
             return self.spark.createDataFrame([], SCHEMAS[name])
         frame = self.spark.createDataFrame([], SCHEMAS[name])
@@ -42,7 +45,8 @@ class SnapshotStore:
         Of rows with one key any one counts. Refused as a whole, before anything is written: edges whose ends are no nodes of their
         snapshot, metrics without a number or text, confidence out of range, unknown data without a reason.
         """
-        ready = {name: self._shaped(name, df) for name, df in tables.items()}
+        # written once, as the checks, the write and the count all read it
+        ready = {name: staged(self._shaped(name, df), f"store-{name}") for name, df in tables.items()}
         problems = self._problems(ready)
         if problems:
             raise StoreError(*problems)
@@ -50,12 +54,10 @@ class SnapshotStore:
         for name, df in ready.items():
             if SNAP in df.columns:
                 ingest.write_snapshots(df, f"{self.folder}/{name}", replace=True)
-                snapshots = df.select(SNAP).distinct()
-                written[name] = self.read(name).join(snapshots, SNAP, "left_semi").count()
             else:
                 merged = ingest.upsert([self.read(name), df], list(KEYS[name]))
                 self._replace(name, merged)
-                written[name] = df.count()
+            written[name] = df.count()
         return written
 
     def delete(self, snapshots: list[str]) -> dict[str, int]:
@@ -106,11 +108,19 @@ class SnapshotStore:
         return problems
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        beside = f"{self.folder}/.{name}-new"
+        """The old table is put aside until the new one stands, so that a break leaves one of them."""
+        path, beside, old = (f"{self.folder}/{x}" for x in (name, f".{name}-new", f".{name}-old"))
         df.write.mode("overwrite").parquet(beside)
-        self._drop(f"{self.folder}/{name}")
-        files, path = self._files(f"{self.folder}/{name}")
-        files.rename(self._path(beside), path)
+        if self._there(path):
+            self._drop(old)
+            self._rename(path, old)
+        self._rename(beside, path)
+        self._drop(old)
+
+    def _rename(self, path: str, to: str) -> None:
+        files, where = self._files(path)
+        if not files.rename(where, self._path(to)):
+            raise StoreError("RenameFailed")
 
     def _path(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
