@@ -14,9 +14,9 @@ from gneiss.operators.hotspots import metric_hotspots, ranked
 from gneiss.operators.metrics import dependencies, framework_risk, graph_metrics, target_framework
 from gneiss.plans import model
 from gneiss.plans.model import SNAP, SQL_EDGES, SQL_EVIDENCE, SQL_HEADERS, SQL_HOTSPOTS, SQL_NODES
-from gneiss.sources.store import SnapshotStore
+from gneiss.sources.store import SnapshotStore, StoreError
 from gneiss.sources.tables import table
-from gneiss.work import shared_folder
+from gneiss.work import shared_folder, staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -597,3 +597,24 @@ def store_ingest(spark: SparkSession, folder: str) -> DataFrame:
     written = store.write({"nodes": model.stored_nodes(spark, folder), "evidence": model.stored_evidence(spark, folder)})
     store.recreate()
     return spark.createDataFrame(list(written.items()), "family string, records bigint")
+
+
+@query(f"WITH {_N}, {_E}, ok AS (SELECT e.* FROM e SEMI JOIN n a ON a.snapshotStableKey = e.snapshotStableKey AND a.stableKey = e.source SEMI JOIN n b ON b.snapshotStableKey = e.snapshotStableKey AND b.stableKey = e.target) SELECT 'nodes' AS family, count(*) AS records FROM n UNION ALL SELECT 'edges', count(*) FROM ok UNION ALL SELECT 'refused: EdgeEndMissing', count(*) FROM e ANTI JOIN ok ON ok.snapshotStableKey = e.snapshotStableKey AND ok.stableKey = e.stableKey")
+def store_ingest_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes and edges written into a store: refused as a whole while an edge lacks an end, and taken in without those edges."""
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    nodes, edges = model.stored_nodes(spark, folder), model.stored_edges(spark, folder)
+    known = F.struct(F.lit(False).alias("hasUnknownData"), F.lit(None).cast("string").alias("unknownReason"))
+    rows = edges.select(
+        SNAP, "stableKey", "edgeKind", F.col("source").alias("sourceNodeStableKey"), F.col("target").alias("targetNodeStableKey"), F.lit(True).alias("isDirect"), F.try_element_at("evidenceStableKeys", F.lit(1)).alias("primaryEvidenceStableKey"),
+        F.lit("Observed").alias("knowledgeKind"), "confidence", known.alias("unknownState"), F.lit("{}").alias("metadata"), "fingerprint",
+    )
+    dangling = staged(ingest.dangling_edges(nodes, edges).select(SNAP, "stableKey").distinct(), "dangling")
+    refused: list[tuple[str, int]] = []
+    try:
+        store.write({"nodes": nodes, "edges": rows})
+    except StoreError as error:
+        refused = [(f"refused: {code}", dangling.count()) for code in error.codes]
+    written = store.write({"nodes": nodes, "edges": rows.join(dangling, [SNAP, "stableKey"], "left_anti")})
+    store.recreate()
+    return spark.createDataFrame([*written.items(), *refused], "family string, records bigint")
