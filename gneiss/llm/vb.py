@@ -243,6 +243,12 @@ def _lex(text: str, at: int, out: list[str], stop: str | None) -> int:
                 word, end = word[:-1], end - 1
             # after a dot a word is a name, whatever it means elsewhere
             out.append("id" if out and out[-1] in (".", "?.", "!") else words.get(word, "id"))
+        elif kind == "op" and m[0][0] == "<" and (past := _markup(text, at, out)) > 0:
+            line_start = False
+            at = past
+            continue
+        elif kind == "op" and m[0] == "@" and out[-1:] == ["."]:  # an attribute of markup is a member by another sign
+            pass
         elif kind == "op":
             op = m[0]
             if stop is not None:
@@ -279,6 +285,86 @@ def _lex(text: str, at: int, out: list[str], stop: str | None) -> int:
     return at
 
 
+#: What a literal of markup may follow; after anything else the sign compares, or begins attributes.
+_BEFORE_MARKUP = frozenset(["=", "(", ",", "{", "return", "in", "&", ":=", "yield", "nl", "then", "else", "if", "select", "+"])
+_NAME = r"[^\W\d][\w.\-]*(?::[^\W\d][\w.\-]*)?"
+_OPEN_TAG = re.compile(rf"<({_NAME})((?:\s+(?:{_NAME}\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'|<%=.*?%>)|<%=.*?%>))*)\s*(/?)>", re.S)
+_CLOSE_TAG = re.compile(rf"</({_NAME})?\s*>")
+_AXIS = re.compile(rf"<{_NAME}>")
+_NAMESPACE = re.compile(r"<xmlns(?::[\w.\-]+)?\s*=\s*(?:\"[^\"]*\"|'[^']*')\s*>")
+_NODES = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>"))
+
+
+def _markup(text: str, at: int, out: list[str]) -> int:
+    """Take in a literal of markup, a step along an axis of it or an imported namespace; the place behind it, or 0 where there is none."""
+    last = out[-1] if out else "nl"
+    if last == ".":
+        step = _AXIS.match(text, at)
+        if step is None:
+            return 0
+        if out[-3:] == [".", ".", "."]:
+            del out[-2:]
+        out.append("id")
+        return step.end()
+    if last == "imports" or last == "," and "imports" in out[-12:]:
+        name = _NAMESPACE.match(text, at)
+        if name:
+            out.append("id")
+            return name.end()
+    if last not in _BEFORE_MARKUP:
+        return 0
+    end = _element(text, at)
+    if end and last != "nl":
+        out.append("string")
+        return end
+    return 0
+
+
+def _element(text: str, at: int) -> int:
+    """The place behind an element, or behind the nodes that begin a document and its element; 0 where it is not closed. Embedded expressions are passed over."""
+    open_: list[str] = []
+    while True:
+        node = next(((a, b) for a, b in _NODES if text.startswith(a, at)), None)
+        if node:
+            end = text.find(node[1], at + len(node[0]))
+            if end < 0:
+                return 0
+            at = end + len(node[1])
+            if not open_:
+                if node[0] != "<?":
+                    return at
+                at += len(text[at:]) - len(text[at:].lstrip())
+        elif text.startswith("<%=", at) and open_:
+            depth, at = 1, at + 3
+            while depth:
+                close, more = text.find("%>", at), text.find("<%=", at)
+                if close < 0:
+                    return 0
+                inner = 0 <= more < close
+                depth += 1 if inner else -1
+                at = more + 3 if inner else close + 2
+        elif text.startswith("</", at):
+            tag = _CLOSE_TAG.match(text, at)
+            if tag is None or not open_ or tag[1] not in (None, open_.pop()):
+                return 0
+            at = tag.end()
+            if not open_:
+                return at
+        else:
+            tag = _OPEN_TAG.match(text, at)
+            if tag is None:
+                return 0
+            at = tag.end()
+            if not tag[3]:
+                open_.append(tag[1])
+            elif not open_:
+                return at
+        if open_:
+            at = text.find("<", at)
+            if at < 0:
+                return 0
+
+
 def _interpolated(text: str, at: int, out: list[str]) -> int:
     out.append("open$")
     while True:

@@ -66,6 +66,25 @@ def test_valid_vb(text):
     assert vb.valid(text.replace("\n", "\r\n"))
 
 
+MARKUP = [
+    'Dim x = <a b="1" c=<%= d %>><b/>text <%= From e In f Select <i><%= e %></i> %><!-- < --></a>', "Dim x = <?xml version=\"1.0\"?>\n<a>\n  <b>1 &lt; 2</b>\n</a>", "f(<a/>, 1)", "Return <a>\nIf x Then\n</>", "x = y.<a>.Value & y...<b:c>.@d", "x = <!-- c -->", "x = <![CDATA[ If < ]]>",
+]
+
+
+@pytest.mark.parametrize("line", MARKUP)
+def test_vb_markup(line):
+    assert vb.valid(f"Imports <xmlns:b=\"urn:b\">\nClass A\nFunction F() As Object\n{line}\nEnd Function\nEnd Class\n")
+
+
+@pytest.mark.parametrize("line", ["x = <a>", "x = <a></b>", "x = <a b=1/>", "x = <a><%= b </a>", "If a < b Then c = <d>1</d", "x = <a/> <b/>"])
+def test_vb_markup_that_is_not_whole(line):
+    assert not vb.valid(f"Class A\nFunction F() As Object\n{line}\nEnd Function\nEnd Class\n")
+
+
+def test_vb_signs_that_are_no_markup():
+    assert vb.valid("Class A\nSub S(<Out> ByRef a As Integer, <B(1)> c As D)\nIf a < b AndAlso c > d Then\ne = a <b\nEnd If\nEnd Sub\nEnd Class\n")
+
+
 @pytest.mark.parametrize("text", INVALID_VB)
 def test_invalid_vb(text):
     assert not vb.valid(text)
