@@ -4,8 +4,8 @@ An :class:`OrphanLedger` keeps, in files of the shared folder, the parent index
 index from keys to the records that refer to them, and a log of orphans opened and closed. A batch of new rows writes its own rows
 only, one part of each table: its references probe the parent index, its arriving parents close the orphans that wait for them, its
 deletions open references again that the reverse index names. Rows of scopes that were never seen before need no look at older parts
-at all; for the rest, the few late rows and corrections, only the hashes in the buckets they fall into are read. Every PARTS batches
-the parts are put together.
+at all; for the rest, the few late rows and corrections, hashes and times of older parts are read and held against them where they lie.
+Every PARTS batches the parts are put together.
 
 Keys are matched as 128-bit hashes, so that a probe moves few bytes however long the keys are; the strings stay with the records.
 """
@@ -21,15 +21,13 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.work import Files, part, shared_folder
+from gneiss.work import Files, read_parts, shared_folder
 
 #: Orphan keys (16 bytes each) up to which the set of them is broadcast: some tens of MB in memory. Beyond, the join shuffles, with salted keys.
 BROADCAST_KEYS = 400_000
 SALTS = 32
 #: Batches whose parts lie side by side before they are put together.
 PARTS = 16
-#: Buckets of each part, by hash; a look-up reads those that it needs.
-BUCKETS = 8
 
 HASH = ["h1", "h2"]
 RECORD = ["r1", "r2"]
@@ -43,7 +41,7 @@ def pair_hash(*columns: Column) -> list[Column]:
 def parents_of(rows: DataFrame, table: str, scope: str, key: str, order: str, deleted: str) -> DataFrame:
     """Versions of parent records for a ledger: (h1, h2, s, at, alive), s being the scope's hash. Rows with a null scope or key are no parents."""
     kept = rows.filter(F.col(scope).isNotNull() & F.col(key).isNotNull())
-    return kept.select(*pair_hash(F.lit(table), F.col(scope), F.col(key)), F.xxhash64(scope).alias("s"), F.col(order).alias("at"), F.col(deleted).isNull().alias("alive"))
+    return kept.select(*pair_hash(F.lit(table), F.col(scope), F.col(key)), F.xxhash64(scope).alias("s"), F.col(order).cast("timestamp_ntz").alias("at"), F.col(deleted).isNull().alias("alive"))
 
 
 def references_of(rows: DataFrame, table: str, scope: str, record: str, order: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
@@ -58,7 +56,7 @@ def references_of(rows: DataFrame, table: str, scope: str, record: str, order: s
         keys = F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
         parts.append(F.transform(keys, _reference(name, parent)))
     kept = rows.filter(F.col(scope).isNotNull() & F.col(record).isNotNull())
-    return kept.select(F.lit(table).alias("ref_table"), F.col(scope).alias("scope"), F.col(record).alias("record"), F.col(order).alias("at"), F.concat(*parts).alias("refs"))
+    return kept.select(F.lit(table).alias("ref_table"), F.col(scope).alias("scope"), F.col(record).alias("record"), F.col(order).cast("timestamp_ntz").alias("at"), F.concat(*parts).alias("refs"))
 
 
 def _reference(name: str, table: str):
@@ -67,9 +65,9 @@ def _reference(name: str, table: str):
 
 # Of parents, was says whether the key lived before, and late whether its scope was known; of records, was says that an older version was held.
 SCHEMAS = {
-    "parents": "h1 bigint, h2 bigint, s bigint, at timestamp_ntz, alive boolean, was boolean, late boolean, seq int, bucket int",
-    "records": "ref_table string, scope string, record string, refs array<struct<field:string,table:string,key:string>>, r1 bigint, r2 bigint, at timestamp_ntz, was boolean, seq int, bucket int",
-    "links": "k int, r1 bigint, bucket int",
+    "parents": "h1 bigint, h2 bigint, s bigint, at timestamp_ntz, alive boolean, was boolean, late boolean, seq int",
+    "records": "ref_table string, scope string, record string, refs array<struct<field:string,table:string,key:string>>, r1 bigint, r2 bigint, at timestamp_ntz, was boolean, seq int",
+    "links": "k int, r1 bigint",
     "scopes": "s bigint",
     "opened": "ref_table string, scope string, record string, field string, key string, h1 bigint, h2 bigint, r1 bigint, r2 bigint, seq int",
 }
@@ -88,25 +86,20 @@ class OrphanLedger:
 
     seq: int = 0
     parts: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    buckets: int = BUCKETS
     #: The folder of the state's files; the session's shared folder unless set.
     folder: str | None = None
 
     def to_json(self) -> str:
-        return json.dumps({"seq": self.seq, "parts": self.parts, "buckets": self.buckets})
+        return json.dumps({"seq": self.seq, "parts": self.parts})
 
     @classmethod
     def from_json(cls, text: str, folder: str | None = None) -> OrphanLedger:
         kept = json.loads(text)
-        return cls(kept["seq"], {k: tuple(v) for k, v in kept["parts"].items()}, kept["buckets"], folder)
+        return cls(kept["seq"], {k: tuple(v) for k, v in kept["parts"].items()}, folder)
 
-    def table(self, spark: SparkSession, name: str, where: DataFrame | None = None, by: str = "") -> DataFrame:
-        """All parts of a table; with ``where``, only the buckets that the hashes ``by`` of its rows fall into."""
-        rows = _union([part(spark, path, SCHEMAS[name]) for path in self.parts.get(name, ())] or [spark.createDataFrame([], SCHEMAS[name])])
-        if where is None or not self.parts.get(name):
-            return rows
-        touched = [r.b for r in where.select(F.pmod(F.col(by), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]  # of BUCKETS numbers
-        return rows if len(touched) == self.buckets else rows.filter(F.col("bucket").isin(touched))
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        """All parts of a table."""
+        return read_parts(spark, self.parts.get(name, ()), SCHEMAS[name])
 
     @property
     def pending(self) -> DataFrame:
@@ -129,50 +122,53 @@ class OrphanLedger:
         seq = self.seq + 1
         new: dict[str, str] = {}
 
-        def put(name: str, rows: DataFrame, by: str | None = None) -> DataFrame:
-            new[name] = self._write(files, name, rows, by)
-            return part(spark, new[name], SCHEMAS[name])
+        def put(name: str, rows: DataFrame) -> DataFrame:
+            new[name] = files.write(rows, name)
+            return read_parts(spark, [new[name]], SCHEMAS[name])
 
-        fresh_parents, fresh = latest_parents(parents), latest_records(references)
         first = not self.parts.get("scopes")
-        if not first:
-            p, r = fresh_parents, fresh
-            fresh_parents, fresh = _at_once(lambda: files.kept(p, "parents-batch"), lambda: files.kept(r, "records-batch"))
-        scopes = put("scopes", fresh_parents.select("s").unionByName(fresh.select("s")).distinct())
+        named = references.select(*_record(), F.xxhash64("scope").alias("s"))
+        scopes = put("scopes", parents.select("s").unionByName(named.select("s")).distinct())
         # rows of scopes that are known may meet older ones; those of new scopes cannot
         old = scopes.join(self.table(spark, "scopes"), "s", "left_semi")
-
-        p, r = fresh_parents, fresh
+        if not first:
+            # written first, so that their size is known: few late keys are broadcast, and what is held is not shuffled to meet them
+            late_keys = parents.join(old, "s", "left_semi").select(F.lit(0).alias("kind"), *HASH).unionByName(named.join(old, "s", "left_semi").select(F.lit(1).alias("kind"), *[F.col(r).alias(h) for r, h in zip(RECORD, HASH)]))
+            late_keys = files.kept(late_keys.distinct(), "late")
 
         def put_parents() -> DataFrame:
+            fresh = latest_parents(parents)
             if first:
-                rows = p.withColumns({"was": F.lit(False), "late": F.lit(False)})
+                rows = fresh.withColumns({"was": F.lit(False), "late": F.lit(False)})
             else:
-                late = p.join(old, "s", "left_semi").select(*HASH)
-                before = latest_parents(self.table(spark, "parents", late, "h1").join(late, HASH, "left_semi"))
+                late = late_keys.filter("kind = 0").select(*HASH)
+                before = latest_parents(self.table(spark, "parents").join(late, HASH, "left_semi"))
                 before = before.select(*HASH, F.col("at").alias("at0"), F.col("alive").alias("was"))
                 newer = F.col("at0").isNull() | (F.col("at") > F.col("at0")) | ((F.col("at") == F.col("at0")) & (F.col("alive") | ~F.col("was")))
-                rows = p.join(before, HASH, "left").filter(newer).join(old.withColumn("late", F.lit(True)), "s", "left")
+                rows = fresh.join(before, HASH, "left").filter(newer).join(old.withColumn("late", F.lit(True)), "s", "left")
             flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("was", "late")]
-            return put("parents", rows.select(*HASH, "s", "at", "alive", *flags, F.lit(seq).alias("seq")), "h1")
+            return put("parents", rows.select(*HASH, "s", "at", "alive", *flags, F.lit(seq).alias("seq")))
 
         def put_records() -> DataFrame:
+            fresh = latest_records(references)
             if first:
-                rows = r.withColumn("was", F.lit(False))
+                rows = fresh.withColumn("was", F.lit(False))
             else:
-                late = r.join(old, "s", "left_semi").select(*RECORD)
-                heads = self.table(spark, "records", late, "r1").join(late, RECORD, "left_semi").groupBy(*RECORD).agg(F.max("at").alias("at0"))
-                rows = r.join(heads, RECORD, "left").filter(F.col("at0").isNull() | (F.col("at") >= F.col("at0"))).withColumn("was", F.col("at0").isNotNull())
-            return put("records", rows.select("ref_table", "scope", "record", "refs", *RECORD, "at", "was", F.lit(seq).alias("seq")), "r1")
+                late = late_keys.filter("kind = 1").select(*[F.col(h).alias(r) for h, r in zip(HASH, RECORD)])
+                heads = self.table(spark, "records").join(late, RECORD, "left_semi").groupBy(*RECORD).agg(F.max("at").alias("at0"))
+                rows = fresh.join(heads, RECORD, "left").filter(F.col("at0").isNull() | (F.col("at") >= F.col("at0"))).withColumn("was", F.col("at0").isNotNull())
+            return put("records", rows.select("ref_table", "scope", "record", "refs", *RECORD, "at", "was", F.lit(seq).alias("seq")))
 
         fresh_parents, fresh = _at_once(put_parents, put_records)
         flat = _spread(fresh)
+        hashed = F.array_distinct(F.transform("refs", lambda ref: _short(*pair_hash(ref["table"], F.col("scope"), ref["key"]))))
+        links = fresh.select(F.explode(hashed).alias("k"), "r1")
         # only distinct hashes are probed; a key that everything refers to is one row by then
-        unmet = flat.select(*HASH, F.xxhash64("scope").alias("s")).distinct().join(fresh_parents.filter("alive").select(*HASH), HASH, "left_anti")
-        _, keys = _at_once(lambda: put("links", flat.select(_short("h1", "h2").alias("k"), "r1").distinct(), "k"), lambda: files.kept(unmet, "keys"))
+        unmet = flat.groupBy(*HASH).agg(F.max(F.xxhash64("scope")).alias("s")).join(fresh_parents.filter("alive").select(*HASH), HASH, "left_anti")
+        _, keys = _at_once(lambda: put("links", links), lambda: files.kept(unmet, "unmet"))
         if not first:
             asked = keys.join(old, "s", "left_semi").select(*HASH).join(fresh_parents.select(*HASH), HASH, "left_anti")
-            alive = latest_parents(self.table(spark, "parents", asked, "h1").join(asked, HASH, "left_semi")).filter("alive")
+            alive = latest_parents(self.table(spark, "parents").join(asked, HASH, "left_semi")).filter("alive")
             keys = files.kept(keys.join(alive.select(*HASH), HASH, "left_anti"), "keys")
         opened = _within(flat, keys.select(*HASH))
         gone = fresh_parents.filter("was AND NOT alive").select(*HASH)
@@ -183,17 +179,11 @@ class OrphanLedger:
         after = replace(self, seq=seq, parts={name: (*self.parts.get(name, ()), path) for name, path in new.items()})
         return after._together(spark, files, set(new.values())) if len(after.parts["records"]) > PARTS else after
 
-    def _write(self, files: Files, name: str, rows: DataFrame, by: str | None) -> str:
-        if by is None:
-            return files.write(rows, name)
-        spread = rows.withColumn("bucket", F.pmod(F.col(by), F.lit(self.buckets)).cast("int"))
-        return files.write(spread.repartition("bucket", F.pmod(F.col(by), F.lit(self.buckets * 4))), name, "bucket")
-
     def _referring(self, spark: SparkSession, files: Files, gone: DataFrame, fresh: DataFrame) -> DataFrame:
         """References to keys that are gone now, of records that hold and are not in the batch, by the reverse index."""
         short = gone.select(_short("h1", "h2").alias("k")).distinct()
-        named = files.kept(self.table(spark, "links", short, "k").join(short, "k", "left_semi").select("r1").distinct(), "named")
-        rows = self.table(spark, "records", named, "r1").join(named, "r1", "left_semi").join(fresh.select(*RECORD), RECORD, "left_anti")
+        named = files.kept(self.table(spark, "links").join(short, "k", "left_semi").select("r1").distinct(), "named")
+        rows = self.table(spark, "records").join(named, "r1", "left_semi").join(fresh.select(*RECORD), RECORD, "left_anti")
         last = rows.groupBy(*RECORD).agg(F.max("seq").alias("seq"))
         return _within(_spread(rows.join(last, [*RECORD, "seq"], "left_semi")), gone)
 
@@ -202,13 +192,13 @@ class OrphanLedger:
         records = self.table(spark, "records")
         last = records.groupBy(*RECORD).agg(F.max("seq").alias("seq"))
         whole = {
-            "parents": (latest_parents(self.table(spark, "parents")).withColumns({"was": F.col("alive"), "late": F.lit(False), "seq": F.lit(self.seq)}), "h1"),
-            "records": (records.join(last, [*RECORD, "seq"], "left_semi").drop("bucket").withColumn("was", F.lit(False)), "r1"),
-            "links": (self.table(spark, "links").select("k", "r1").distinct(), "k"),
-            "scopes": (self.table(spark, "scopes").distinct(), None),
-            "opened": (self._open(spark), None),
+            "parents": latest_parents(self.table(spark, "parents")).withColumns({"was": F.col("alive"), "late": F.lit(False), "seq": F.lit(self.seq)}),
+            "records": records.join(last, [*RECORD, "seq"], "left_semi").withColumn("was", F.lit(False)),
+            "links": self.table(spark, "links").distinct(),
+            "scopes": self.table(spark, "scopes").distinct(),
+            "opened": self._open(spark),
         }
-        parts = {name: (self._write(files, name, rows, by),) for name, (rows, by) in whole.items()}
+        parts = {name: (files.write(rows, name),) for name, rows in whole.items()}
         files.remove(p for paths in self.parts.values() for p in paths if self.folder is None or p in own)
         return replace(self, parts=parts)
 
@@ -219,29 +209,25 @@ def _at_once(*steps: Callable[[], DataFrame]) -> list[DataFrame]:
         return [x.result() for x in [pool.submit(inheritable_thread_target(step)) for step in steps]]
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 def latest_parents(versions: DataFrame) -> DataFrame:
     """Of each parent the latest version, over columns of fixed width, which hash aggregation holds."""
     at = F.coalesce("at", F.lit(_EARLIEST).cast("timestamp_ntz"))
     lives, dead = F.max(F.when(F.col("alive"), at)), F.max(F.when(~F.col("alive"), at))
-    return versions.groupBy(*HASH, "s").agg(F.greatest(lives, dead).alias("at"), F.coalesce(lives >= dead, lives.isNotNull()).alias("alive"))
+    return versions.groupBy(*HASH).agg(F.max("s").alias("s"), F.greatest(lives, dead).alias("at"), F.coalesce(lives >= dead, lives.isNotNull()).alias("alive"))
 
 
 def latest_records(rows: DataFrame) -> DataFrame:
     """Of each record the latest version, with the hashes of the record and of its scope."""
-    named = rows.withColumns(dict(zip(RECORD, pair_hash(F.col("ref_table"), F.col("scope"), F.col("record")))))
-    named = named.withColumn("at", F.coalesce("at", F.lit(_EARLIEST).cast("timestamp_ntz")))
+    named = rows.withColumns(dict(zip(RECORD, _record()))).withColumn("at", F.coalesce("at", F.lit(_EARLIEST).cast("timestamp_ntz")))
     last = named.groupBy(*RECORD).agg(F.max_by(F.struct("ref_table", "scope", "record", "at", "refs"), "at").alias("v"))
-    return last.select("v.*", *RECORD, F.xxhash64("v.scope").alias("s"))
+    return last.select("v.*", *RECORD)
+
+
+def _record() -> list[Column]:
+    return [h.alias(r) for h, r in zip(pair_hash(F.col("ref_table"), F.col("scope"), F.col("record")), RECORD)]
 
 
-def _short(*hashes: str) -> Column:
+def _short(*hashes: str | Column) -> Column:
     """32 bits of a key's hash; what the reverse index finds by it is held against the whole hash."""
     return F.hash(*hashes)
 

@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,10 +79,10 @@ class Files:
         self.spark, self.folder, self.keep = spark, folder, keep
         self.passing: list[str] = []
 
-    def write(self, df: DataFrame, name: str, partition: str | None = None) -> str:
+    def write(self, df: DataFrame, name: str) -> str:
         """Write a table and give its path; unless it is to be kept, its files are removed when the driver ends."""
-        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+        path = f"{self.folder}/{name}/part=p{uuid.uuid4().hex}"
+        df.write.parquet(path)
         if not self.keep:
             _note(self.spark, path)
         return path
@@ -102,19 +102,15 @@ class Files:
         gone = set(paths)
         for path in gone:
             _delete(self.spark, path)
-            _parts.pop((self.spark.sparkContext.applicationId, path), None)
         _written[:] = [w for w in _written if w[1] not in gone]
 
 
-_parts: dict[tuple[str, str], DataFrame] = {}
-
-
-def part(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A written table, whose files are listed once."""
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _parts:
-        _parts[key] = spark.read.schema(schema).parquet(path)
-    return _parts[key]
+def read_parts(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
+    """Tables that :class:`Files` wrote under one name, as one scan; an empty table for none."""
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", paths[0].rpartition("/")[0]).parquet(*paths)
+    return rows.drop("part")
 
 
 def _note(spark: SparkSession, path: str) -> None:
@@ -132,7 +128,6 @@ def release() -> None:
     """Remove all that was staged so far. Frames made before, and those derived from them, cannot be read any more; what is kept of them for reuse is forgotten."""
     _clean()
     _written.clear()
-    _parts.clear()
     for forget in on_release:
         forget()
 
