@@ -150,14 +150,19 @@ class OrphanLedger:
             return put("parents", rows.select(*HASH, "s", "at", "alive", *flags, F.lit(seq).alias("seq")))
 
         def put_records() -> DataFrame:
-            fresh = latest_records(references)
-            if first:
-                rows = fresh.withColumn("was", F.lit(False))
-            else:
+            # one version is all that most records have: only hashes are shuffled to tell the others, and the texts are written from where they lie
+            seen = named.groupBy(*RECORD).agg(F.count("*").alias("n"))
+            odd = seen.filter("n > 1").select(*RECORD, F.lit(None).cast("timestamp_ntz").alias("at0"))
+            if not first:
                 late = late_keys.filter("kind = 1").select(*[F.col(h).alias(r) for h, r in zip(HASH, RECORD)])
-                heads = self.table(spark, "records").join(late, RECORD, "left_semi").groupBy(*RECORD).agg(F.max("at").alias("at0"))
-                rows = fresh.join(heads, RECORD, "left").filter(F.col("at0").isNull() | (F.col("at") >= F.col("at0"))).withColumn("was", F.col("at0").isNotNull())
-            return put("records", rows.select("ref_table", "scope", "record", "refs", *RECORD, "at", "was", F.lit(seq).alias("seq")))
+                heads = self.table(spark, "records").join(late, RECORD, "left_semi").select(*RECORD, F.col("at").alias("at0"))
+                odd = odd.unionByName(heads).groupBy(*RECORD).agg(F.max("at0").alias("at0"))
+            odd = files.kept(odd, "odd")
+            rows = references.withColumns(dict(zip(RECORD, _record()))).withColumn("at", F.coalesce("at", F.lit(_EARLIEST).cast("timestamp_ntz")))
+            plain = rows.join(odd, RECORD, "left_anti").withColumn("was", F.lit(False))
+            rest = latest_records(rows.join(odd, RECORD, "left_semi")).join(odd, RECORD).filter(F.col("at0").isNull() | (F.col("at") >= F.col("at0"))).withColumn("was", F.col("at0").isNotNull())
+            shown = ["ref_table", "scope", "record", "refs", *RECORD, "at", "was"]
+            return put("records", plain.select(*shown).unionByName(rest.select(*shown)).withColumn("seq", F.lit(seq)))
 
         fresh_parents, fresh = _at_once(put_parents, put_records)
         flat = _spread(fresh)
