@@ -12,6 +12,7 @@ Keys are matched as 128-bit hashes, so that a probe moves few bytes however long
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -181,6 +182,7 @@ class OrphanLedger:
             opened = opened.unionByName(self._referring(spark, files, gone, fresh))
         put("opened", opened.select("ref_table", "scope", "record", "field", "key", *HASH, *RECORD, F.lit(seq).alias("seq")))
         files.drop_kept()
+        gc.collect()  # frames of the batch refer to each other, and hold plans and broadcast tables in the JVM until they go
         after = replace(self, seq=seq, parts={name: (*self.parts.get(name, ()), path) for name, path in new.items()})
         return after._together(spark, files, set(new.values())) if len(after.parts["records"]) > PARTS else after
 
