@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from gneiss.work import Files, read_parts, shared_folder
 
-#: Orphan keys (16 bytes each) up to which the set of them is broadcast: some tens of MB in memory. Beyond, the join shuffles, with salted keys.
+#: Keys (16 bytes each) up to which a set of them is broadcast: some tens of MB in memory. Beyond, a sieve of them is, and the join shuffles what passes it.
 BROADCAST_KEYS = 400_000
+#: Bits of a sieve as a power of two: 8 MB, however many keys it is made of.
+SIEVE = 26
 SALTS = 32
 #: Batches whose parts lie side by side before they are put together.
 PARTS = 16
@@ -142,8 +144,7 @@ class OrphanLedger:
             if first:
                 rows = fresh.withColumns({"was": F.lit(False), "late": F.lit(False)})
             else:
-                late = late_keys.filter("kind = 0").select(*HASH)
-                before = latest_parents(self.table(spark, "parents").join(late, HASH, "left_semi"))
+                before = latest_parents(_parted(self.table(spark, "parents"), late_keys.filter("kind = 0"), HASH)[0])
                 before = before.select(*HASH, F.col("at").alias("at0"), F.col("alive").alias("was"))
                 newer = F.col("at0").isNull() | (F.col("at") > F.col("at0")) | ((F.col("at") == F.col("at0")) & (F.col("alive") | ~F.col("was")))
                 rows = fresh.join(before, HASH, "left").filter(newer).join(old.withColumn("late", F.lit(True)), "s", "left")
@@ -156,12 +157,13 @@ class OrphanLedger:
             odd = seen.filter("n > 1").select(*RECORD, F.lit(None).cast("timestamp_ntz").alias("at0"))
             if not first:
                 late = late_keys.filter("kind = 1").select(*[F.col(h).alias(r) for h, r in zip(HASH, RECORD)])
-                heads = self.table(spark, "records").join(late, RECORD, "left_semi").select(*RECORD, F.col("at").alias("at0"))
+                heads = _parted(self.table(spark, "records"), late, RECORD)[0].select(*RECORD, F.col("at").alias("at0"))
                 odd = odd.unionByName(heads).groupBy(*RECORD).agg(F.max("at0").alias("at0"))
             odd = files.kept(odd, "odd")
             rows = references.withColumns(dict(zip(RECORD, _record()))).withColumn("at", F.coalesce("at", F.lit(_EARLIEST).cast("timestamp_ntz")))
-            plain = rows.join(odd, RECORD, "left_anti").withColumn("was", F.lit(False))
-            rest = latest_records(rows.join(odd, RECORD, "left_semi")).join(odd, RECORD).filter(F.col("at0").isNull() | (F.col("at") >= F.col("at0"))).withColumn("was", F.col("at0").isNotNull())
+            several, plain = _parted(rows, odd, RECORD)
+            plain = plain.withColumn("was", F.lit(False))
+            rest = latest_records(several).join(odd, RECORD).filter(F.col("at0").isNull() | (F.col("at") >= F.col("at0"))).withColumn("was", F.col("at0").isNotNull())
             shown = ["ref_table", "scope", "record", "refs", *RECORD, "at", "was"]
             return put("records", plain.select(*shown).unionByName(rest.select(*shown)).withColumn("seq", F.lit(seq)))
 
@@ -170,28 +172,29 @@ class OrphanLedger:
         hashed = F.array_distinct(F.transform("refs", lambda ref: _short(*pair_hash(ref["table"], F.col("scope"), ref["key"]))))
         links = fresh.select(F.explode(hashed).alias("k"), "r1")
         # only distinct hashes are probed; a key that everything refers to is one row by then
-        unmet = flat.groupBy(*HASH).agg(F.max(F.xxhash64("scope")).alias("s")).join(fresh_parents.filter("alive").select(*HASH), HASH, "left_anti")
+        unmet = flat.groupBy(*HASH).agg(F.max(F.xxhash64("scope")).alias("s")).join(fresh_parents.select(*HASH, "alive"), HASH, "left")
+        unmet = unmet.filter("alive IS NULL OR NOT alive").select(*HASH, "s", F.col("alive").isNotNull().alias("dead"))
         _, keys = _at_once(lambda: put("links", links), lambda: files.kept(unmet, "unmet"))
         if not first:
-            asked = keys.join(old, "s", "left_semi").select(*HASH).join(fresh_parents.select(*HASH), HASH, "left_anti")
-            alive = latest_parents(self.table(spark, "parents").join(asked, HASH, "left_semi")).filter("alive")
+            asked = files.kept(keys.filter("NOT dead").join(old, "s", "left_semi").select(*HASH), "asked")
+            alive = latest_parents(_parted(self.table(spark, "parents"), asked, HASH)[0]).filter("alive")
             keys = files.kept(keys.join(alive.select(*HASH), HASH, "left_anti"), "keys")
         opened = _within(flat, keys.select(*HASH))
-        gone = fresh_parents.filter("was AND NOT alive").select(*HASH)
-        if not first and not gone.isEmpty():
-            opened = opened.unionByName(self._referring(spark, files, gone, fresh))
+        if not first:
+            gone = files.kept(fresh_parents.filter("was AND NOT alive").select(*HASH), "gone")
+            if not gone.isEmpty():
+                opened = opened.unionByName(self._referring(spark, files, gone, new["records"], seq))
         put("opened", opened.select("ref_table", "scope", "record", "field", "key", *HASH, *RECORD, F.lit(seq).alias("seq")))
         files.drop_kept()
         gc.collect()  # frames of the batch refer to each other, and hold plans and broadcast tables in the JVM until they go
         after = replace(self, seq=seq, parts={name: (*self.parts.get(name, ()), path) for name, path in new.items()})
         return after._together(spark, files, set(new.values())) if len(after.parts["records"]) > PARTS else after
 
-    def _referring(self, spark: SparkSession, files: Files, gone: DataFrame, fresh: DataFrame) -> DataFrame:
-        """References to keys that are gone now, of records that hold and are not in the batch, by the reverse index."""
-        short = gone.select(_short("h1", "h2").alias("k")).distinct()
-        named = files.kept(self.table(spark, "links").join(short, "k", "left_semi").select("r1").distinct(), "named")
-        rows = self.table(spark, "records").join(named, "r1", "left_semi").join(fresh.select(*RECORD), RECORD, "left_anti")
-        last = rows.groupBy(*RECORD).agg(F.max("seq").alias("seq"))
+    def _referring(self, spark: SparkSession, files: Files, gone: DataFrame, own: str, seq: int) -> DataFrame:
+        """References to keys that are gone now, of records that hold and are not in the batch (``own``), by the reverse index."""
+        named = files.kept(_parted(self.table(spark, "links"), gone.select(_short("h1", "h2").alias("k")), ["k"])[0].select("r1").distinct(), "named")
+        rows = _parted(read_parts(spark, [*self.parts["records"], own], SCHEMAS["records"]), named, ["r1"])[0]
+        last = rows.groupBy(*RECORD).agg(F.max("seq").alias("seq")).filter(F.col("seq") < seq)
         return _within(_spread(rows.join(last, [*RECORD, "seq"], "left_semi")), gone)
 
     def _together(self, spark: SparkSession, files: Files, own: set[str]) -> OrphanLedger:
@@ -245,12 +248,35 @@ def _spread(held: DataFrame) -> DataFrame:
     return flat.select("ref_table", "scope", "record", *RECORD, F.col("ref.field").alias("field"), F.col("ref.key").alias("key"), *pair_hash(F.col("ref.table"), F.col("scope"), F.col("ref.key")))
 
 
+def _parted(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that have one of the written keys, and the others. Neither is shuffled: few keys are broadcast, of many a sieve is, and only what passes it is moved."""
+    keys = keys.select(*on)
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), on, "left_semi"), rows.join(F.broadcast(keys), on, "left_anti")
+    passed, kept = _sifted(rows, keys, on[0])
+    return passed.join(keys, on, "left_semi"), kept.unionByName(passed.join(keys, on, "left_anti"))
+
+
+def _sifted(rows: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have one of the keys, and rows that have none, by a bitmap over the low bits of a hash: rows of 512 words of 64 bits, broadcast."""
+
+    def low(shift: int, width: int) -> Column:
+        return F.shiftright(F.col(on).cast("bigint"), shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+
+    words = keys.groupBy(low(15, SIEVE - 15).alias("sieve"), low(6, 9).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({on} & 63 AS INT))")).alias("bits"))
+    words = words.groupBy("sieve").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    sieve = F.broadcast(words.select("sieve", F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.col("words")[i], F.lit(0).cast("bigint"))).alias("words")))
+    word = F.get("words", low(6, 9))
+    may = (low(15, SIEVE - 15) == F.col("sieve")) & (F.call_function("getbit", word, low(0, 6)) == 1)
+    return rows.join(sieve, may, "left_semi"), rows.join(sieve, may, "left_anti")
+
+
 def _within(references: DataFrame, keys: DataFrame) -> DataFrame:
     if keys.count() <= BROADCAST_KEYS:
         return references.join(F.broadcast(keys), HASH, "left_semi")
     # a missing key may have a third of all references: its rows are spread over salts, and the key is repeated for each
     salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = references.withColumn("salt", F.pmod(F.xxhash64("record", "field"), F.lit(SALTS)).cast("int"))
+    rows = _sifted(references, keys, "h1")[0].withColumn("salt", F.pmod(F.xxhash64("record", "field"), F.lit(SALTS)).cast("int"))
     return rows.join(salted, [*HASH, "salt"], "left_semi").drop("salt")
 
 

@@ -1,7 +1,9 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from gneiss.operators import orphans as o
 from gneiss.work import read_parts
@@ -82,6 +84,63 @@ def test_a_batch_writes_its_own_rows_only(spark):
     assert ("new", "r1", "many", "k2") in pending(after)
 
 
+def shuffled_scans(plan):
+    """Tables of the state that a plan moves through an exchange other than a broadcast, before anything narrows them."""
+    out, lines = set(), plan.splitlines()
+    for i, line in enumerate(lines):
+        if table := re.search(r"FileScan parquet .*gneiss-orphans/(\w+)/", line):
+            depth, above = len(re.match(r"[\s:+\-]*", line)[0]), []
+            for up in reversed(lines[:i]):
+                if (d := len(re.match(r"[\s:+\-]*", up)[0])) < depth:
+                    depth, above = d, [*above, up.strip(" :+-*")]
+            upto = next((x for x in above if "Join" in x or "Exchange" in x), "")
+            if re.match(r"(\(\d+\) )?Exchange", upto):
+                out.add(table[1])
+    return out
+
+
+def test_deletions_do_not_shuffle_the_reverse_index(spark, monkeypatch):
+    """Whatever the state's size is, which the threshold of 0 stands for."""
+    plans, kept = {}, o.Files.kept
+
+    def watched(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(self, df, name)
+
+    monkeypatch.setattr(o.Files, "kept", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        parents, refs = history(5, 100)
+        ledger = o.OrphanLedger().apply(*frames(spark, parents, refs))
+        late = [("a", f"k{i}", T0 + timedelta(days=9), T0, "") for i in range(12)]
+        more = [("a", "r99", T0 + timedelta(days=9), "k1", ["k13"], "")]
+        after = ledger.apply(*frames(spark, late, more))
+        assert pending(after) == brute(parents + late, refs + more)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "links" in plans["named"] and shuffled_scans(plans["named"]) == set()
+    assert "parents" in plans["keys"] and shuffled_scans(plans["keys"]) <= {"unmet"}
+
+
+@pytest.mark.parametrize("bits", [16, 26])
+def test_many_keys_go_by_a_sieve(spark, monkeypatch, bits):
+    monkeypatch.setattr(o, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(o, "SIEVE", bits)
+    parents, refs = history(12, 60)
+    ledger = o.OrphanLedger()
+    for i in range(3):
+        ledger = ledger.apply(*frames(spark, parents[i * 20 : i * 20 + 20], refs[i * 20 : i * 20 + 20]))
+        assert pending(ledger) == brute(parents[: i * 20 + 20], refs[: i * 20 + 20])
+
+
+def test_a_sieve_loses_nothing_and_lets_little_through(spark):
+    rows = spark.range(-20_000, 20_000).select(F.xxhash64("id").alias("h1"), "id").unionByName(spark.createDataFrame([(None, 7), (-1, 8), (-(2**63), 9), (2**63 - 1, 10)], "h1 bigint, id bigint"))
+    keys = rows.filter("id % 40 = 0 OR id IN (8, 9, 10)").select("h1").dropna()
+    passed, others = (set(x.id for x in part.collect()) for part in o._sifted(rows.withColumn("id", F.concat("id", F.lit(":"), F.coalesce("h1", F.lit(0)))), keys, "h1"))
+    wanted = {x.id for x in rows.join(keys, "h1", "left_semi").withColumn("id", F.concat("id", F.lit(":"), "h1")).collect()}
+    assert wanted <= passed and len(passed) <= len(wanted) + 20 and len(passed) + len(others) == 40_004
+
+
 def test_salted_path(spark, monkeypatch):
     monkeypatch.setattr(o, "BROADCAST_KEYS", 0)
     parents, refs = history(9, 50)
