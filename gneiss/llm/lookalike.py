@@ -157,7 +157,9 @@ class Canonicalizer:
         self.unseen = {ord(c): None for c, target in table.items() if not target}
         unseen = "".join(f"\\U{cp:08x}" for cp in self.unseen)
         # what has no look parts no cluster: marks, and the later letters of a syllable, belong to the letter before it
-        self._cluster = regex.compile(rf"\X(?:[{unseen}]+[\p{{M}}\u1160-\u11ff\uff9e\uff9f{unseen}]*)*" if unseen else r"\X")
+        # also where a cluster ends with it by Unicode's rule
+        later = rf"[\p{{M}}\u1160-\u11ff\uff9e\uff9f{unseen}]"
+        self._cluster = regex.compile(rf"\X(?:(?<=[{unseen}]){later}+|[{unseen}]{later}*)?" if unseen else r"\X")
 
     def cluster(self, text: str) -> str:
         """The form of one cluster."""

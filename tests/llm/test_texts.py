@@ -134,6 +134,12 @@ def test_composed_and_separate_have_one_form(text):
     assert form(unicodedata.normalize("NFC", text)) == once == form(unicodedata.normalize("NFD", text))
 
 
+@pytest.mark.parametrize("unseen", ["\ufe0f", "\u200d", "\u200b", "\u034f", "\ufe0f\u200b", "\u200b\ufe0f"])
+def test_what_has_no_look_parts_no_syllable(form, unseen):
+    for a, b, whole in (("가", "\u11a8", "각"), ("\u1100", "\u1161\u11a8", "각"), ("\u1100\u1161", "\u11a8", "각"), ("x가", "\u11a8y", "x각y"), ("か", "\u3099", "が")):
+        assert form(a + unseen + b) == form(a + b) == whole
+
+
 def test_the_longest_sequence_is_taken():
     walk = lookalike.Transducer({"a": "1", "ab": "2", "abcd": "3", "c": "4"})
     assert walk("abcabcdab") == "24" + "3" + "2" and walk("xba") == "xb1" and walk("") == ""
